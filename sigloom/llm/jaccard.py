@@ -28,6 +28,8 @@ MOST_HOT, HOT_BUFFER, HOT_IN_BUFFER = 1 << 16, 3_000_000, 4
 #: Sets of a region that are compared in blocks without more pivots, and pivots of a larger one.
 LEAF, PIVOTS = 256, 8
 SHINGLE = 5
+#: Further pivots of each neighbourhood that the first two leave in several components.
+MORE_PIVOTS = 6
 
 
 def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
@@ -295,6 +297,19 @@ def region_pairs(n: np.ndarray, comp: np.ndarray, sketches: list[bytes]) -> np.n
     return np.unique(np.sort(np.concatenate(found), axis=1), axis=0) if found else np.zeros((0, 2), np.int64)
 
 
+def _more_pivots(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each set in a neighbourhood of several components with the pivots there that another component holds.
+
+    Pivots come first in MORE_PIVOTS fixed orders of all sets, so overlapping neighbourhoods choose the same ones: rows are
+    linear in the neighbourhoods' members, and what links to a common pivot needs no pair of its own.
+    """
+    placed = members.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("comp"))
+    firsts = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), F.col("node").alias("b"), F.col("comp").alias("c"))) for k in range(MORE_PIVOTS)]
+    mixed = placed.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.array(*firsts).alias("p")).where("x <> y").select(F.col("sig").alias("s"), "p")
+    pairs = placed.join(mixed, placed["sig"] == mixed["s"]).select("node", "comp", F.explode(F.array_distinct(F.filter("p", lambda q: q["c"] != F.col("comp")))).alias("q"))
+    return pairs.select(F.greatest("node", "q.b").alias("a"), F.least("node", "q.b").alias("b")).distinct()
+
+
 def _region_join(members: DataFrame, info: DataFrame, roots: DataFrame, parts: int) -> DataFrame:
     """Candidate pairs (a, b) between different components that share a neighbourhood (sig, node)."""
     placed = members.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("comp"))
@@ -346,10 +361,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = _verify(_kept(_may_link(first, info)), docs, info, id_col, text_col)
     roots = components(known)
     members = shared.where("b is null").select("sig", F.col("a").alias("node"))
-    more = _kept(_region_join(members, info, roots, parts).distinct())
-    if more.limit(1).count():
-        known, _ = keep(spark, known.union(_verify(more, docs, info, id_col, text_col)), "links")
-        roots = components(known)
+    for step in (lambda: _more_pivots(members, roots), lambda: _region_join(members, info, roots, parts).distinct()):
+        more = _kept(_may_link(step(), info))
+        if more.limit(1).count():
+            known, _ = keep(spark, known.union(_verify(more, docs, info, id_col, text_col)), "links")
+            roots = components(known)
     forget(spark, shared_path)
     by_root = info.join(roots, "node", "left").select("node", "doc", F.coalesce("root", "node").alias("root"))
     names = by_root.groupBy("root").agg(F.min("doc").alias("component_id"))
