@@ -11,7 +11,8 @@ ROOT = str(Path(__file__).resolve().parent.parent)
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver found it (on a cluster, ship it with --py-files)."""
+    """Let Python workers import this package from where the driver found it (on a cluster, ship it with --py-files); times are UTC."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
