@@ -14,6 +14,7 @@ from sigloom.session import prepare
 SPACE = r"[\x20\x09-\x0D]"
 #: Rows of an Arrow batch; texts may be long, so a batch is kept small.
 BATCH_ROWS = 1000
+_OWN: list[str] = []
 
 
 def tune(spark: SparkSession) -> None:
@@ -31,8 +32,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir; only where it is unset (tests) a local folder."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = tempfile.mkdtemp(prefix="sigloom-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="sigloom-"))
+        at = _OWN[0]
     return at.rstrip("/")
 
 
