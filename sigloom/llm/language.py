@@ -117,7 +117,7 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc
     Ties go to the first language in code point order; without prototypes all are `und`. Only the text is an input.
     """
     names = sorted(prototypes)
-    matrix = np.array([prototypes[x] / max(np.linalg.norm(prototypes[x]), 1e-9) for x in names]).reshape(len(names), -1)
+    matrix = np.array([prototypes[x] / max(np.linalg.norm(prototypes[x]), 1e-9) for x in names]).reshape(len(names), DIMENSIONS)
     kind = dict(df.dtypes)[id_col]
     state: list[Profiles] = []
 
