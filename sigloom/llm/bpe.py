@@ -27,7 +27,7 @@ SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\
 #: Texts up to this code point are split by SPLIT_PATTERN; above it Unicode versions of regex libraries differ, so the tokenizer's own splitter is asked.
 COMMON_UNICODE = "ԯ"
 #: Chunks and words a worker remembers, and the longest ones in characters that it does.
-CACHE_CHUNKS, CACHE_WORDS, CACHE_CHARS = 400_000, 200_000, 64
+CACHE_CHUNKS, CACHE_WORDS, CACHE_CHARS = 1_000_000, 600_000, 64
 #: Words of up to so many bytes are encoded many at once.
 LOCKSTEP_BYTES = 48
 
