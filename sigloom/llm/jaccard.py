@@ -30,6 +30,8 @@ LEAF, PIVOTS = 256, 8
 SHINGLE = 5
 #: Further pivots of each neighbourhood that the first two leave in several components.
 MORE_PIVOTS = 6
+#: Least neighbourhoods of a set that tell which one reports a pair.
+LOW = 16
 
 
 def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
@@ -43,7 +45,7 @@ def linked(overlap: int, a: int, b: int) -> bool:
 
 def sketch(values: np.ndarray) -> bytes:
     """Parity sketch: bit h mod 2^k is the parity of the shingles there. Its Hamming distance to another is at most the symmetric difference."""
-    bits = max(256, 1 << (len(values) - 1).bit_length())
+    bits = max(512, (4 if len(values) <= 512 else 2) << (len(values) - 1).bit_length())
     ones = np.bincount((values & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(ones.astype(np.uint8)).tobytes()
 
@@ -314,16 +316,21 @@ def _region_join(members: DataFrame, info: DataFrame, roots: DataFrame, parts: i
     """Candidate pairs (a, b) between different components that share a neighbourhood (sig, node)."""
     placed = members.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("comp"))
     mixed = placed.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select(F.col("sig").alias("s"))
-    rest = placed.join(mixed, placed["sig"] == mixed["s"], "left_semi").join(info.select("node", "n", "sketch"), "node")
+    rest = placed.join(mixed, placed["sig"] == mixed["s"], "left_semi")
+    # a pair that meets in many neighbourhoods is reported by one: the least that both sets' least ones share, or any where none is shared
+    low = rest.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, LOW).alias("low"))
+    rest = rest.join(info.select("node", "n", "sketch").join(low, "node"), "node")
     # a window holds sizes within a factor of 4/3; a set goes to its own window and to the one below, where smaller partners are
     window = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3)) + 1e-9).cast("int")
     rest = rest.withColumn("w", F.explode(F.array(window, window - 1)))
 
-    def solve(rows: list[tuple]) -> pa.RecordBatch | None:
+    def solve(rows: list[tuple], sig: int) -> pa.RecordBatch | None:
         if len(rows) < 2 or len({r[1] for r in rows}) < 2:
             return None
         node, comp, n = (np.array([r[k] for r in rows], np.int64) for k in range(3))
         pairs = region_pairs(n, comp, [r[3] for r in rows])
+        lows = [set(r[4]) for r in rows]
+        pairs = pairs[[min(lows[i] & lows[j], default=sig) == sig for i, j in pairs.tolist()]] if len(pairs) else pairs
         return pa.RecordBatch.from_arrays([pa.array(node[pairs[:, 0]]), pa.array(node[pairs[:, 1]])], ["a", "b"]) if len(pairs) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,14 +338,14 @@ def _region_join(members: DataFrame, info: DataFrame, roots: DataFrame, parts: i
         for b in batches:
             for sig, w, *row in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 if (sig, w) != at:
-                    if (got := solve(held)) is not None:
+                    if at and (got := solve(held, at[0])) is not None:
                         yield got
                     held, at = [], (sig, w)
                 held.append(row)
-        if (got := solve(held)) is not None:
+        if at and (got := solve(held, at[0])) is not None:
             yield got
 
-    return rest.select("sig", "w", "node", "comp", "n", "sketch").repartition(parts, "sig", "w").sortWithinPartitions("sig", "w").mapInArrow(run, "a long, b long")
+    return rest.select("sig", "w", "node", "comp", "n", "sketch", "low").repartition(parts, "sig", "w").sortWithinPartitions("sig", "w").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
