@@ -30,6 +30,8 @@ LEAF, PIVOTS = 256, 8
 SHINGLE = 5
 #: Further pivots of each neighbourhood that the first two leave in several components.
 MORE_PIVOTS = 6
+#: Ids of texts to verify that are broadcast at most.
+MOST_SENT = 1 << 20
 #: Least neighbourhoods of a set that tell which one reports a pair.
 LOW = 16
 
@@ -215,7 +217,9 @@ def _verify(pairs: DataFrame, docs: DataFrame, info: DataFrame, id_col: str, tex
     """The pairs that link, by their exact sets; only the texts that stand for a set in some pair are read into sets again."""
     spark = pairs.sparkSession
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    needed = needed.join(info.select("node", "doc"), "node").select(F.col("doc").alias("_doc"), F.col("node").alias("_node"))
+    needed, needed_path = keep(spark, needed.join(info.select("node", "doc"), "node").select(F.col("doc").alias("_doc"), F.col("node").alias("_node")), "needed")
+    # few ids go to every task, so that texts need not move; beyond the bound, texts are dealt by id
+    needed = F.broadcast(needed) if needed.count() <= MOST_SENT else needed.hint("shuffle_hash")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -223,7 +227,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, info: DataFrame, id_col: str, tex
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary())], ["node", "items"])
 
     texts = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_t"))
-    held = texts.join(needed.hint("shuffle_hash"), texts["_id"] == needed["_doc"]).select("_node", "_t").mapInArrow(sets, "node long, items binary")
+    held = texts.join(needed, texts["_id"] == needed["_doc"]).select("_node", "_t").mapInArrow(sets, "node long, items binary")
     held, path = keep(spark, held.dropDuplicates(["node"]), "sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,6 +243,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, info: DataFrame, id_col: str, tex
     ia, ib = (held.select(F.col("node").alias(x), F.col("items").alias(f"i{x}")) for x in "ab")
     out, _ = keep(spark, pairs.join(ia, "a").join(ib, "b").select("a", "b", "ia", "ib").mapInArrow(run, "a long, b long"), "links")
     forget(spark, path)
+    forget(spark, needed_path)
     return out
 
 
