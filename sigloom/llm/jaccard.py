@@ -304,6 +304,13 @@ def region_pairs(n: np.ndarray, comp: np.ndarray, sketches: list[bytes]) -> np.n
     return np.unique(np.sort(np.concatenate(found), axis=1), axis=0) if found else np.zeros((0, 2), np.int64)
 
 
+def _distinct_neighbourhoods(members: DataFrame) -> DataFrame:
+    """Of neighbourhoods with the same sets, told by their number and two 64-bit sums, one: a passage makes one for each of its shingles."""
+    marks = F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")
+    first = members.groupBy("sig").agg(*marks).groupBy("k", "x", "y").agg(F.min("sig").alias("s"))
+    return members.join(first.select("s"), members["sig"] == first["s"], "left_semi")
+
+
 def _more_pivots(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs (a, b) of each set in a neighbourhood of several components with the pivots there that another component holds.
 
@@ -372,13 +379,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = shared.where("b is not null").select("a", "b").distinct()
     known = _verify(_kept(_may_link(first, info)), docs, info, id_col, text_col)
     roots = components(known)
-    members = shared.where("b is null").select("sig", F.col("a").alias("node"))
+    members, members_path = keep(spark, _distinct_neighbourhoods(shared.where("b is null").select("sig", F.col("a").alias("node"))), "members")
     for step in (lambda: _more_pivots(members, roots), lambda: _region_join(members, info, roots, parts).distinct()):
         more = _kept(_may_link(step(), info))
         if more.limit(1).count():
             known, _ = keep(spark, known.union(_verify(more, docs, info, id_col, text_col)), "links")
             roots = components(known)
     forget(spark, shared_path)
+    forget(spark, members_path)
     by_root = info.join(roots, "node", "left").select("node", "doc", F.coalesce("root", "node").alias("root"))
     names = by_root.groupBy("root").agg(F.min("doc").alias("component_id"))
     names = by_root.join(names, "root").select(F.col("node").alias("_node"), "component_id")
