@@ -32,6 +32,10 @@ SHINGLE = 5
 MORE_PIVOTS = 6
 #: Ids of texts to verify that are broadcast at most.
 MOST_SENT = 1 << 20
+#: Neighbourhoods of at most so many sets are one task's group, and split into windows there.
+WHOLE = 1024
+#: Sets of a region that are compared one by one.
+FEW = 12
 #: Least neighbourhoods of a set that tell which one reports a pair.
 LOW = 16
 
@@ -195,8 +199,10 @@ def _close(na: int, nb: int, sa: bytes, sb: bytes) -> bool:
     """Whether two sets may link, by sizes and sketches; never false for a link."""
     if 4 * min(na, nb) < 3 * max(na, nb):
         return False
-    size = min(len(sa), len(sb))
-    return 7 * int(np.bitwise_count(fold(sa, size) ^ fold(sb, size)).sum()) <= na + nb
+    if len(sa) != len(sb):
+        size = min(len(sa), len(sb))
+        sa, sb = fold(sa, size).tobytes(), fold(sb, size).tobytes()
+    return 7 * (int.from_bytes(sa) ^ int.from_bytes(sb)).bit_count() <= na + nb
 
 
 def _may_link(pairs: DataFrame, info: DataFrame) -> DataFrame:
@@ -327,37 +333,50 @@ def _more_pivots(members: DataFrame, roots: DataFrame) -> DataFrame:
 def _region_join(members: DataFrame, info: DataFrame, roots: DataFrame, parts: int) -> DataFrame:
     """Candidate pairs (a, b) between different components that share a neighbourhood (sig, node)."""
     placed = members.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("comp"))
-    mixed = placed.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select(F.col("sig").alias("s"))
-    rest = placed.join(mixed, placed["sig"] == mixed["s"], "left_semi")
+    mixed = placed.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("k")).where("x <> y").select(F.col("sig").alias("s"), "k")
+    rest = placed.join(mixed, placed["sig"] == mixed["s"]).drop("s")
     # a pair that meets in many neighbourhoods is reported by one: the least that both sets' least ones share, or any where none is shared
     low = rest.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, LOW).alias("low"))
     rest = rest.join(info.select("node", "n", "sketch").join(low, "node"), "node")
     # a window holds sizes within a factor of 4/3; a set goes to its own window and to the one below, where smaller partners are
     window = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3)) + 1e-9).cast("int")
-    rest = rest.withColumn("w", F.explode(F.array(window, window - 1)))
-
-    def solve(rows: list[tuple], sig: int) -> pa.RecordBatch | None:
-        if len(rows) < 2 or len({r[1] for r in rows}) < 2:
-            return None
-        node, comp, n = (np.array([r[k] for r in rows], np.int64) for k in range(3))
-        pairs = region_pairs(n, comp, [r[3] for r in rows])
-        lows = [set(r[4]) for r in rows]
-        pairs = pairs[[min(lows[i] & lows[j], default=sig) == sig for i, j in pairs.tolist()]] if len(pairs) else pairs
-        return pa.RecordBatch.from_arrays([pa.array(node[pairs[:, 0]]), pa.array(node[pairs[:, 1]])], ["a", "b"]) if len(pairs) else None
+    rest = rest.withColumn("own", window)
+    rest = rest.withColumn("w", F.explode(F.when(F.col("k") <= WHOLE, F.array(F.lit(-2))).otherwise(F.array("own", F.col("own") - 1))))
+
+    def solve(rows: list[tuple], sig: int, w: int) -> Iterator[pa.RecordBatch]:
+        found = []
+        by_own: dict[int, list[tuple]] = {}
+        for r in rows:
+            by_own.setdefault(r[5], []).append(r)
+        for at in by_own if w == -2 else (w,):
+            here = by_own.get(at, []) + by_own.get(at + 1, [])
+            if len({r[1] for r in here}) > 1:
+                found += [(here[i], here[j]) for i, j in _region(here)]
+        pairs = {(a[0], b[0]) for a, b in found if min(set(a[4]) & set(b[4]), default=sig) == sig}
+        if pairs:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs, strict=True)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = [], None
         for b in batches:
             for sig, w, *row in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 if (sig, w) != at:
-                    if at and (got := solve(held, at[0])) is not None:
-                        yield got
+                    if at:
+                        yield from solve(held, *at)
                     held, at = [], (sig, w)
                 held.append(row)
-        if at and (got := solve(held, at[0])) is not None:
-            yield got
+        if at:
+            yield from solve(held, *at)
+
+    return rest.select("sig", "w", "node", "comp", "n", "sketch", "low", "own").repartition(parts, "sig", "w").sortWithinPartitions("sig", "w").mapInArrow(run, "a long, b long")
+
 
-    return rest.select("sig", "w", "node", "comp", "n", "sketch", "low").repartition(parts, "sig", "w").sortWithinPartitions("sig", "w").mapInArrow(run, "a long, b long")
+def _region(rows: list[tuple]) -> list[tuple[int, int]]:
+    """Index pairs of a region's rows (node, comp, n, sketch, ...): a few sets one by one, more by pivots."""
+    if len(rows) > FEW:
+        n, comp = (np.array([r[k] for r in rows], np.int64) for k in (2, 1))
+        return region_pairs(n, comp, [r[3] for r in rows]).tolist()
+    return [(i, j) for j in range(len(rows)) for i in range(j) if rows[i][1] != rows[j][1] and _close(rows[i][2], rows[j][2], rows[i][3], rows[j][3])]
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
