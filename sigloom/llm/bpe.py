@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from sigloom.llm.common import text_or_empty
+from sigloom.llm.common import remembers, text_or_empty
 
 #: Fixed value: the public pre-splitting pattern of byte-level BPE.
 SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -308,6 +308,7 @@ def encoder(path: str) -> Encoder:
     if path not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[path] = Encoder(path)
+        remembers("bpe", _ENCODERS.clear)
     return _ENCODERS[path]
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,19 @@ SPACE = r"[\x20\x09-\x0D]"
 #: Rows of an Arrow batch; texts may be long, so a batch is kept small.
 BATCH_ROWS = 1000
 _OWN: list[str] = []
+#: What operators remember from task to task in a worker process, by owner: how it is forgotten.
+_REMEMBERED: dict[str, Callable[[], None]] = {}
+
+
+def remembers(owner: str, clear: Callable[[], None]) -> None:
+    _REMEMBERED[owner] = clear
+
+
+def only(owner: str) -> None:
+    """Where a task starts: forget what other operators remember in this worker process, which a session uses for all of them."""
+    for name, clear in _REMEMBERED.items():
+        if name != owner:
+            clear()
 
 
 def tune(spark: SparkSession) -> None:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import forget, keep, partitions, text_or_empty
+from sigloom.llm.common import forget, keep, only, partitions, text_or_empty
 from sigloom.llm.words import window_hashes, word_hashes
 
 #: Frequent shingles that come last in the common order: a broadcast of at most so many 64-bit numbers. Any list gives the same result.
@@ -81,6 +81,7 @@ def _profile(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     id_type: list[pa.DataType] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("jaccard")
         held, size, seen = [], 0, set()
         for b in batches:
             id_type[:] = [b.column(0).type]
@@ -112,6 +113,7 @@ def _signatures(docs: DataFrame, text_col: str, hot: np.ndarray, rank: np.ndarra
     """(bucket, sig, node) as packed binaries: the first shingles of each distinct set in the common order. Copies met in one task count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("jaccard")
         seen: set[int] = set()
         for b in batches:
             sigs, nodes = [], []
