@@ -5,7 +5,7 @@ The automaton starts with one state that loops on every byte. Each merge (u, v)
 starts an arc that continues with v, an arc uv leads to where v led. The result accepts, for every byte string,
 exactly one arc sequence: its encoding. All u arcs lead to one state, so a state tree and one arc bit set per
 token describe the automaton; a gadget clears an interval of bits (the copies below the new state, numbered in
-preorder) and copies a bit set.
+preorder) and copies a bit set. Bit sets are copied only when bits are cleared, so tokens share most of them.
 """
 
 from __future__ import annotations
@@ -26,8 +26,10 @@ from sigloom.llm.common import remembers, text_or_empty
 SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts up to this code point are split by SPLIT_PATTERN; above it Unicode versions of regex libraries differ, so the tokenizer's own splitter is asked.
 COMMON_UNICODE = "ԯ"
-#: Chunks and words a worker remembers, and the longest ones in characters that it does.
-CACHE_CHUNKS, CACHE_WORDS, CACHE_CHARS = 1_000_000, 600_000, 64
+#: Chunks and words a worker remembers, in two generations each, and the longest ones in characters that it does.
+CACHE_CHUNKS, CACHE_WORDS, CACHE_CHARS = 1_200_000, 600_000, 64
+#: Characters of texts that are encoded at once, a longer text alone.
+GROUP_CHARS = 1_000_000
 #: Words of up to so many bytes are encoded many at once.
 LOCKSTEP_BYTES = 48
 
@@ -39,12 +41,16 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def vocabulary_spec(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
 class MergeAutomaton:
-    """labels[t]: bytes of arc t; row[t]: the state it leads to; arcs[t]: bit set of the states it leaves."""
+    """labels[t]: bytes of arc t; row[t]: the state it leads to; arcs[kind[t]]: bit set of the states it leaves."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = vocabulary_spec(path)
         model, alphabet = spec["model"], byte_alphabet()
         self.special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         vocab = {bytes(alphabet[c] for c in t): i for t, i in model["vocab"].items() if t not in self.special}
@@ -88,7 +94,7 @@ class MergeAutomaton:
         for k in set(range(len(words))).difference(short):
             out[k] = np.array(self.encode(words[k]), "<u4").tobytes()
         short.sort(key=lambda k: len(words[k]))
-        row, size = np.array(self.row, np.int64), np.array(self.length, np.int64)
+        row, size, kind = (np.array(x, np.int64) for x in (self.row, self.length, self.kind))
         for a in range(0, len(short), 20_000):
             keys = short[a : a + 20_000]
             n, m = len(keys), len(words[keys[-1]])
@@ -109,7 +115,7 @@ class MergeAutomaton:
                     arc = self.node_token[node]
                     here = np.flatnonzero(arc >= 0)
                     t, s = arc[here], state[who[here], i]
-                    here = here[(self.arcs[t, s >> 3] >> (s & 7).astype(np.uint8)) & 1 > 0]
+                    here = here[(self.arcs[kind[t], s >> 3] >> (s & 7).astype(np.uint8)) & 1 > 0]
                     came[who[here], at] = arc[here]
                     state[who[here], at] = row[arc[here]]
                     on = length[who] > at
@@ -153,19 +159,20 @@ class MergeAutomaton:
             stack.append((s, True))
             stack.extend((c, False) for c in below[s])
         width = (at + 7) // 8
-        sets: list = [None] * size
+        sets = [bytes(width)] * size
         for t in single:
-            sets[t] = np.full(width, 255, np.uint8)
+            sets[t] = b"\xff" * width
         for k, (u, v, uv) in enumerate(merges, 1):
             if first[k] < last[k]:
-                self._clear(sets[v], first[k], last[k])
-            sets[uv] = sets[u].copy()
+                bits = np.frombuffer(sets[v], np.uint8).copy()
+                self._clear(bits, first[k], last[k])
+                sets[v] = bits.tobytes()
+            sets[uv] = sets[u]
         self.states = at
         self.row = [first[s] for s in leads]
-        self.arcs = np.zeros((size, width), np.uint8)
-        for t, x in enumerate(sets):
-            if x is not None:
-                self.arcs[t] = x
+        kinds = {x: k for k, x in enumerate(dict.fromkeys(sets))}
+        self.kind = [kinds[x] for x in sets]
+        self.arcs = np.frombuffer(b"".join(kinds), np.uint8).reshape(len(kinds), width)
 
     @staticmethod
     def _clear(bits: np.ndarray, lo: int, hi: int) -> None:
@@ -188,14 +195,14 @@ class MergeAutomaton:
 
     def encode(self, word: bytes) -> list[int]:
         """The one accepted arc sequence that spells word: longest arcs first, dead ends remembered by position."""
-        arcs, row, length, shorter, n = self.arcs, self.row, self.length, self.shorter, len(word)
+        arcs, kind, row, length, shorter, n = self.arcs, self.kind, self.row, self.length, self.shorter, len(word)
         out: list[int] = []
         came: list[int] = []
         dead: set[int] = set()
         at, state = 0, 0
         t = self._longest(word, 0) if n else -1
         while at < n:
-            while t >= 0 and (not int(arcs[t, state >> 3]) >> (state & 7) & 1 or at + length[t] in dead):
+            while t >= 0 and (not int(arcs[kind[t], state >> 3]) >> (state & 7) & 1 or at + length[t] in dead):
                 t = shorter[t]
             if t >= 0:
                 out.append(t)
@@ -215,23 +222,44 @@ class MergeAutomaton:
         return b"".join(map(self.labels.__getitem__, ids))
 
 
+class Remembered:
+    """A bounded memory in two generations: what is asked for is young; when the young fill half of it, they become old and the old ones are forgotten."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def missing(self, asked: set) -> set:
+        """What of asked is not remembered; the rest is young afterwards."""
+        fresh = asked.difference(self.young)
+        again = fresh.intersection(self.old)
+        self.young.update((x, self.old[x]) for x in again)
+        return fresh - again
+
+    def age(self) -> None:
+        if 2 * len(self.young) > self.most:
+            self.old = {k: v for k, v in self.young.items() if len(k) <= CACHE_CHARS}
+            self.young = {}
+
+
 class Encoder:
     """Whole texts. A text is cut before each blank that a non-space follows, which is always a word's start, so that chunks can be remembered."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, chunks: int = CACHE_CHUNKS, words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         self.automaton = MergeAutomaton(path)
         self.split = regex.compile(SPLIT_PATTERN).findall
-        self.own_split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+        spec = vocabulary_spec(path)
+        bare = spec | {"added_tokens": [], "model": {"type": "BPE", "vocab": {}, "merges": []}, "post_processor": None}
+        self.own_split = Tokenizer.from_str(json.dumps(bare)).pre_tokenizer.pre_tokenize_str
+        del spec, bare
         self.alphabet = byte_alphabet()
         special = [re.escape(x) for x in sorted(self.automaton.special, key=len, reverse=True)]
         self.special = re.compile("(" + "|".join(special) + ")") if special else None
         self.odd_blank = re.compile(r" (?:\s|$)").search
         self.cut = re.compile(r" (?=\S)").split
-        self.heads: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
-        self.words: dict[bytes, bytes] = {}
+        self.tails = Remembered(chunks)
+        self.words = Remembered(words)
 
     def _pieces(self, lead: str, chunk: str) -> list[bytes]:
         if chunk.isascii() or max(chunk) <= COMMON_UNICODE:
@@ -249,21 +277,28 @@ class Encoder:
     def _learn(self, lead: str, chunks: set[str], held: dict[str, bytes]) -> None:
         """Add the encodings of chunks to held."""
         pieces = {c: self._pieces(lead, c) for c in chunks}
-        words, fresh = self.words, set()
+        asked: set[bytes] = set()
         for ws in pieces.values():
-            fresh.update(ws)
-        fresh.difference_update(words)
-        order = list(fresh)
+            asked.update(ws)
+        order = list(self.words.missing(asked))
+        words = self.words.young
         words.update(zip(order, self.automaton.encode_many(order), strict=True))
         for c, ws in pieces.items():
             held[c] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
-        if len(words) > CACHE_WORDS:
-            self.words = {w: words[w] for ws in pieces.values() for w in ws if len(w) <= CACHE_CHARS}
-            if len(self.words) > CACHE_WORDS // 2:
-                self.words = {}
+        self.words.age()
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; the strings of special tokens become their ids."""
+        out: list[bytes] = []
+        first, held = 0, 0
+        for k, text in enumerate(texts):
+            if held and held + len(text) > GROUP_CHARS:
+                out += self._group(texts[first:k])
+                first, held = k, 0
+            held += len(text)
+        return out + self._group(texts[first:])
+
+    def _group(self, texts: list[str]) -> list[bytes]:
         plain: list[str] = []
         plan: list[list] = []
         for text in texts:
@@ -281,16 +316,13 @@ class Encoder:
         tails: set[str] = set()
         for p in parts:
             tails.update(p[1:])
-        for lead, asked, held in (("", heads, self.heads), (" ", tails, self.tails)):
-            if fresh := asked.difference(held):
-                self._learn(lead, fresh, held)
-        first, rest = self.heads, self.tails
+        first: dict[str, bytes] = {}
+        self._learn("", heads, first)
+        if fresh := self.tails.missing(tails):
+            self._learn(" ", fresh, self.tails.young)
+        rest = self.tails.young
         out = [first[p[0]] + b"".join(map(rest.__getitem__, p[1:])) for p in parts]
-        self.heads = {}
-        if len(rest) > CACHE_CHUNKS:  # what this batch used holds the frequent ones
-            self.tails = {c: rest[c] for c in tails if len(c) <= CACHE_CHARS}
-            if len(self.tails) > CACHE_CHUNKS // 2:
-                self.tails = {}
+        self.tails.age()
         return out
 
     def encode(self, text: str) -> bytes:
@@ -300,16 +332,16 @@ class Encoder:
         return self.automaton.decode(np.frombuffer(ids, "<u4").tolist()).decode("utf-8", "replace")
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One automaton per worker process and vocabulary."""
-    if path not in _ENCODERS:
+def encoder(path: str, chunks: int = CACHE_CHUNKS, words: int = CACHE_WORDS) -> Encoder:
+    """One automaton per worker process, vocabulary and size of its memory."""
+    if (path, chunks, words) not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path, chunks, words] = Encoder(path, chunks, words)
         remembers("bpe", _ENCODERS.clear)
-    return _ENCODERS[path]
+    return _ENCODERS[path, chunks, words]
 
 
 def encode_decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
