@@ -29,7 +29,7 @@ COMMON_UNICODE = "ԯ"
 #: Chunks and words a worker remembers, in two generations each, and the longest ones in characters that it does.
 CACHE_CHUNKS, CACHE_WORDS, CACHE_CHARS = 1_200_000, 600_000, 64
 #: Characters of texts that are encoded at once, a longer text alone.
-GROUP_CHARS = 1_000_000
+GROUP_CHARS = 8_000_000
 #: Words of up to so many bytes are encoded many at once.
 LOCKSTEP_BYTES = 48
 
@@ -244,9 +244,11 @@ class Remembered:
 class Encoder:
     """Whole texts. A text is cut before each blank that a non-space follows, which is always a word's start, so that chunks can be remembered."""
 
-    def __init__(self, path: str, chunks: int = CACHE_CHUNKS, words: int = CACHE_WORDS):
+    def __init__(self, path: str, chunks: int = CACHE_CHUNKS, words: int = CACHE_WORDS, group: int = GROUP_CHARS):
         from tokenizers import Tokenizer
 
+        self.group_chars = group
+
         self.automaton = MergeAutomaton(path)
         self.split = regex.compile(SPLIT_PATTERN).findall
         spec = vocabulary_spec(path)
@@ -292,7 +294,7 @@ class Encoder:
         out: list[bytes] = []
         first, held = 0, 0
         for k, text in enumerate(texts):
-            if held and held + len(text) > GROUP_CHARS:
+            if held and held + len(text) > self.group_chars:
                 out += self._group(texts[first:k])
                 first, held = k, 0
             held += len(text)
@@ -332,16 +334,16 @@ class Encoder:
         return self.automaton.decode(np.frombuffer(ids, "<u4").tolist()).decode("utf-8", "replace")
 
 
-_ENCODERS: dict[tuple[str, int, int], Encoder] = {}
+_ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, chunks: int = CACHE_CHUNKS, words: int = CACHE_WORDS) -> Encoder:
-    """One automaton per worker process, vocabulary and size of its memory."""
-    if (path, chunks, words) not in _ENCODERS:
+def encoder(path: str, *bounds: int) -> Encoder:
+    """One automaton per worker process, vocabulary and bounds of its memory."""
+    if (path, *bounds) not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[path, chunks, words] = Encoder(path, chunks, words)
+        _ENCODERS[path, *bounds] = Encoder(path, *bounds)
         remembers("bpe", _ENCODERS.clear)
-    return _ENCODERS[path, chunks, words]
+    return _ENCODERS[path, *bounds]
 
 
 def encode_decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from sigloom.llm.bpe import CACHE_CHUNKS, CACHE_WORDS, encoder
+from sigloom.llm.bpe import CACHE_CHUNKS, CACHE_WORDS, GROUP_CHARS, encoder
 from sigloom.llm.common import text_or_empty
 
 #: Open bins a task holds at once.
@@ -50,13 +50,13 @@ class BestFit:
         return at, self.capacity - free
 
 
-def pack(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, open_bins: int = OPEN_BINS, remembered: tuple[int, int] = (CACHE_CHUNKS, CACHE_WORDS)) -> DataFrame:
+def pack(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, open_bins: int = OPEN_BINS, remembered: tuple[int, int, int] = (CACHE_CHUNKS, CACHE_WORDS, GROUP_CHARS)) -> DataFrame:
     """Pieces of all documents with their places in sequences of at most capacity tokens.
 
     Each text (null: empty) is encoded and end_id is added. Only documents above capacity are cut: whole pieces
     of capacity tokens, before them one with the rest. Each task packs what it reads into bins of its own, online, with
     at most open_bins open, so memory is bounded, nothing is shuffled, and a repeated task gives the same rows.
-    remembered bounds the chunks and words whose ids a worker keeps: less memory, more work, the same rows.
+    remembered bounds the chunks and words whose ids a worker keeps, and the characters it encodes at once: less memory, more work, the same rows.
     Repeated rows are packed each; a null id is kept. Empty input gives no rows.
     """
     kind = dict(df.dtypes)[id_col]
