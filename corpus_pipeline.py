@@ -10,8 +10,8 @@ from sigloom.llm.common import keep, table
 from sigloom.llm.queries import vocabulary
 
 
-#: Chunks and words a worker of the packing stage remembers: few, as the stages before have filled the executors' heaps.
-REMEMBERED = (200_000, 60_000)
+#: Chunks and words a worker of the packing stage remembers, and characters it encodes at once: few, as the stages before have filled the executors' heaps.
+REMEMBERED = (200_000, 60_000, 1_000_000)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
