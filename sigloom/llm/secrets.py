@@ -24,16 +24,29 @@ KINDS = ("assign", "access", "hex", "entropy")
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
 #: Character classes, narrowest first: pattern, window in characters, least entropy in bits a character. Words alone are no class.
 CLASSES = (("^[0-9A-Fa-f]+$", 20, 2.9), ("^[0-9A-Z]+$", 20, 3.3), ("^[0-9A-Za-z]+$", 20, 3.5), ("^[0-9A-Za-z+/_=-]+$", 24, 3.7))
-#: Candidates that are no secrets: fewer than three digits, UUIDs, dates and times, documentation examples, counting runs.
+#: Candidates that are no secrets: UUIDs, dates and times, documentation examples, counting runs, numbers. Words joined are told by _worded.
 ALLOWED = (
-    "^[^0-9]*([0-9][^0-9]*){0,2}$",
     "^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$",
     "^[0-9]{4}-[0-9]{2}-[0-9]{2}([T_-][0-9-]+)?$",
     "(?i)example|sample|dummy|placeholder|changeme|xxxx",
     "0123456789|12345678|abcdefgh|ABCDEFGH",
     "^[0-9=_+-]+$",
-    "^[/A-Za-z_-]*/[a-z]+(/[a-z0-9_-]+)*/?$",
 )
+#: What joins the words of paths and identifiers.
+JOINS = "[/_=+-]+"
+
+
+def _word(first: str, rest: str) -> str:
+    """A pattern for pronounceable words of at most 15 letters: consonants and vowels in turn, first and rest giving the case of their letters."""
+    vowel, other = "aeiouy", "bcdfghjklmnpqrstvwxz"
+    v1, c1 = (f"[{''.join(f(x) for f in ({'l': [str.lower], 'u': [str.upper], 'lu': [str.lower, str.upper]}[first]))}]" for x in (vowel, other))
+    v, c = (f"[{getattr(x, {'l': 'lower', 'u': 'upper'}[rest])()}]" for x in (vowel, other))
+    letters = "[a-z]" if rest == "l" else "[A-Z]"
+    return f"(?:(?![A-Za-z]{letters}{{15}})(?:{c1}{c}{{0,2}}{v}{{1,3}}|{v1}{v}{{0,2}})(?:{c}{{1,4}}{v}{{1,3}}){{0,7}}{c}{{0,4}})"
+
+
+#: A piece between joins: nothing, a number, a few letters, or words in capitals, in small letters or in camel case, with at most two digits.
+PIECE = f"^(?:|[0-9]{{1,4}}|(?:[a-z]{{1,3}}|[A-Z]{{1,3}})[0-9]{{0,2}}|(?:{_word('u', 'u')}|{_word('lu', 'l')}(?:{_word('u', 'l')}){{0,12}})[0-9]{{0,2}})$"
 
 
 def _spans(text: Column, matches: Column, pattern: str, kind: int, wanted) -> Column:
@@ -74,8 +87,15 @@ def window_entropy(c: Column, window: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(c)), begin, step, lambda a: a["best"])
 
 
+def _worded(c: Column) -> Column:
+    """Whether a candidate is a path or an identifier made of two words or more. One long run of letters is none, so entropy decides on it."""
+    pieces = F.split(c, JOINS, -1)
+    several = (F.size(F.filter(pieces, lambda p: p.rlike("[A-Za-z]{2}"))) > 1) | c.rlike("[a-z][A-Z]")
+    return several & F.forall(pieces, lambda p: p.rlike(PIECE))
+
+
 def _secret_looking(c: Column) -> Column:
-    allowed = reduce(lambda a, b: a | b, [c.rlike(p) for p in ALLOWED])
+    allowed = reduce(lambda a, b: a | b, [c.rlike(p) for p in ALLOWED]) | _worded(c)
     by_class = F.when(allowed, F.lit(False))
     for pattern, window, least in CLASSES:
         by_class = by_class.when(c.rlike(pattern), window_entropy(c, window) >= least)
