@@ -22,8 +22,8 @@ HEX = "[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "entropy")
 #: Strings that entropy is taken of.
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
-#: Character classes, narrowest first: pattern, window in characters, least entropy in bits a character. Words alone are no class.
-CLASSES = (("^[0-9A-Fa-f]+$", 20, 2.9), ("^[0-9A-Z]+$", 20, 3.3), ("^[0-9A-Za-z]+$", 20, 3.5), ("^[0-9A-Za-z+/_=-]+$", 24, 3.7))
+#: Character classes, narrowest first: pattern, window in characters, least entropy in bits a character. No window is longer than its candidates.
+CLASSES = (("^[0-9A-Fa-f]+$", 20, 2.9), ("^[0-9A-Z]+$", 20, 3.3), ("^[0-9A-Za-z]+$", 20, 3.5), ("^[0-9A-Za-z+/_=-]{20,23}$", 20, 3.5), ("^[0-9A-Za-z+/_=-]+$", 24, 3.7))
 #: Candidates that are no secrets: UUIDs, dates and times, documentation examples, counting runs, numbers. Words joined are told by _worded.
 ALLOWED = (
     "^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$",

@@ -38,3 +38,18 @@ def test_benign_forms(spark):
         "python3/dist-packages/foo", "123e4567-e89b-12d3-a456-426614174000", "2024-01-31T12-30-59-123", "z" * 40, "internationalization", "-" * 60, "word-" * 2000,
     ]
     assert not any(found(spark, words).values())
+
+
+def test_short_candidates_with_joins(spark):
+    """Candidates of 20 to 23 characters with - _ + / are judged by a window that fits them."""
+    rng = random.Random(3)
+    words = ["aB3dE6-gH9jK2_mN5pQ8s"]
+    for n in (20, 21, 22, 23):
+        for join in "-_+/":
+            for _ in range(5):
+                w = draw(rng, n, 3, string.ascii_letters)
+                at = rng.randrange(1, n - 1)
+                words.append(w[:at] + join + w[at + 1 :])
+    got = found(spark, words)
+    assert [w for k, w in enumerate(words) if got[k] != f"entropy:0:{len(w)}"] == []
+    assert not any(found(spark, ["state-of-the-art-way", "src/main/java/com/org", "=" * 22, "ab-ab-ab-ab-ab-ab-ab-"]).values())
