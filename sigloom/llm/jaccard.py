@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigloom.llm.common import forget, keep, only, partitions, text_or_empty
@@ -67,17 +67,22 @@ def _node(values: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(values.tobytes()) - (1 << 63)
 
 
+def _mark(text_col: str) -> Column:
+    """What tells a row from others with its id, or with none: a hash of its text."""
+    return F.xxhash64(text_or_empty(text_col))
+
+
 def _profile(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows of documents (id, n, node, sketch) and of locally frequent shingles (hot, times)."""
+    """Rows of documents (id, mark of the text, n, node, sketch) and of locally frequent shingles (hot, times)."""
     kind = dict(docs.dtypes)[id_col]
 
     def frequent(held: list[np.ndarray]) -> pa.RecordBatch:
         h, n = np.unique(np.concatenate(held), return_counts=True)
         h, n = h[n >= HOT_IN_BUFFER], n[n >= HOT_IN_BUFFER]
         k = len(h)
-        return pa.RecordBatch.from_arrays([pa.nulls(k, id_type[0]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(h.view(np.int64)), pa.array(n)], names)
+        return pa.RecordBatch.from_arrays([pa.nulls(k, id_type[0]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(h.view(np.int64)), pa.array(n)], names)
 
-    names = [id_col, "n", "node", "sketch", "hot", "times"]
+    names = [id_col, "_mark", "n", "node", "sketch", "hot", "times"]
     id_type: list[pa.DataType] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +91,7 @@ def _profile(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for b in batches:
             id_type[:] = [b.column(0).type]
             n, node, sk = [], [], []
-            for text in b.column(1).to_pylist():
+            for text in b.column(2).to_pylist():
                 v = shingles(text)
                 n.append(len(v))
                 node.append(_node(v) if len(v) else None)
@@ -99,14 +104,14 @@ def _profile(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             if len(seen) > 200_000:
                 seen.clear()
             k = len(n)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sk, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sk, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names)
             if size >= HOT_BUFFER:
                 yield frequent(held)
                 held, size = [], 0
         if held:
             yield frequent(held)
 
-    return docs.select(id_col, text_or_empty(text_col).alias("_t")).mapInArrow(run, f"`{id_col}` {kind}, n long, node long, sketch binary, hot long, times long")
+    return docs.select(id_col, _mark(text_col).alias("_mark"), text_or_empty(text_col).alias("_t")).mapInArrow(run, f"`{id_col}` {kind}, _mark long, n long, node long, sketch binary, hot long, times long")
 
 
 def _signatures(docs: DataFrame, text_col: str, hot: np.ndarray, rank: np.ndarray, buckets: int) -> DataFrame:
@@ -225,7 +230,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, info: DataFrame, id_col: str, tex
     """The pairs that link, by their exact sets; only the texts that stand for a set in some pair are read into sets again."""
     spark = pairs.sparkSession
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    needed, needed_path = keep(spark, needed.join(info.select("node", "doc"), "node").select(F.col("doc").alias("_doc"), F.col("node").alias("_node")), "needed")
+    needed, needed_path = keep(spark, needed.join(info.select("node", "doc"), "node").select(F.col("doc.id").alias("_doc"), F.col("doc.mark").alias("_of"), F.col("node").alias("_node")), "needed")
     # few ids go to every task, so that texts need not move; beyond the bound, texts are dealt by id
     needed = F.broadcast(needed) if needed.count() <= MOST_SENT else needed.hint("shuffle_hash")
 
@@ -234,8 +239,8 @@ def _verify(pairs: DataFrame, docs: DataFrame, info: DataFrame, id_col: str, tex
             found = [(node, v.tobytes()) for node, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if _node(v := shingles(t)) == node]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary())], ["node", "items"])
 
-    texts = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_t"))
-    held = texts.join(needed, texts["_id"] == needed["_doc"]).select("_node", "_t").mapInArrow(sets, "node long, items binary")
+    texts = docs.select(F.col(id_col).alias("_id"), _mark(text_col).alias("_mark"), text_or_empty(text_col).alias("_t"))
+    held = texts.join(needed, texts["_id"].eqNullSafe(needed["_doc"]) & (texts["_mark"] == needed["_of"])).select("_node", "_t").mapInArrow(sets, "node long, items binary")
     held, path = keep(spark, held.dropDuplicates(["node"]), "sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,20 +386,16 @@ def _region(rows: list[tuple]) -> list[tuple[int, int]]:
     return [(i, j) for j in range(len(rows)) for i in range(j) if rows[i][1] != rows[j][1] and _close(rows[i][2], rows[j][2], rows[i][3], rows[j][3])]
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id (the smallest id reachable by links) of every row.
-
-    Null, empty and wordless texts have the empty set and are their own component. Rows with one set, repeated rows among them, are
-    one component. A null id never names a component that has another. Other columns are not read.
-    """
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """_id, _mark, n, node and first of every row: first (none, id, mark) is its component's first row, by id with null ids last, then by mark; null for the empty set."""
     spark = docs.sparkSession
     parts = partitions(spark)
     profile, _ = keep(spark, _profile(docs, id_col, text_col), "profile")
-    rows = profile.where("hot is null").select(F.col(id_col).alias("_id"), "n", "node", "sketch")
+    rows = profile.where("hot is null").select(F.col(id_col).alias("_id"), "_mark", "n", "node", "sketch")
     hot = profile.where("hot is not null").groupBy("hot").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "hot").limit(MOST_HOT).toPandas()
     keys = hot["hot"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
-    info, _ = keep(spark, rows.where("node is not null").groupBy("node").agg(F.min("_id").alias("doc"), F.max("n").alias("n"), F.max("sketch").alias("sketch")), "sets")
+    info, _ = keep(spark, rows.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_mark").alias("mark"))).alias("doc"), F.max("n").alias("n"), F.max("sketch").alias("sketch")), "sets")
     signatures = _signatures(docs, text_col, keys[order], np.arange(len(keys), 0, -1)[order], 4 * parts)
     shared, shared_path = keep(spark, _neighbourhoods(signatures, parts), "neighbours")
     first = shared.where("b is not null").select("a", "b").distinct()
@@ -409,10 +410,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     forget(spark, shared_path)
     forget(spark, members_path)
     by_root = info.join(roots, "node", "left").select("node", "doc", F.coalesce("root", "node").alias("root"))
-    names = by_root.groupBy("root").agg(F.min("doc").alias("component_id"))
-    names = by_root.join(names, "root").select(F.col("node").alias("_node"), "component_id")
-    out = rows.join(names, rows["node"] == names["_node"], "left")
-    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "_id").alias("component_id"))
+    names = by_root.groupBy("root").agg(F.min("doc").alias("first"))
+    names = by_root.join(names, "root").select(F.col("node").alias("_node"), "first")
+    return rows.join(names, rows["node"] == names["_node"], "left").select("_id", "_mark", "n", "node", "first")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_shingles, component_id (the smallest id reachable by links) of every row.
+
+    Null, empty and wordless texts have the empty set and are their own component. Rows with one set, repeated rows among them, are
+    one component. A null id never names a component that has another. Other columns are not read.
+    """
+    out = _rows(docs, id_col, text_col)
+    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("first.id", "_id").alias("component_id"))
 
 
 def _kept(pairs: DataFrame) -> DataFrame:
@@ -420,10 +430,18 @@ def _kept(pairs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id names their component: one of each group, and of rows that repeat its id and text one."""
+    """The first row of each component, by id with null ids last: one of each group, and of rows that repeat its id and text one.
+
+    Rows are told by id and text, so what shares an id, or has none, is decided on apart. Rows of the empty set stay; of those
+    that repeat an id one does.
+    """
     spark = docs.sparkSession
-    found, _ = keep(spark, near_duplicates(docs, id_col, text_col), "components")
-    gone = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_gone")).distinct()
-    repeated = found.groupBy(id_col).agg(F.count(F.lit(1)).alias("k")).where("k > 1").limit(1).count()
-    out = docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
-    return out.dropDuplicates([id_col, text_col]) if repeated else out
+    found, _ = keep(spark, _rows(docs, id_col, text_col), "components")
+    other = ~(F.col("_id").eqNullSafe(F.col("first.id")) & (F.col("_mark") == F.col("first.mark")))
+    gone = found.where(F.col("first").isNotNull() & other).select(F.col("_id").alias("_gone"), F.col("_mark").alias("_of")).distinct()
+    repeated = found.groupBy("_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").limit(1).count()
+    out = docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]) & (_mark(text_col) == gone["_of"]), "left_anti")
+    if not repeated:
+        return out
+    nameless = F.col(id_col).isNull() & ~text_or_empty(text_col).rlike(r"[^\x20\x09-\x0D]")
+    return out.where(~nameless).dropDuplicates([id_col, text_col]).union(out.where(nameless))
