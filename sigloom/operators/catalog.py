@@ -88,3 +88,19 @@ def event_kind(src_match: Column, dest_match: Column) -> Column:
 def disk_estimate(files: DataFrame, ratio: float) -> DataFrame:
     """AGG-15."""
     return files.agg(F.floor(F.sum("size") * F.lit(ratio)).cast("long").alias("bytes"), F.count(F.lit(1)).alias("n_files"))
+
+
+def places(files: DataFrame, order: list[str], path: str) -> DataFrame:
+    """SRT-01: files with their place from 1 in the whole order: sorted ranges are numbered apart, plus the rows of the ranges before (one row each).
+
+    The ranges are written to path first, as their bounds are sampled and must be the same for numbers and offsets.
+    """
+    spark = files.sparkSession
+    ranges = files.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), *order).withColumn("_part", F.spark_partition_id())
+    ranges.write.parquet(path)
+    held = spark.read.schema(ranges.schema).parquet(path)
+    sizes = held.groupBy("_part").agg(F.count(F.lit(1)).alias("_k"))
+    before = F.coalesce(F.sum("_k").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("_part", before.alias("_b"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return held.withColumn("_o", own).join(F.broadcast(offsets), "_part").withColumn("place", F.col("_o") + F.col("_b")).drop("_part", "_o", "_b")

@@ -555,13 +555,19 @@ def reconcile(spark, d):
 
 @query("sort_files", "select path, row_number() over (order by key_ms, path) as place from (select * from fil order by key_ms, path limit 100)", "fil")
 def sort_files(spark, d):
-    """SRT-01, SRT-02, WIN-09: the hundred earliest files in order (a top-k report)."""
+    """The hundred earliest files only, as the SQL has them; sort_files_all gives every file its place."""
     from pyspark.sql import Window
 
     top = fil(spark, d).orderBy("key_ms", "path").limit(100)
     return top.select("path", F.row_number().over(Window.orderBy("key_ms", "path")).cast("long").alias("place"))
 
 
+@query("sort_files_all", "select path, row_number() over (order by key_ms, path) as place from fil", "fil")
+def sort_files_all(spark, d):
+    """SRT-01: every file with its place."""
+    return catalog.places(fil(spark, d), ["key_ms", "path"], scratch(spark)).select("path", "place")
+
+
 @query("disk_estimate", "select cast(floor(sum(size) * 0.5) as bigint) as bytes, count(*) as n_files from fil", "fil")
 def disk_estimate(spark, d):
     """AGG-15."""
