@@ -66,6 +66,15 @@ def fill_gaps(samples: DataFrame, channels: list[str], first: int, last: int, fi
     return every.join(samples, ["channel", "sample_idx"], "left").select("channel", "sample_idx", F.coalesce("re", fill).alias("re"), F.col("re").isNull().alias("filled"))
 
 
+def fill_bounds(samples: DataFrame, fill: Column, stretch: int = STRETCH) -> DataFrame:
+    """SNK-06: every index of each channel from its first to its last sample; absent values are fill. A channel is dealt out in stretches."""
+    at = bounds(samples)
+    part = at.select("channel", "first_sample", "last_sample", F.explode(F.sequence(div(F.col("first_sample"), stretch), div(F.col("last_sample"), stretch))).alias("stretch"))
+    low, high = F.greatest("first_sample", F.col("stretch") * stretch), F.least("last_sample", (F.col("stretch") + 1) * stretch - 1)
+    every = part.repartition("channel", "stretch").select("channel", F.explode(F.sequence(low, high)).alias("sample_idx"))
+    return every.join(samples, ["channel", "sample_idx"], "left").select("channel", "sample_idx", F.coalesce("re", fill).alias("re"), F.col("re").isNull().alias("filled"))
+
+
 def union_roots(roots: list[DataFrame]) -> DataFrame:
     """SET-01: one channel from several roots; of samples that two roots hold, the later root's."""
     out = None

@@ -87,6 +87,38 @@ def rolling_s4(samples: DataFrame, half: int, stretch: int = STRETCH) -> DataFra
     return rolled.crossJoin(F.broadcast(samples.agg(F.median("x").alias("m")))).select("sample_idx", (F.col("sd") / F.col("m")).alias("s4"))
 
 
+def robust_lines(points: DataFrame, rounds: int = 10, sigmas: float = 2.0) -> DataFrame:
+    """DSP-19 for each channel of points (channel, t, y, w): channel, slope, intercept. A row a channel and round reaches the driver."""
+    spark = points.sparkSession
+    schema = f"c {dict(points.dtypes)['channel']}, slope double, intercept double, most double"
+    lines = {r[0]: (0.0, 0.0, None) for r in points.select("channel").distinct().collect()}
+    live = set(lines)
+    t, y, w = F.col("t"), F.col("y"), F.col("w")
+
+    def against(channels: set) -> DataFrame:
+        now = spark.createDataFrame([(c, *lines[c]) for c in channels], schema)
+        return points.join(F.broadcast(now), points["channel"].eqNullSafe(now["c"])).withColumn("miss", y - (t * F.col("slope") + F.col("intercept")))
+
+    for _ in range(rounds):
+        if not live:
+            break
+        use = against(live).where("most is null or abs(miss) <= most")
+        sums = use.groupBy("channel").agg(F.sum("w").alias("w"), F.sum(w * t).alias("t"), F.sum(w * y).alias("y"), F.sum(w * t * t).alias("tt"), F.sum(w * t * y).alias("ty")).collect()
+        fitted = set()
+        for s in sums:
+            if s["w"] and (det := s["w"] * s["tt"] - s["t"] ** 2):
+                slope = (s["w"] * s["ty"] - s["t"] * s["y"]) / det
+                lines[s["channel"]] = (slope, (s["y"] - slope * s["t"]) / s["w"], None)
+                fitted.add(s["channel"])
+        live = set()
+        if fitted:
+            for c, spread in against(fitted).groupBy("channel").agg(F.stddev_pop("miss")).collect():
+                if spread:
+                    lines[c] = (*lines[c][:2], sigmas * spread)
+                    live.add(c)
+    return spark.createDataFrame([(c, a, b) for c, (a, b, _) in lines.items()], f"channel {dict(points.dtypes)['channel']}, slope double, intercept double")
+
+
 def robust_line(points: DataFrame, rounds: int = 10, sigmas: float = 2.0) -> tuple[float, float]:
     """DSP-19: slope and intercept of y over t by weighted least squares; each round leaves out what lies sigmas away. Five sums a round reach the driver."""
     slope = offset = 0.0

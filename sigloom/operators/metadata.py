@@ -59,17 +59,17 @@ def flatten(df: DataFrame) -> DataFrame:
     return df.select(*flat_columns(df.schema))
 
 
-def columnar(df: DataFrame, order: str) -> DataFrame:
-    """SRC-16: one row with an array for each flattened field, in order; nulls stay in place as NaN for doubles."""
+def columnar(df: DataFrame, order: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """SRC-16: one row, or one for each value of by, with an array for each flattened field, in order; nulls stay in place as NaN for doubles."""
     flat = flatten(df)
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order), *[F.col(f"`{c}`") for c in flat.columns if c != order])))
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order), *[F.col(f"`{c}`") for c in flat.columns if c != order and c not in by])))
     kinds = dict(flat.dtypes)
 
     def pick(c: str) -> Column:
         missing = F.lit(float("nan")) if kinds[c] in ("double", "float") else F.lit(None)
         return F.transform("r", lambda x: F.coalesce(x[c], missing)).alias(c)
 
-    return flat.agg(rows.alias("r")).select(*[pick(c) for c in flat.columns])
+    return flat.groupBy(*by).agg(rows.alias("r")).select(*by, *[pick(c) for c in flat.columns if c not in by])
 
 
 def broadcast_write(samples: list[int], data: dict) -> list[dict]:

@@ -186,6 +186,12 @@ def gap_fill(spark, d):
     return blocks.fill_gaps(e, [r[0] for r in e.select("channel").distinct().collect()], 0, 499, F.lit(-1.0))
 
 
+@query("gap_fill_all", "select g.channel, g.i as sample_idx, coalesce(re, -1.0) as re, re is null as filled from (select channel, unnest(range(lo, hi + 1)) as i from (select channel, min(sample_idx) as lo, max(sample_idx) as hi from ev group by channel)) g left join ev on ev.channel = g.channel and ev.sample_idx = g.i", "ev")
+def gap_fill_all(spark, d):
+    """SNK-06, gapless streams: each channel from its first to its last sample."""
+    return blocks.fill_bounds(ev(spark, d), F.lit(-1.0))
+
+
 @query("gap_accounting", "select channel, cast(sum(n) as bigint) as total_samples, cast(max(block_start + n) - min(block_start) - sum(n) as bigint) as gap_samples, count(*) as n_blocks from isl group by channel", "ev isl")
 def gap_accounting(spark, d):
     """AGG-14, SNK-09."""
@@ -220,6 +226,12 @@ def vector_cast(spark, d):
     return blocks.as_float(df, "v")
 
 
+@query("vector_cast_all", "select l_orderkey, cast(l_linenumber as double) as v from lineitem")
+def vector_cast_all(spark, d):
+    """SRC-05: every row."""
+    return blocks.as_float(spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", F.col("l_linenumber").cast("int").alias("v")), "v")
+
+
 @query("same_store", "select channel, sample_idx, re, 'a' as side from ev where sample_idx % 100 = 0", "ev")
 def same_store(spark, d):
     """SET-04, JOIN-07, SNK-16: a store and a copy that lacks some rows."""
@@ -268,6 +280,17 @@ def store_blocks(spark, d):
     return s.blocks("ev")
 
 
+@query("store_blocks_all", "select channel, block_start, n from isl", "ev isl")
+def store_blocks_all(spark, d):
+    """SRC-08 on stored chunks of every channel."""
+    s, e, out = Store(spark, scratch(spark)), ev(spark, d), None
+    for name in sorted(r[0] for r in channels(spark, d).collect()):
+        s.create(name, "f64", (NUM, DEN), SUBDIR_S, FILE_MS)
+        s.append(e.where(F.col("channel") == name).select("sample_idx", "re"), name)
+        out = s.blocks(name) if out is None else out.unionByName(s.blocks(name))
+    return out
+
+
 # --- metadata ----------------------------------------------------------------------------------------------------
 
 
@@ -310,6 +333,14 @@ def md_columnar(spark, d):
     return wide.crossJoin(index).select(F.explode(F.arrays_zip("i", "v")).alias("z")).select(F.col("z.i").alias("sample_idx"), "z.v")
 
 
+@query("md_columnar_all", "select channel, sample_idx, v from md", "ev md")
+def md_columnar_all(spark, d):
+    """SRC-16 of all samples: arrays by channel and stretch, zipped again to show them."""
+    m = md(spark, d).select("channel", div(F.col("sample_idx"), blocks.STRETCH).alias("stretch"), "sample_idx", F.col("sample_idx").alias("i"), "v")
+    wide = metadata.columnar(m, "sample_idx", ("channel", "stretch"))
+    return wide.select("channel", F.explode(F.arrays_zip("i", "v")).alias("z")).select("channel", F.col("z.i").alias("sample_idx"), "z.v")
+
+
 @query("md_default_row", f"select c.channel, coalesce(m.sample_idx, 5) as sample_idx, v, cast({NUM} as bigint) as rate_num, cast({DEN} as bigint) as rate_den from (select distinct channel from ev) c left join (select * from md where channel < 'e') m using (channel)", "ev md")
 def md_default_row(spark, d):
     """SRC-19, SRC-20, SRC-21."""
@@ -723,10 +754,9 @@ def prc_doppler(spark, d):
 
 @query("robust_line")
 def robust_line(spark, d):
-    """DSP-19."""
-    p = ev(spark, d).where("channel = 'click'").select((F.col("sample_idx") / 1000).alias("t"), F.col("re").alias("y"), F.lit(1.0).alias("w"))
-    slope, offset = filters.robust_line(p)
-    return spark.createDataFrame([(round(slope, 6), round(offset, 6))], "slope double, intercept double")
+    """DSP-19: a line for each channel."""
+    p = ev(spark, d).select("channel", (F.col("sample_idx") / 1000).alias("t"), F.col("re").alias("y"), F.lit(1.0).alias("w"))
+    return filters.robust_lines(p).select("channel", r6(F.col("slope"), "slope"), r6(F.col("intercept"), "intercept"))
 
 
 @query("relative_tec", f"with p as (select sample_idx, atan2(im, re) as a from ev), s as (select sample_idx, a - lag(a) over (order by sample_idx) as d from p) select sample_idx, round(sum(coalesce(d - 2 * pi() * ceil((d - pi()) / (2 * pi())), 0)) over (order by sample_idx) / (2 * pi()) * {signal.tec_per_cycle()!r}, 4) + 0.0 as tec from s", "ev")
