@@ -221,14 +221,14 @@ def vector_or_error(spark, d):
 
 @query("vector_cast", "select l_orderkey, cast(l_linenumber as double) as v from lineitem where l_linenumber = 1")
 def vector_cast(spark, d):
-    """SRC-05, SRC-07, SNK-05."""
+    """SRC-05 for scalar types."""
     df = spark.read.parquet(f"{d}/lineitem.parquet").where("l_linenumber = 1").select("l_orderkey", F.col("l_linenumber").cast("int").alias("v"))
     return blocks.as_float(df, "v")
 
 
 @query("vector_cast_all", "select l_orderkey, cast(l_linenumber as double) as v from lineitem")
 def vector_cast_all(spark, d):
-    """SRC-05: every row."""
+    """SRC-05 for scalar types: every row."""
     return blocks.as_float(spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", F.col("l_linenumber").cast("int").alias("v")), "v")
 
 
