@@ -15,6 +15,8 @@ from sigloom.session import prepare
 SPACE = r"[\x20\x09-\x0D]"
 #: Rows of an Arrow batch; texts may be long, so a batch is kept small.
 BATCH_ROWS = 1000
+#: Ids and marks of texts that are broadcast at most.
+MOST_SENT = 1 << 20
 _OWN: list[str] = []
 #: What operators remember from task to task in a worker process, by owner: how it is forgotten.
 _REMEMBERED: dict[str, Callable[[], None]] = {}
@@ -63,10 +65,16 @@ def keep(spark: SparkSession, df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def forget(spark: SparkSession, path: str) -> None:
-    """Delete a scratch table that no later plan reads."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def forget(spark: SparkSession, *paths: str) -> None:
+    """Delete scratch tables that no later plan reads."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def sent(rows: DataFrame, most: int = MOST_SENT) -> DataFrame:
+    """Few short rows to join with texts go to every task, so that texts need not move; beyond the counted bound texts are dealt by key."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows.hint("shuffle_hash")
 
 
 def partitions(spark: SparkSession, least: int = 12) -> int:

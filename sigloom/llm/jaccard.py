@@ -20,8 +20,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import forget, keep, only, partitions, text_or_empty
-from sigloom.llm.words import window_hashes, word_hashes
+from sigloom.llm.common import forget, keep, only, partitions, sent, text_or_empty
+from sigloom.llm.words import mix, window_hashes, word_hashes
 
 #: Frequent shingles that come last in the common order: a broadcast of at most so many 64-bit numbers. Any list gives the same result.
 MOST_HOT, HOT_BUFFER, HOT_IN_BUFFER = 1 << 16, 3_000_000, 4
@@ -30,12 +30,14 @@ LEAF, PIVOTS = 256, 8
 SHINGLE = 5
 #: Further pivots of each neighbourhood that the first two leave in several components.
 MORE_PIVOTS = 6
-#: Ids of texts to verify that are broadcast at most.
-MOST_SENT = 1 << 20
 #: Neighbourhoods of at most so many sets are one task's group, and split into windows there.
 WHOLE = 1024
 #: Sets of a region that are compared one by one.
 FEW = 12
+#: Sets of a neighbourhood that are held against each other for a partner; of larger ones all stay.
+COMPARED = 64
+#: Most numbers of sets that stand for several sets; of 10^10 sets about three do.
+MOST_SHARED = 100_000
 #: Least neighbourhoods of a set that tell which one reports a pair.
 LOW = 16
 
@@ -51,7 +53,7 @@ def linked(overlap: int, a: int, b: int) -> bool:
 
 def sketch(values: np.ndarray) -> bytes:
     """Parity sketch: bit h mod 2^k is the parity of the shingles there. Its Hamming distance to another is at most the symmetric difference."""
-    bits = max(512, (4 if len(values) <= 512 else 2) << (len(values) - 1).bit_length())
+    bits = max(256, 2 << (len(values) - 1).bit_length())
     ones = np.bincount((values & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(ones.astype(np.uint8)).tobytes()
 
@@ -63,8 +65,21 @@ def fold(s: bytes, size: int) -> np.ndarray:
     return x
 
 
-def _node(values: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(values.tobytes()) - (1 << 63)
+def identity(values: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """128 bits that tell a set: the number it goes by, of that many bits, and one that tells sets apart which share the first."""
+    h = xxhash.xxh3_128_intdigest(values.tobytes())
+    return ((h & (1 << 64) - 1) >> 64 - bits) - (1 << 63), (h >> 64) - (1 << 63)
+
+
+class Names:
+    """Numbers of sets. Sets whose first 64 bits meet are in shared; both halves name those."""
+
+    def __init__(self, bits: int = 64, shared: frozenset[int] = frozenset()):
+        self.bits, self.shared = bits, shared
+
+    def __call__(self, values: np.ndarray) -> int:
+        node, other = identity(values, self.bits)
+        return node ^ other if node in self.shared else node
 
 
 def _mark(text_col: str) -> Column:
@@ -72,17 +87,17 @@ def _mark(text_col: str) -> Column:
     return F.xxhash64(text_or_empty(text_col))
 
 
-def _profile(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows of documents (id, mark of the text, n, node, sketch) and of locally frequent shingles (hot, times)."""
+def _profile(docs: DataFrame, id_col: str, text_col: str, bits: int) -> DataFrame:
+    """Rows of documents (id, mark of the text, n, identity as node and other, sketch) and of locally frequent shingles (hot, times)."""
     kind = dict(docs.dtypes)[id_col]
 
     def frequent(held: list[np.ndarray]) -> pa.RecordBatch:
         h, n = np.unique(np.concatenate(held), return_counts=True)
         h, n = h[n >= HOT_IN_BUFFER], n[n >= HOT_IN_BUFFER]
         k = len(h)
-        return pa.RecordBatch.from_arrays([pa.nulls(k, id_type[0]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(h.view(np.int64)), pa.array(n)], names)
+        return pa.RecordBatch.from_arrays([pa.nulls(k, id_type[0]), *[pa.nulls(k, pa.int64())] * 4, pa.nulls(k, pa.binary()), pa.array(h.view(np.int64)), pa.array(n)], names)
 
-    names = [id_col, "_mark", "n", "node", "sketch", "hot", "times"]
+    names = [id_col, "_mark", "n", "node", "other", "sketch", "hot", "times"]
     id_type: list[pa.DataType] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,42 +105,45 @@ def _profile(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         held, size, seen = [], 0, set()
         for b in batches:
             id_type[:] = [b.column(0).type]
-            n, node, sk = [], [], []
+            n, name, sk = [], [], []
             for text in b.column(2).to_pylist():
                 v = shingles(text)
                 n.append(len(v))
-                node.append(_node(v) if len(v) else None)
-                fresh = len(v) > 0 and node[-1] not in seen
+                name.append(identity(v, bits) if len(v) else (None, None))
+                fresh = len(v) > 0 and name[-1] not in seen
                 sk.append(sketch(v) if fresh else None)
                 if fresh:
-                    seen.add(node[-1])
+                    seen.add(name[-1])
                     held.append(v)
                     size += len(v)
             if len(seen) > 200_000:
                 seen.clear()
             k = len(n)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sk, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), *(pa.array([x[i] for x in name], pa.int64()) for i in (0, 1)), pa.array(sk, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names)
             if size >= HOT_BUFFER:
                 yield frequent(held)
                 held, size = [], 0
         if held:
             yield frequent(held)
 
-    return docs.select(id_col, _mark(text_col).alias("_mark"), text_or_empty(text_col).alias("_t")).mapInArrow(run, f"`{id_col}` {kind}, _mark long, n long, node long, sketch binary, hot long, times long")
+    return docs.select(id_col, _mark(text_col).alias("_mark"), text_or_empty(text_col).alias("_t")).mapInArrow(run, f"`{id_col}` {kind}, _mark long, n long, node long, other long, sketch binary, hot long, times long")
 
 
-def _signatures(docs: DataFrame, text_col: str, hot: np.ndarray, rank: np.ndarray, buckets: int) -> DataFrame:
-    """(bucket, sig, node) as packed binaries: the first shingles of each distinct set in the common order. Copies met in one task count once."""
+def _signatures(docs: DataFrame, text_col: str, names: Names, hot: np.ndarray, rank: np.ndarray, buckets: int) -> DataFrame:
+    """(bucket, sig, node) as packed binaries: the first shingles of each distinct set in the common order. Copies met in one task count once.
+
+    The low 8 bits of a sig give way to its place, in 256ths of the set; they choose candidates only.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("jaccard")
         seen: set[int] = set()
         for b in batches:
-            sigs, nodes = [], []
+            sigs, nodes, sizes = [], [], []
             for text in b.column(0).to_pylist():
                 v = shingles(text)
                 n = len(v)
-                if not n or (node := _node(v)) in seen:
+                if not n or (node := names(v)) in seen:
                     continue
                 seen.add(node)
                 if len(hot):
@@ -135,57 +153,101 @@ def _signatures(docs: DataFrame, text_col: str, hot: np.ndarray, rank: np.ndarra
                     if late.any():
                         v = v[np.lexsort((v, late))]
                 v = v[: n - (75 * n + 99) // 100 + 1]
-                sigs.append(v)
+                sigs.append(v & ~np.uint64(255) | (np.arange(len(v)) * 256 // n).astype(np.uint64))
                 nodes.append(np.full(len(v), node, np.int64))
+                sizes.append(np.full(len(v), n, np.uint32))
             if len(seen) > 200_000:
                 seen.clear()
             if not sigs:
                 continue
-            s, d = np.concatenate(sigs), np.concatenate(nodes)
+            s, d, m = np.concatenate(sigs), np.concatenate(nodes), np.concatenate(sizes)
             to = (s >> np.uint64(33)) % np.uint64(buckets)
             order = np.argsort(to, kind="stable")
-            to, s, d = to[order], s[order], d[order]
+            to, s, d, m = to[order], s[order], d[order], m[order]
             which, first = np.unique(to, return_index=True)
             last = [*first[1:].tolist(), len(to)]
             blobs = []
             for x, y in zip(first.tolist(), last, strict=True):
                 start = np.flatnonzero(np.r_[True, d[x + 1 : y] != d[x : y - 1]])
                 count = np.diff(np.r_[start, y - x]).astype("<u4")
-                blobs.append(np.uint32(len(start)).tobytes() + d[x:y][start].tobytes() + count.tobytes() + s[x:y].tobytes())
+                blobs.append(np.uint32(len(start)).tobytes() + d[x:y][start].tobytes() + m[x:y][start].tobytes() + count.tobytes() + s[x:y].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     return docs.select(text_or_empty(text_col).alias("_t")).mapInArrow(run, "bucket int, blob binary")
 
 
-def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    sigs, nodes = [], []
+def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    sigs, nodes, sizes = [], [], []
     for x in blobs:
         k = int(np.frombuffer(x, "<u4", 1)[0])
-        node, count = np.frombuffer(x, "<i8", k, 4), np.frombuffer(x, "<u4", k, 4 + 8 * k)
+        node, size, count = np.frombuffer(x, "<i8", k, 4), np.frombuffer(x, "<u4", k, 4 + 8 * k), np.frombuffer(x, "<u4", k, 4 + 12 * k)
         nodes.append(np.repeat(node, count))
-        sigs.append(np.frombuffer(x, "<u8", -1, 4 + 12 * k))
-    return np.concatenate(sigs), np.concatenate(nodes)
+        sizes.append(np.repeat(size, count))
+        sigs.append(np.frombuffer(x, "<u8", -1, 4 + 16 * k))
+    return np.concatenate(sigs), np.concatenate(nodes), np.concatenate(sizes).astype(np.int64)
+
+
+def _changes(*keys: np.ndarray) -> np.ndarray:
+    """Whether each sorted row differs from the one before."""
+    out = np.ones(len(keys[0]), bool)
+    out[1:] = False
+    for k in keys:
+        out[1:] |= k[1:] != k[:-1]
+    return out
+
+
+def neighbourhoods(sig: np.ndarray, node: np.ndarray, n: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(neighbourhood, node, n, most) of the rows that may link within their neighbourhood.
+
+    Where the shared shingle is the first of a pair in the common order, what both hold is at most what is left of each from there
+    on; a link holds 3/7 of the sizes' sum. So a set links, there, with sets of at most most = 7/3 of what is left, less its
+    own size. A shingle's sets are split by size where none below reaches one above, and sets without a partner go.
+    """
+    most = 7 * n * (256 - place) // 768 - n
+    order = np.lexsort((-most, node, n, sig))
+    sig, node, n, most = sig[order], node[order], n[order], most[order]
+    once = _changes(sig, node)
+    sig, node, n, most = sig[once], node[once], n[once], most[once]
+    new = _changes(sig)
+    apart = (np.cumsum(new) - 1) * (int(most.max(initial=0)) - int(most.min(initial=0)) + 1)
+    furthest = np.maximum.accumulate(most + apart) - apart
+    new[1:] |= furthest[:-1] < n[1:]
+    group = np.cumsum(new) - 1
+    size = np.bincount(group)[group]
+    found = size > COMPARED
+    for d in range(1, COMPARED):
+        a = np.flatnonzero((size[:-d] > d) & (group[:-d] == group[d:]) & (n[d:] <= most[:-d]))
+        if not (size > d).any():
+            break
+        a = a[n[a] <= most[a + d]]
+        found[a] = found[a + d] = True
+    name = mix(sig * np.uint64(0x9E3779B97F4A7C15) + n[np.flatnonzero(new)][group].astype(np.uint64))
+    return name[found], node[found], n[found], most[found]
 
 
 def _neighbourhoods(signatures: DataFrame, parts: int) -> DataFrame:
-    """Shared signatures: rows (a, b) that pair a set with a pivot, and rows (sig, a) of neighbourhoods of three sets or more."""
+    """Shared signatures: rows (a, b) that pair a set with a pivot, and rows (sig, a, n) of neighbourhoods of three sets or more."""
 
     def solve(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        s, d = _unpack(blobs)
+        s, d, n = _unpack(blobs)
+        s, d, n, most = neighbourhoods(s >> np.uint64(8), d, n, (s & np.uint64(255)).astype(np.int64))
+        if not len(s):
+            return
         order = np.lexsort((d, s))
-        s, d = s[order], d[order]
-        new = np.r_[True, (s[1:] != s[:-1]) | (d[1:] != d[:-1])]
-        s, d = s[new], d[new]
-        first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+        s, d, n, most = s[order], d[order], n[order], most[order]
+        first = np.flatnonzero(_changes(s))
         size = np.diff(np.r_[first, len(s)])
-        low, high = np.repeat(d[first], size), np.repeat(d[first + size - 1], size)
-        many = np.repeat(size, size)
-        pairs = np.concatenate([np.stack([d, low], 1)[(many > 1) & (d != low)], np.stack([d, high], 1)[(many > 2) & (d != high) & (d != low)]])
-        pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
-        more = many > 2
-        none = lambda n: pa.nulls(n, pa.int64())
-        yield pa.RecordBatch.from_arrays([none(len(pairs)), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["sig", "a", "b"])
-        yield pa.RecordBatch.from_arrays([pa.array(s[more].view(np.int64)), pa.array(d[more]), none(int(more.sum()))], ["sig", "a", "b"])
+        pairs = []
+        for at in (first, first + size - 1):
+            pivot = np.repeat(at, size)
+            ok = (d != d[pivot]) & (n <= most[pivot]) & (n[pivot] <= most)
+            pairs.append(np.stack([np.maximum(d, d[pivot])[ok], np.minimum(d, d[pivot])[ok]], 1))
+        pairs = np.unique(np.concatenate(pairs), axis=0)
+        more = np.repeat(size, size) > 2
+        none = lambda k, kind: pa.nulls(k, kind)
+        k = int(more.sum())
+        yield pa.RecordBatch.from_arrays([none(len(pairs), pa.int64()), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), none(len(pairs), pa.int32())], ["sig", "a", "b", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(s[more].view(np.int64)), pa.array(d[more]), none(k, pa.int64()), pa.array(n[more].astype(np.int32))], ["sig", "a", "b", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = [], None
@@ -199,7 +261,7 @@ def _neighbourhoods(signatures: DataFrame, parts: int) -> DataFrame:
         if held:
             yield from solve(held)
 
-    return signatures.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "sig long, a long, b long")
+    return signatures.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "sig long, a long, b long, n int")
 
 
 def _close(na: int, nb: int, sa: bytes, sb: bytes) -> bool:
@@ -226,17 +288,16 @@ def _may_link(pairs: DataFrame, info: DataFrame) -> DataFrame:
     return near.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, info: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs that link, by their exact sets; only the texts that stand for a set in some pair are read into sets again."""
+def _verify(pairs: DataFrame, docs: DataFrame, info: DataFrame, names: Names, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """The pairs that link and their scratch table, by their exact sets; only the texts that stand for a set in some pair are read into sets again."""
     spark = pairs.sparkSession
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     needed, needed_path = keep(spark, needed.join(info.select("node", "doc"), "node").select(F.col("doc.id").alias("_doc"), F.col("doc.mark").alias("_of"), F.col("node").alias("_node")), "needed")
-    # few ids go to every task, so that texts need not move; beyond the bound, texts are dealt by id
-    needed = F.broadcast(needed) if needed.count() <= MOST_SENT else needed.hint("shuffle_hash")
+    needed = sent(needed)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(node, v.tobytes()) for node, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if _node(v := shingles(t)) == node]
+            found = [(node, v.tobytes()) for node, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if names(v := shingles(t)) == node]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary())], ["node", "items"])
 
     texts = docs.select(F.col(id_col).alias("_id"), _mark(text_col).alias("_mark"), text_or_empty(text_col).alias("_t"))
@@ -254,14 +315,13 @@ def _verify(pairs: DataFrame, docs: DataFrame, info: DataFrame, id_col: str, tex
             yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in ok], pa.int64()), pa.array([c[k] for k in ok], pa.int64())], ["a", "b"])
 
     ia, ib = (held.select(F.col("node").alias(x), F.col("items").alias(f"i{x}")) for x in "ab")
-    out, _ = keep(spark, pairs.join(ia, "a").join(ib, "b").select("a", "b", "ia", "ib").mapInArrow(run, "a long, b long"), "links")
-    forget(spark, path)
-    forget(spark, needed_path)
+    out = keep(spark, pairs.join(ia, "a").join(ib, "b").select("a", "b", "ia", "ib").mapInArrow(run, "a long, b long"), "links")
+    forget(spark, path, needed_path)
     return out
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, root) of every node of the links (a, b): alternating large and small stars until nothing changes. Nothing but two counts comes to the driver."""
+def components(links: DataFrame) -> tuple[DataFrame, str]:
+    """(node, root) of every node of the links (a, b), and its scratch table: alternating large and small stars until nothing changes. Nothing but two counts comes to the driver."""
     spark = links.sparkSession
     now, last, old = links.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo").distinct(), None, None
     while True:
@@ -275,7 +335,7 @@ def components(links: DataFrame) -> DataFrame:
         if old:
             forget(spark, old)
         if tuple(state) == last:
-            return now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
+            return now.select(F.col("hi").alias("node"), F.col("lo").alias("root")), path
         last, old = tuple(state), path
 
 
@@ -318,7 +378,7 @@ def region_pairs(n: np.ndarray, comp: np.ndarray, sketches: list[bytes]) -> np.n
 
 
 def _distinct_neighbourhoods(members: DataFrame) -> DataFrame:
-    """Of neighbourhoods with the same sets, told by their number and two 64-bit sums, one: a passage makes one for each of its shingles."""
+    """Rows (sig, node, n): of neighbourhoods with the same sets, told by their number and two 64-bit sums, one: a passage makes one for each of its shingles."""
     marks = F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")
     first = members.groupBy("sig").agg(*marks).groupBy("k", "x", "y").agg(F.min("sig").alias("s"))
     return members.join(first.select("s"), members["sig"] == first["s"], "left_semi")
@@ -330,21 +390,22 @@ def _more_pivots(members: DataFrame, roots: DataFrame) -> DataFrame:
     Pivots come first in MORE_PIVOTS fixed orders of all sets, so overlapping neighbourhoods choose the same ones: rows are
     linear in the neighbourhoods' members, and what links to a common pivot needs no pair of its own.
     """
-    placed = members.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("comp"))
-    firsts = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), F.col("node").alias("b"), F.col("comp").alias("c"))) for k in range(MORE_PIVOTS)]
+    placed = members.join(roots, "node", "left").select("sig", "node", "n", F.coalesce("root", "node").alias("comp"))
+    firsts = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), F.col("node").alias("b"), F.col("comp").alias("c"), F.col("n").alias("n"))) for k in range(MORE_PIVOTS)]
     mixed = placed.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.array(*firsts).alias("p")).where("x <> y").select(F.col("sig").alias("s"), "p")
-    pairs = placed.join(mixed, placed["sig"] == mixed["s"]).select("node", "comp", F.explode(F.array_distinct(F.filter("p", lambda q: q["c"] != F.col("comp")))).alias("q"))
+    may = lambda q: (q["c"] != F.col("comp")) & (4 * F.least(q["n"], "n") >= 3 * F.greatest(q["n"], "n"))
+    pairs = placed.join(mixed, placed["sig"] == mixed["s"]).select("node", F.explode(F.filter("p", may)).alias("q"))
     return pairs.select(F.greatest("node", "q.b").alias("a"), F.least("node", "q.b").alias("b")).distinct()
 
 
 def _region_join(members: DataFrame, info: DataFrame, roots: DataFrame, parts: int) -> DataFrame:
     """Candidate pairs (a, b) between different components that share a neighbourhood (sig, node)."""
-    placed = members.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("comp"))
+    placed = members.join(roots, "node", "left").select("sig", "node", "n", F.coalesce("root", "node").alias("comp"))
     mixed = placed.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("k")).where("x <> y").select(F.col("sig").alias("s"), "k")
     rest = placed.join(mixed, placed["sig"] == mixed["s"]).drop("s")
     # a pair that meets in many neighbourhoods is reported by one: the least that both sets' least ones share, or any where none is shared
     low = rest.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, LOW).alias("low"))
-    rest = rest.join(info.select("node", "n", "sketch").join(low, "node"), "node")
+    rest = rest.join(info.select("node", "sketch").join(low, "node"), "node")
     # a window holds sizes within a factor of 4/3; a set goes to its own window and to the one below, where smaller partners are
     window = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3)) + 1e-9).cast("int")
     rest = rest.withColumn("own", window)
@@ -386,49 +447,57 @@ def _region(rows: list[tuple]) -> list[tuple[int, int]]:
     return [(i, j) for j in range(len(rows)) for i in range(j) if rows[i][1] != rows[j][1] and _close(rows[i][2], rows[j][2], rows[i][3], rows[j][3])]
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _rows(docs: DataFrame, id_col: str, text_col: str, id_bits: int = 64) -> DataFrame:
     """_id, _mark, n, node and first of every row: first (none, id, mark) is its component's first row, by id with null ids last, then by mark; null for the empty set."""
     spark = docs.sparkSession
     parts = partitions(spark)
-    profile, _ = keep(spark, _profile(docs, id_col, text_col), "profile")
-    rows = profile.where("hot is null").select(F.col(id_col).alias("_id"), "_mark", "n", "node", "sketch")
+    profile, _ = keep(spark, _profile(docs, id_col, text_col, id_bits), "profile")
+    rows = profile.where("hot is null").select(F.col(id_col).alias("_id"), "_mark", "n", "node", "other", "sketch")
+    shared = rows.where("node is not null").groupBy("node").agg(F.min("other").alias("a"), F.max("other").alias("b")).where("a <> b").select("node").take(MOST_SHARED + 1)
+    if len(shared) > MOST_SHARED:
+        raise RuntimeError("too many sets share the first half of their identities")
+    names = Names(id_bits, frozenset(r["node"] for r in shared))
+    if shared:
+        rows = rows.withColumn("node", F.when(F.col("node").isin(sorted(names.shared)), F.col("node").bitwiseXOR(F.col("other"))).otherwise(F.col("node")))
     hot = profile.where("hot is not null").groupBy("hot").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "hot").limit(MOST_HOT).toPandas()
     keys = hot["hot"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
     info, _ = keep(spark, rows.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_mark").alias("mark"))).alias("doc"), F.max("n").alias("n"), F.max("sketch").alias("sketch")), "sets")
-    signatures = _signatures(docs, text_col, keys[order], np.arange(len(keys), 0, -1)[order], 4 * parts)
-    shared, shared_path = keep(spark, _neighbourhoods(signatures, parts), "neighbours")
-    first = shared.where("b is not null").select("a", "b").distinct()
-    known = _verify(_kept(_may_link(first, info)), docs, info, id_col, text_col)
-    roots = components(known)
-    members, members_path = keep(spark, _distinct_neighbourhoods(shared.where("b is null").select("sig", F.col("a").alias("node"))), "members")
-    for step in (lambda: _more_pivots(members, roots), lambda: _region_join(members, info, roots, parts).distinct()):
-        more = _kept(_may_link(step(), info))
-        if more.limit(1).count():
-            known, _ = keep(spark, known.union(_verify(more, docs, info, id_col, text_col)), "links")
-            roots = components(known)
-    forget(spark, shared_path)
-    forget(spark, members_path)
+    signatures = _signatures(docs, text_col, names, keys[order], np.arange(len(keys), 0, -1)[order], 4 * parts)
+    near, near_path = keep(spark, _neighbourhoods(signatures, parts), "neighbours")
+    members, members_path = keep(spark, _distinct_neighbourhoods(near.where("b is null").select("sig", F.col("a").alias("node"), "n")), "members")
+    known, known_path, roots, roots_path = None, None, None, None
+    steps = (lambda: near.where("b is not null").select("a", "b").distinct(), lambda: _more_pivots(members, roots), lambda: _region_join(members, info, roots, parts).distinct())
+    for step in steps:
+        more, more_path = keep(spark, _may_link(step(), info), "pairs")
+        if known is None or more.limit(1).count():
+            links, links_path = _verify(more, docs, info, names, id_col, text_col)
+            if known is not None:
+                both, both_path = keep(spark, known.union(links), "links")
+                forget(spark, links_path, known_path)
+                links, links_path = both, both_path
+            known, known_path, last = links, links_path, roots_path
+            roots, roots_path = components(known)
+            if last:
+                forget(spark, last)
+        forget(spark, more_path)
+    forget(spark, near_path, members_path, known_path)
     by_root = info.join(roots, "node", "left").select("node", "doc", F.coalesce("root", "node").alias("root"))
-    names = by_root.groupBy("root").agg(F.min("doc").alias("first"))
-    names = by_root.join(names, "root").select(F.col("node").alias("_node"), "first")
-    return rows.join(names, rows["node"] == names["_node"], "left").select("_id", "_mark", "n", "node", "first")
+    first = by_root.groupBy("root").agg(F.min("doc").alias("first"))
+    first = by_root.join(first, "root").select(F.col("node").alias("_node"), "first")
+    return rows.join(first, rows["node"] == first["_node"], "left").select("_id", "_mark", "n", "node", "first")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", id_bits: int = 64) -> DataFrame:
     """id, n_shingles, component_id (the smallest id reachable by links) of every row.
 
     Null, empty and wordless texts have the empty set and are their own component. Rows with one set, repeated rows among them, are
     one component. A null id never names a component that has another. Other columns are not read.
     """
-    out = _rows(docs, id_col, text_col)
+    out = _rows(docs, id_col, text_col, id_bits)
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("first.id", "_id").alias("component_id"))
 
 
-def _kept(pairs: DataFrame) -> DataFrame:
-    return keep(pairs.sparkSession, pairs, "pairs")[0]
-
-
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The first row of each component, by id with null ids last: one of each group, and of rows that repeat its id and text one.
 
@@ -438,7 +507,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     spark = docs.sparkSession
     found, _ = keep(spark, _rows(docs, id_col, text_col), "components")
     other = ~(F.col("_id").eqNullSafe(F.col("first.id")) & (F.col("_mark") == F.col("first.mark")))
-    gone = found.where(F.col("first").isNotNull() & other).select(F.col("_id").alias("_gone"), F.col("_mark").alias("_of")).distinct()
+    gone = sent(found.where(F.col("first").isNotNull() & other).select(F.col("_id").alias("_gone"), F.col("_mark").alias("_of")).distinct())
     repeated = found.groupBy("_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").limit(1).count()
     out = docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]) & (_mark(text_col) == gone["_of"]), "left_anti")
     if not repeated:
