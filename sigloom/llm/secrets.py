@@ -67,23 +67,23 @@ def _spans(text: Column, matches: Column, pattern: str, kind: int, wanted) -> Co
 def window_entropy(c: Column, window: int) -> Column:
     """The largest Shannon entropy of any window of that many characters of an ASCII string, by incremental counts.
 
-    The state has the count of each character in the window and the sum of n * log2(n); a step takes one character in
-    and one out and changes those two counts only.
+    The state is the sum of n * log2(n) over the counts n of the window's characters; a step takes one character in and one
+    out, reads those two counts off the window before it, and changes the sum by them.
     """
     weight = lambda n: F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
 
     def step(a: Column, i: Column) -> Column:
-        new = F.ascii(F.substring(c, i, F.lit(1)))
-        old = F.when(i > window, F.ascii(F.substring(c, i - window, F.lit(1)))).otherwise(F.lit(-1))
-        n_new, n_old = F.get(a["n"], new), F.get(a["n"], F.greatest(old, F.lit(0)))
-        gain = weight(n_new + 1) - weight(n_new)
-        loss = F.when(old >= 0, weight(n_old - 1) - weight(n_old)).otherwise(F.lit(0.0))
-        total = F.when(new == old, a["s"]).otherwise(a["s"] + gain + loss)
-        counts = F.transform(a["n"], lambda n, k: n + F.when(k == new, 1).otherwise(0) - F.when(k == old, 1).otherwise(0))
+        first = F.greatest(i - window, F.lit(1))
+        before = F.substring(c, first, i - first)
+        count = lambda x: F.length(before) - F.length(F.replace(before, x, F.lit("")))
+        new, old = F.substring(c, i, F.lit(1)), F.substring(c, first, F.lit(1))
+        gain = weight(count(new) + 1) - weight(count(new))
+        loss = F.when(i > window, weight(count(old) - 1) - weight(count(old))).otherwise(F.lit(0.0))
+        total = F.when((i > window) & (new == old), a["s"]).otherwise(a["s"] + gain + loss)
         bits = F.log2(F.lit(float(window))) - total / window
-        return F.struct(counts.alias("n"), total.alias("s"), F.when(i >= window, F.greatest(a["best"], bits)).otherwise(a["best"]).alias("best"))
+        return F.struct(total.alias("s"), F.when(i >= window, F.greatest(a["best"], bits)).otherwise(a["best"]).alias("best"))
 
-    begin = F.struct(F.array_repeat(F.lit(0), 128).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"))
+    begin = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("best"))
     return F.aggregate(F.sequence(F.lit(1), F.length(c)), begin, step, lambda a: a["best"])
 
 
@@ -102,24 +102,31 @@ def _secret_looking(c: Column) -> Column:
     return by_class.otherwise(F.lit(False))
 
 
+def _scanned(df: DataFrame, text_col: str) -> DataFrame:
+    """row (all columns of df, whatever their names, in one struct), text, base and spans."""
+    t = F.col("text")
+    out = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), text_or_empty(text_col).alias("text"))
+    found = {"a": (ASSIGN, 0), "v": (ASSIGN, 2), "k": (ACCESS, 0), "h": (HEX, 0), "c": (CANDIDATE, 0)}
+    out = out.select("row", "text", *[F.regexp_extract_all(t, F.lit(p), F.lit(g)).alias(name) for name, (p, g) in found.items()])
+    always = lambda i: F.lit(True)
+    assign = _spans(t, F.col("a"), ASSIGN, 0, lambda i: F.length(F.get(F.col("v"), i)) >= 6)
+    access = _spans(t, F.col("k"), ACCESS, 1, always)
+    hexes = _spans(t, F.col("h"), HEX, 2, always)
+    entropy = _spans(t, F.col("c"), CANDIDATE, 3, lambda i: _secret_looking(F.get(F.col("c"), i)))
+    out = out.select("row", "text", F.array_sort(F.concat(assign, access, hexes)).alias("base"), entropy.alias("e"))
+    apart = F.filter("e", lambda e: ~F.exists("base", lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])))
+    return out.select("row", "text", "base", F.array_sort(F.concat(F.col("base"), apart)).alias("spans"))
+
+
 def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with base and spans: arrays of (start, kind, end) by start, then kind; places in code points, end exclusive.
 
     A null or empty text has none. An entropy span is added where it meets no base span. A narrow transformation;
-    other columns pass; texts without a candidate cost one search for each pattern.
+    other columns pass, but a column of df called base or spans is an error. Texts without a candidate cost one search for each pattern.
     """
-    t = F.col("_t")
-    out = df.withColumn("_t", text_or_empty(text_col))
-    out = out.withColumn("_a", F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(0))).withColumn("_v", F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(2)))
-    out = out.withColumn("_k", F.regexp_extract_all(t, F.lit(ACCESS), F.lit(0))).withColumn("_h", F.regexp_extract_all(t, F.lit(HEX), F.lit(0))).withColumn("_c", F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0)))
-    always = lambda i: F.lit(True)
-    assign = _spans(t, F.col("_a"), ASSIGN, 0, lambda i: F.length(F.get(F.col("_v"), i)) >= 6)
-    access = _spans(t, F.col("_k"), ACCESS, 1, always)
-    hexes = _spans(t, F.col("_h"), HEX, 2, always)
-    out = out.withColumn("base", F.array_sort(F.concat(assign, access, hexes)))
-    out = out.withColumn("_e", _spans(t, F.col("_c"), CANDIDATE, 3, lambda i: _secret_looking(F.get(F.col("_c"), i))))
-    apart = F.filter("_e", lambda e: ~F.exists("base", lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])))
-    return out.withColumn("spans", F.array_sort(F.concat(F.col("base"), apart))).drop("_t", "_a", "_v", "_k", "_h", "_c", "_e")
+    if clash := {"base", "spans"} & set(df.columns):
+        raise ValueError(f"columns {sorted(clash)} would clash")
+    return _scanned(df, text_col).select(*[F.col("row")[c].alias(c) for c in df.columns], "base", "spans")
 
 
 def joined(spans: Column) -> Column:
@@ -128,19 +135,27 @@ def joined(spans: Column) -> Column:
 
 
 def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts and digests of each document's spans."""
+    """Counts and digests of each document's spans, one row a row; other columns than id and text are not read."""
     n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
     return scan(df.select(id_col, text_col), text_col).select(id_col, n(0), n(1), n(2), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
 def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """df with each span, or run of overlapping spans, of the text replaced by mark. Texts without spans, null ones too, stay as they are."""
-    cols, text = df.columns, text_or_empty(text_col)
+    """df with each span, or run of overlapping spans, of the text replaced by mark; all other columns as they are, whatever their names.
+
+    Texts without spans, null ones too, stay as they are; so do repeated rows and an empty table. The pieces between spans are cut
+    out by their places and joined once.
+    """
+    text = F.col("text")
+    cut = "array<struct<from:int,to:int>>"
+    begin = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {cut})").alias("out"))
 
     def step(a: Column, s: Column) -> Column:
-        more = F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mark))
         apart = s["start"] >= a["at"]
+        more = F.concat(a["out"], F.array(F.struct(a["at"].alias("from"), s["start"].alias("to"))))
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(apart, more).otherwise(a["out"]).alias("out"))
 
-    masked = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return scan(df, text_col).withColumn(text_col, F.when(F.size("spans") > 0, masked).otherwise(F.col(text_col))).select(cols)
+    last = lambda a: F.concat(a["out"], F.array(F.struct(a["at"].alias("from"), F.length(text).alias("to"))))
+    pieces = F.transform(F.aggregate("spans", begin, step, last), lambda p: F.substring(text, p["from"] + 1, p["to"] - p["from"]))
+    masked = F.when(F.size("spans") > 0, F.array_join(pieces, mark)).otherwise(F.col("row")[text_col])
+    return _scanned(df, text_col).select(*[(masked if c == text_col else F.col("row")[c]).alias(c) for c in df.columns])
