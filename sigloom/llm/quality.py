@@ -15,6 +15,8 @@ from sigloom.llm.words import window_hashes, word_hashes
 
 #: Most labelled documents that the rules are learned from; they are those whose ids hash lowest.
 SAMPLE = 20_000
+#: Most rules of the list, and most thresholds of a rule: what a person can still read. Documents beyond them stay.
+RULES, LITERALS = 32, 4
 #: Least share of rejected among the sample's documents that a rule covers, and least documents that it covers.
 PRECISION, COVER = 0.95, 10
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_stops", "n_distinct")
@@ -83,6 +85,13 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
+def keep_good(docs: DataFrame, rules: list, text_col: str = "text") -> DataFrame:
+    """The rows of docs that judge keeps, with all their columns as they are, whatever their names."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    kept = judge(packed, rules, columns=["row"]).where("kept")
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+
+
 def ratio(name: str) -> Column:
     if name in COUNTS:
         return F.col(name)
@@ -99,7 +108,7 @@ def learn(counts: np.ndarray, bad: np.ndarray) -> list[list[tuple[str, str, int]
     """Sequential covering: grow a conjunction by FOIL gain on two thirds, prune it on the rest, take out what it covers, go on.
 
     A rule is a list of (ratio, "<=" or ">=", threshold), and says reject. It is kept when, on all rows, at least COVER
-    rows and a share of PRECISION are bad. What no rule covers stays.
+    rows and a share of PRECISION are bad; its thresholds then take in the bad rows that lie next. What no rule covers stays.
     """
     x, rules = _ratios(counts), []
     n = len(bad)
@@ -114,9 +123,19 @@ def learn(counts: np.ndarray, bad: np.ndarray) -> list[list[tuple[str, str, int]
             got &= holds(lit)
         return got
 
-    while (left & bad).sum() >= COVER and len(rules) < 32:
+    def stretched(rule: list) -> list:
+        """Each threshold moved out to the last bad row before the first good one that it would take in."""
+        for k, (name, sign, t) in enumerate(rule):
+            here = left & covered(rule[:k] + rule[k + 1 :])
+            v, t = (x[name], t) if sign == "<=" else (-x[name], -t)
+            good = v[here & ~bad & (v > t)].min(initial=np.iinfo(np.int64).max)
+            t = int(v[here & bad & (v < good)].max(initial=t))
+            rule = [*rule[:k], (name, sign, t if sign == "<=" else -t), *rule[k + 1 :]]
+        return rule
+
+    while (left & bad).sum() >= COVER and len(rules) < RULES:
         rule, now = [], left & grow_part
-        for _ in range(4):
+        for _ in range(LITERALS):
             p0, n0 = (now & bad).sum(), (now & ~bad).sum()
             if not p0 or not n0:
                 break
@@ -141,7 +160,7 @@ def learn(counts: np.ndarray, bad: np.ndarray) -> list[list[tuple[str, str, int]
             worth.append(((p - q) / (p + q) if p + q else -1.0, -k))
         if not worth:
             break
-        rule = rule[: -max(worth)[1]]
+        rule = stretched(rule[: -max(worth)[1]])
         got = left & covered(rule)
         p, q = (got & bad).sum(), (got & ~bad).sum()
         if p + q < COVER or p < PRECISION * (p + q):
@@ -174,7 +193,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", sample: int
     return learn(counts[open_][order], rows["_quality"].to_numpy()[open_][order] == 0)
 
 
-def judge(docs: DataFrame, rules: list, id_col: str = "doc_id", columns: list[str] | None = None) -> DataFrame:
-    """columns, COUNTS, base_failed and kept."""
-    out = with_statistics(docs, "text", columns or [id_col])
+def judge(docs: DataFrame, rules: list, id_col: str = "doc_id", columns: list[str] | None = None, text_col: str = "text") -> DataFrame:
+    """columns (the id by default), COUNTS, base_failed and kept of every row.
+
+    A null, empty or wordless text has no words and fails the base rules. Rows that repeat are judged alike, each; an empty table gives
+    no rows. A text's verdict depends on its counts alone, so ties cannot arise. columns named like a result are an error.
+    """
+    columns = columns or [id_col]
+    if clash := {*COUNTS, "base_failed", "kept"} & set(columns):
+        raise ValueError(f"columns {sorted(clash)} would clash")
+    out = with_statistics(docs, text_col, columns)
     return out.withColumn("base_failed", base_failed()).withColumn("kept", F.when(base_failed(), False).otherwise(verdict(rules)))
