@@ -2,7 +2,8 @@
 
 A text is cut where its own content says so, so equal texts have equal chunks. A chunk becomes an identifier (SHA-256,
 checked against its length and a second, unrelated hash), a document the ordered list of its identifiers. Later
-steps move and compare those short lists; the long texts are read once and never shuffled.
+steps move and compare those short lists; the long texts are read once and never shuffled. Of 10^13 different chunks two
+share a SHA-256 with a probability of 10^26 / 2^257, under 10^-50.
 """
 
 from __future__ import annotations
@@ -10,10 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import SPACE, forget, keep, text_or_empty
+from sigloom.llm.common import SPACE, forget, keep, sent, text_or_empty
 
-#: A chunk ends after a sentence's last blank where one of these capitals follows.
-CUT = r"(?<=[.!?] )(?=[A-FÀ-É])"
+#: Characters of a chunk, least and most.
+LEAST, MOST = 64, 4096
+#: Beyond LEAST a chunk ends where one of some letters or digits starts a sentence, after an East Asian sentence, or, in text without either,
+#: within one of a few pairs of letters and digits; at MOST it ends anyway. The places are sparse, so that shifted texts soon cut alike again.
+CUT = r"(?<=[.!?।۔] )(?=[A-FÀ-Éa-c15Α-ΖА-Жא-הا-حअ-क])|(?<=[。！？；…])|(?<=[QZqz79])(?=[A-Fa-f0-4])"
+CHUNK = rf"(?s).{{{LEAST},{MOST}}}?(?:{CUT}|\z)|.{{1,{MOST}}}"
 
 
 def normalised(text_col: str = "text"):
@@ -21,10 +26,11 @@ def normalised(text_col: str = "text"):
 
 
 def recipes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, row, recipe, text_sha256): row tells repeated rows apart."""
+    """(_id, _mark, row, recipe, text_sha256): _mark is a hash of the text as it is, row tells repeated rows apart."""
     text = F.col("_text")
-    chunks = F.transform(F.split(text, CUT), lambda c: F.struct(F.unhex(F.sha2(c, 256)).alias("id"), F.length(c).alias("chars"), F.xxhash64(c).alias("other")))
-    return df.select(F.col(id_col), normalised(text_col).alias("_text")).select(id_col, F.monotonically_increasing_id().alias("row"), chunks.alias("recipe"), F.sha2(text, 256).alias("text_sha256"))
+    chunks = F.transform(F.regexp_extract_all(text, F.lit(CHUNK), F.lit(0)), lambda c: F.struct(F.unhex(F.sha2(c, 256)).alias("id"), F.length(c).alias("chars"), F.xxhash64(c).alias("other")))
+    rows = df.select(F.col(id_col).alias("_id"), normalised(text_col).alias("_text"), F.xxhash64(text_or_empty(text_col)).alias("_mark"))
+    return rows.select("_id", "_mark", F.monotonically_increasing_id().alias("row"), chunks.alias("recipe"), F.sha2(text, 256).alias("text_sha256"))
 
 
 def verify(recipe_rows: DataFrame) -> None:
@@ -35,24 +41,19 @@ def verify(recipe_rows: DataFrame) -> None:
         raise RuntimeError("two chunks share an identifier")
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, text_sha256.
-
-    Texts are equal when identical after each run of white space has become one blank; null counts as empty. The row with
-    the smallest id stays; null ids come last; of repeated rows with one id the first stays (kept is true once a group).
-    Other columns are not read. A hot group meets in no task: groups are pre-aggregated, and the join back is one that
-    adaptive execution splits.
-    """
-    rows, path = keep(df.sparkSession, recipes(df, id_col, text_col), "recipes")
+def _flags(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """_id, _mark, keep_id, group_size, kept, text_sha256 of every row."""
+    rows, _ = keep(df.sparkSession, recipes(df, id_col, text_col), "recipes")
     verify(rows)
     ids = F.transform("recipe", lambda c: c["id"])
-    rows = rows.select(F.col(id_col).alias("_id"), "row", ids.alias("recipe"), "text_sha256")
+    rows = rows.select("_id", "_mark", "row", ids.alias("recipe"), "text_sha256")
     order = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("id"), F.col("row").alias("row"))
     groups = rows.groupBy("recipe").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
     both = rows.join(groups.select(F.col("recipe").alias("r"), "first", "size"), F.col("recipe") == F.col("r"), "left")
     single = F.col("size").isNull()
     return both.select(
-        F.col("_id").alias(id_col),
+        "_id",
+        "_mark",
         F.when(single, F.col("_id")).otherwise(F.col("first.id")).alias("keep_id"),
         F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
         (single | (F.col("first.row") == F.col("row"))).alias("kept"),
@@ -60,16 +61,29 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     )
 
 
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id, keep_id, group_size, kept, text_sha256.
+
+    Texts are equal when identical after each run of white space has become one blank; null counts as empty. The row with
+    the smallest id stays; null ids come last; of repeated rows with one id the first stays (kept is true once a group).
+    Other columns are not read. Groups are pre-aggregated in each task; the join back moves short lists only, and
+    adaptive execution splits a hot one.
+    """
+    return _flags(df, id_col, text_col).select(F.col("_id").alias(id_col), "keep_id", "group_size", "kept", "text_sha256")
+
+
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df that exact_dedup keeps. Only the copies' ids and digests meet the texts again."""
-    flags, _ = keep(df.sparkSession, exact_dedup(df, id_col, text_col), "copies")
-    gone = flags.where(~F.col("kept")).select(F.col(id_col).alias("_gone"), F.col("text_sha256").alias("_sha")).distinct()
-    kept_too = flags.where("kept").select(F.col(id_col).alias("_gone"), F.col("text_sha256").alias("_sha"))
-    gone = gone.join(kept_too.hint("merge"), (gone["_gone"].eqNullSafe(kept_too["_gone"])) & (gone["_sha"] == kept_too["_sha"]), "left_anti")
-    marked = df.withColumn("_sha", F.sha2(normalised(text_col), 256))
-    out = marked.join(gone, (marked[id_col].eqNullSafe(gone["_gone"])) & (marked["_sha"] == gone["_sha"]), "left_anti")
-    repeated = flags.groupBy(id_col, "text_sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
-    return (out.dropDuplicates([id_col, "_sha"]) if repeated else out).drop("_sha")
+    """The rows of df that exact_dedup keeps, with all their columns. An empty table stays empty.
+
+    Only ids and marks of copies meet the texts again; up to a counted bound they go to the texts, which then stay where they are.
+    """
+    flags, _ = keep(df.sparkSession, _flags(df, id_col, text_col).select("_id", "_mark", "kept"), "copies")
+    rows = flags.groupBy("_id", "_mark").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    gone = sent(rows.where("not kept").select(F.col("_id").alias("_gone"), F.col("_mark").alias("_of")))
+    mark = F.xxhash64(text_or_empty(text_col))
+    out = df.join(gone, df[id_col].eqNullSafe(gone["_gone"]) & (mark == gone["_of"]), "left_anti")
+    # rows that repeat an id and a text: one of them
+    return out.dropDuplicates([id_col, text_col]) if rows.where("n > 1").limit(1).count() else out
 
 
 ORACLE = r"""
