@@ -10,14 +10,10 @@ from sigloom.llm.common import keep, table
 from sigloom.llm.queries import vocabulary
 
 
-#: Chunks and words a worker of the packing stage remembers, and characters it encodes at once: few, as the stages before have filled the executors' heaps.
-REMEMBERED = (200_000, 60_000, 1_000_000)
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rules nor the learned decision list rejects."""
     rules = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.judge(docs, rules, columns=docs.columns).where("kept").select(docs.columns)
+    return quality.keep_good(docs, rules)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +31,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, vocabulary(), remembered=REMEMBERED)
+    return packing.pack(docs, vocabulary())
 
 
 STAGES = [("quality_rules", quality_rules), ("exact_dedup", exact_dedup), ("ngram_jaccard_join", ngram_jaccard_join), ("secret_scan", secret_scan), ("best_fit_packing", best_fit_packing)]
