@@ -304,3 +304,138 @@ def test_empty_tables(none):
     assert language.predict(none, language.fit(none)).count() == 0
     pages = none.select(F.col("doc_id").alias("page_id"), F.col("text").alias("url"))
     assert urls.judge(pages, urls.listed_hosts(pages)).count() == 0
+
+
+def test_jaccard_identities_that_meet(spark, rows, docs):
+    """Sets whose first 6 bits meet are told apart by the other half."""
+    own = rows[: len(TEXTS)]
+    _, roots = brute_components([r[1] for r in own])
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs, id_bits=6).where("doc_id is not null").collect()}
+    assert got == {r[0]: c for r, c in zip(own, roots, strict=True)}
+
+
+def test_neighbourhoods_keep_every_link():
+    rng = np.random.default_rng(11)
+    for _ in range(40):
+        sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50))).astype(np.uint64) for _ in range(30)]
+        sets += [np.unique(np.r_[s, rng.integers(0, 60, 2).astype(np.uint64)]) for s in sets[:15]]
+        sig, node, n, place = [], [], [], []
+        for k, s in enumerate(sets):
+            m = len(s) - (75 * len(s) + 99) // 100 + 1
+            for i, x in enumerate(s[:m]):
+                sig.append(x)
+                node.append(k)
+                n.append(len(s))
+                place.append(i * 256 // len(s))
+        group, who, _, _ = jaccard.neighbourhoods(np.array(sig, np.uint64), *(np.array(x, np.int64) for x in (node, n, place)))
+        shared = {(a, b) for g in set(group.tolist()) for a in who[group == g].tolist() for b in who[group == g].tolist()}
+        for i, a in enumerate(sets):
+            for j in range(i):
+                if jaccard.linked(len(np.intersect1d(a, sets[j])), len(a), len(sets[j])):
+                    assert (i, j) in shared
+
+
+def naive_best_fit(needs, capacity, most):
+    bins, out, n = {}, [], 0
+    for need in needs:
+        fits = sorted((free, -at) for at, free in bins.items() if free >= need)
+        if fits:
+            free = fits[0][0]
+            at = max(at for at, f in bins.items() if f == free)
+        else:
+            at, free, n = n, capacity, n + 1
+        out.append((capacity - free, free))
+        bins.pop(at, None)
+        if free > need:
+            bins[at] = free - need
+        if len(bins) > most:
+            full = min(bins.values())
+            bins.pop(max(at for at, f in bins.items() if f == full))
+    return out
+
+
+def test_best_fit_against_brute_force():
+    rng = np.random.default_rng(9)
+    for most in (1, 3, 50):
+        needs = rng.integers(1, 40, 500).tolist()
+        fit = packing.BestFit(40, open_bins=most)
+        got = [fit.place(n)[1] for n in needs]
+        assert got == [offset for offset, _ in naive_best_fit(needs, 40, most)]
+
+
+@pytest.mark.parametrize("parts", [1, 64])
+def test_few_sequences_whatever_the_tasks(spark, parts):
+    rng = np.random.default_rng(2)
+    texts = [(k, "ab cd " * int(rng.integers(1, 400))) for k in range(600)]
+    out = packing.pack(spark.createDataFrame(texts, "doc_id long, text string").repartition(parts), VOCABULARY).collect()
+    total = sum(r.length for r in out)
+    assert len({r.sequence_id for r in out}) <= -(-total // 2048) * 1.01 + 1
+    assert len({(r.sequence_id, r.offset) for r in out}) == len(out)
+
+
+def test_library_ids_equal_on_awkward_texts():
+    tok, enc = Tokenizer.from_file(VOCABULARY), packing.Ranked(VOCABULARY)
+    texts = ["", " " * 1_100_000, "a" * 60_000, "<|endoftext|> x <|endoftext|>", "a԰bԯ  \x85\xa0\x1c", "日本 ١٢٣  x"]
+    texts += ["".join(f"a{chr(c)}1{chr(c)}! {chr(c)}  {chr(c)}x" for c in range(a, a + 64) if not 0xD800 <= c < 0xE000) for a in range(0, 0x110000, 64)]
+    for t in texts:
+        assert np.frombuffer(enc.encode(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
+def test_chunks_spell_the_text(spark):
+    texts = [t for t in TEXTS if t] + ["One two three. " * 400, "日本語です。" * 300, "привет мир " * 300, "q7A" * 5000, "x" * 9000]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    cut = df.select("doc_id", F.regexp_extract_all(exact.normalised(), F.lit(exact.CHUNK), F.lit(0)).alias("c"), exact.normalised().alias("t")).collect()
+    assert all("".join(r.c) == r.t for r in cut)
+    assert all(len(x) <= exact.MOST for r in cut for x in r.c) and max(len(r.c) for r in cut) > 10
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(chr(97 + x) for x in rng.integers(0, 26, rng.integers(2, 9)))
+    one = " ".join(" ".join([word().title(), *(word() for _ in range(rng.integers(3, 15)))]) + "." for _ in range(2000))
+    two = one
+    moved = spark.createDataFrame([(1, one), (2, "A new start. " + two)], "doc_id long, text string").select(F.regexp_extract_all(exact.normalised(), F.lit(exact.CHUNK), F.lit(0)).alias("c")).collect()
+    assert len(set(moved[0].c) & set(moved[1].c)) > 0.9 * len(moved[0].c)
+
+
+def test_clashing_columns(spark):
+    names = ["kept", "spans", "base", "n_words", "base_failed", "_t", "_c", "row", "e", "text_sha256", "_id", "_mark", "_gone", "first"]
+    schema = "doc_id long, text string, " + ", ".join(f"{c} string" for c in names)
+    rows = [(1, "password = hunter2hunter " + BASE, *names), (2, BASE, *names), (3, "few", *names), (None, None, *names)]
+    df = spark.createDataFrame(rows, schema)
+    for out in (secrets.redact(df), quality.keep_good(df, []), exact.drop_copies(df), jaccard.keep_one(df)):
+        assert out.columns == df.columns
+        got = [tuple(r) for r in out.collect()]
+        assert got and all(r[2:] == tuple(names) for r in got)
+    assert sorted(r.doc_id for r in quality.keep_good(df, []).collect()) == [1, 2]
+    for call in (lambda: secrets.scan(df), lambda: quality.judge(df, [], columns=df.columns)):
+        with pytest.raises(ValueError):
+            call()
+
+
+def test_language_against_brute_force(spark):
+    """Prototypes and cosines from vectors of whole texts, made n-gram by n-gram; ties go to the first language."""
+    own = language.Profiles()
+    texts = [("the cat sat on the mat", "en"), ("le chat est sur la table", "fr"), ("die katze sitzt auf der matte", "de"), ("the dog and the bird", "en")]
+
+    def vector(text):
+        words = re.sub(r"[\W\d_]+", " ", text).lower().split()
+        codes = [ord(c) for c in f" {' '.join(words)} "]
+        total = np.zeros(language.DIMENSIONS)
+        for i in range(len(codes) - language.GRAM + 1):
+            v = np.ones(language.DIMENSIONS)
+            for k in range(language.GRAM):
+                v *= np.roll(own.letter(codes[i + k]), k)
+            total += v
+        return total
+
+    train = spark.createDataFrame([(k, t, g) for k, (t, g) in enumerate(texts)], "doc_id long, text string, lang string")
+    sums = {g: sum(vector(t) for t, x in texts if x == g) for g in ("de", "en", "fr")}
+    fitted = language.fit(train)
+    assert all((fitted[g] == sums[g]).all() for g in sums) and sorted(fitted) == sorted(sums)
+    asked = ["a mat for the dog", "la table", "katze", "zzz", "  12 ", None]
+    got = {r.doc_id: r for r in language.predict(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), fitted | {"zz": fitted["en"]}).collect()}
+    for k, t in enumerate(asked):
+        if t is None or not re.search("[a-z]", t):
+            assert (got[k].lang_pred, got[k].score) == ("und", 0.0)
+            continue
+        cosines = {g: sums[g] @ vector(t) / np.linalg.norm(sums[g]) / np.linalg.norm(vector(t)) for g in sums}
+        best = max(sorted(cosines), key=cosines.get)
+        assert got[k].lang_pred == best and got[k].score == pytest.approx((1 + cosines[best]) / 2)
