@@ -66,6 +66,36 @@ def file_key(name: Column) -> Column:
     return F.when(sec != "", sec.cast("long") * 1000 + F.when(ms != "", ms.cast("long")).otherwise(0))
 
 
+def parse_channel(text: str) -> tuple[str, int | None]:
+    """STR-02: name or name:subchannel."""
+    name, colon, sub = text.strip().rpartition(":")
+    if not colon:
+        return text.strip(), None
+    if not name or not re.fullmatch(r"\d+", sub):
+        raise ValueError(f"no channel: {text}")
+    return name, int(sub)
+
+
+def parse_channels(text: str) -> list[tuple[str, int | None]]:
+    """STR-02: a comma list of channels; none twice."""
+    out = [parse_channel(x) for x in text.split(",") if x.strip()]
+    if len(set(out)) < len(out):
+        raise ValueError("a channel stands twice")
+    return out
+
+
+def parse_range(text: str, num: int, den: int, ref: int | None = None) -> tuple[int | None, int | None]:
+    """STR-02: a:b, either side an identifier of parse_sample or empty."""
+    a, colon, b = text.partition(":")
+    if not colon or ":" in b:
+        raise ValueError(f"no range: {text}")
+    lo = parse_sample(a, num, den, ref)
+    hi = parse_sample(b, num, den, lo if lo is not None else ref)
+    if lo is not None and hi is not None and hi < lo:
+        raise ValueError("the range ends before it starts")
+    return lo, hi
+
+
 EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sigloom.functions.timebase import div
 
@@ -22,12 +25,35 @@ def islands(samples: DataFrame, stretch: int = STRETCH) -> DataFrame:
     return merge_blocks(runs.select("channel", "block_start", "n"))
 
 
-def merge_blocks(blocks: DataFrame) -> DataFrame:
-    """Join blocks (channel, block_start, n) that touch."""
-    w = Window.partitionBy("channel").orderBy("block_start")
+def merge_blocks(blocks: DataFrame, span: int = STRETCH) -> DataFrame:
+    """Join blocks (channel, block_start, n) that touch.
+
+    First those that start in one stretch; of the runs that this leaves only a stretch's first and last can touch others, so the window over
+    a whole channel sees at most two rows a stretch.
+    """
+    part = blocks.select("channel", "block_start", "n", div(F.col("block_start"), span).alias("s"))
+    runs = _touching(part, ["channel", "s"])
+    w = Window.partitionBy("channel", "s")
+    edge = (F.col("block_start") == F.min("block_start").over(w)) | (F.col("block_start") == F.max("block_start").over(w))
+    runs = runs.withColumn("edge", edge)
+    return runs.where("not edge").select("channel", "block_start", "n").unionByName(_touching(runs.where("edge").drop("edge", "s"), ["channel"]))
+
+
+def _touching(blocks: DataFrame, by: list[str]) -> DataFrame:
+    w = Window.partitionBy(*by).orderBy("block_start")
     begins = (F.col("block_start") != F.lag(F.col("block_start") + F.col("n")).over(w)) | F.lag("n").over(w).isNull()
     runs = blocks.withColumn("run", F.sum(begins.cast("long")).over(w))
-    return runs.groupBy("channel", "run").agg(F.min("block_start").alias("block_start"), F.sum("n").alias("n")).drop("run")
+    return runs.groupBy(*by, "run").agg(F.min("block_start").alias("block_start"), F.sum("n").alias("n")).drop("run")
+
+
+def _reach(blocks: DataFrame, span: int = STRETCH) -> DataFrame:
+    """blocks with reach: where the furthest of a channel's earlier blocks ends; null at its first. One row a stretch meets in a whole channel's window."""
+    part = blocks.withColumn("s", div(F.col("block_start"), span))
+    end = F.col("block_start") + F.col("n")
+    ends = part.groupBy("channel", "s").agg(F.max(end).alias("e"))
+    before = ends.select("channel", "s", F.max("e").over(Window.partitionBy("channel").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)).alias("b"))
+    own = F.max(end).over(Window.partitionBy("channel", "s").orderBy("block_start", "n").rowsBetween(Window.unboundedPreceding, -1))
+    return part.withColumn("o", own).join(before, ["channel", "s"]).withColumn("reach", F.greatest("o", "b")).drop("s", "o", "b")
 
 
 def between(samples: DataFrame, first: int, last: int, file_span: int | None = None) -> DataFrame:
@@ -50,9 +76,7 @@ def bounds(samples: DataFrame) -> DataFrame:
 
 def gaps(blocks: DataFrame) -> DataFrame:
     """WIN-02: (channel, gap_start, gap_n) between blocks."""
-    w = Window.partitionBy("channel").orderBy("block_start")
-    end = F.lag(F.col("block_start") + F.col("n")).over(w)
-    return blocks.select("channel", end.alias("gap_start"), (F.col("block_start") - end).alias("gap_n")).where("gap_n > 0")
+    return _reach(blocks).select("channel", F.col("reach").alias("gap_start"), (F.col("block_start") - F.col("reach")).alias("gap_n")).where("gap_n > 0")
 
 
 def gap_accounting(blocks: DataFrame) -> DataFrame:
@@ -87,8 +111,7 @@ def union_roots(roots: list[DataFrame]) -> DataFrame:
 
 def overlaps(blocks: DataFrame) -> DataFrame:
     """SRC-26: blocks of any root that start before an earlier one has ended; strict readers refuse them."""
-    w = Window.partitionBy("channel").orderBy("block_start", "n").rowsBetween(Window.unboundedPreceding, -1)
-    return blocks.withColumn("reach", F.max(F.col("block_start") + F.col("n")).over(w)).where("reach > block_start").select("channel", "block_start", "n", "reach")
+    return _reach(blocks).where("reach > block_start").select("channel", "block_start", "n", "reach")
 
 
 def read_vector(samples: DataFrame, channel: str, start: int, n: int) -> DataFrame:
@@ -102,12 +125,54 @@ def read_vector(samples: DataFrame, channel: str, start: int, n: int) -> DataFra
 
 
 #: SRC-05: smallest floating type that holds each storage type.
-FLOAT_OF = {"tinyint": "float", "smallint": "float", "float": "float", "int": "double", "bigint": "double", "double": "double"}
+FLOAT_OF = {"tinyint": "float", "smallint": "float", "float": "float", "int": "double", "bigint": "double", "double": "double", "decimal(20,0)": "double"}
+
+
+def _float_type(kind: T.DataType) -> str:
+    if isinstance(kind, T.StructType):
+        return f"struct<{','.join(f'{f.name}:{_float_type(f.dataType)}' for f in kind.fields)}>"
+    if isinstance(kind, T.ArrayType):
+        return f"array<{_float_type(kind.elementType)}>"
+    return FLOAT_OF[kind.simpleString()]
 
 
 def as_float(df: DataFrame, *columns: str) -> DataFrame:
-    kinds = dict(df.dtypes)
-    return df.withColumns({c: F.col(c).cast(FLOAT_OF[kinds[c]]) for c in columns})
+    """SRC-05: columns of real values, of complex structs (re, im) or of arrays of either, in the smallest floating type that holds them."""
+    return df.withColumns({c: F.col(c).cast(_float_type(df.schema[c].dataType)) for c in columns})
+
+
+def as_complex64(df: DataFrame, *columns: str) -> DataFrame:
+    """SRC-07: complex structs of single precision, the imaginary part of reals 0. Deprecated for as_float, and says so."""
+    warnings.warn("as_complex64 loses digits of types wider than 16 bits; use as_float", DeprecationWarning, stacklevel=2)
+
+    def one(c: str) -> Column:
+        x = F.col(c)
+        pair = (x["re"], x["im"]) if isinstance(df.schema[c].dataType, T.StructType) else (x, F.when(x.isNotNull(), F.lit(0.0)))
+        return F.struct(pair[0].cast("float").alias("re"), pair[1].cast("float").alias("im"))
+
+    return df.withColumns({c: one(c) for c in columns})
+
+
+def interleaved(df: DataFrame, array: str) -> DataFrame:
+    """ARR-01, SNK-05: an array of re, im, re, im, ... as an array of structs; an odd number of items raises."""
+    x = F.col(array)
+    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(x).cast("int") / 2, F.lit(1)).cast("int") - 1), lambda k: F.struct(F.get(x, (2 * k).cast("int")).alias("re"), F.get(x, (2 * k + 1).cast("int")).alias("im")))
+    return df.withColumn(array, F.when(F.size(x) % 2 == 1, F.raise_error("an interleaved array has an even number of items")).when(F.size(x) == 0, F.slice(pairs, 1, 0)).otherwise(pairs))
+
+
+def nth_of_group(df: DataFrame, by: str, order: str, step: int, first: int = 0) -> DataFrame:
+    """WIN-09: every step-th row of each group in order, from the first-th (0-based) on."""
+    w = Window.partitionBy(by).orderBy(order)
+    return df.withColumn("_r", F.row_number().over(w) - 1).where((F.col("_r") >= first) & ((F.col("_r") - first) % step == 0)).drop("_r")
+
+
+def gap_zeros(blocks: DataFrame, most: int) -> DataFrame:
+    """SRC-23: what a gapless reader puts out: blocks with kind data, and the gaps between them with kind zeros, in pieces of at most most samples."""
+    zeros = gaps(blocks).select("channel", F.col("gap_start").alias("block_start"), F.col("gap_n").alias("n"), F.lit("zeros").alias("kind"))
+    every = blocks.select("channel", "block_start", "n", F.lit("data").alias("kind")).unionByName(zeros)
+    pieces = every.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), div(F.col("n") - 1, most))))
+    start = F.col("block_start") + F.col("k") * most
+    return pieces.select("channel", start.alias("block_start"), F.least(F.lit(most).cast("long"), F.col("block_start") + F.col("n") - start).alias("n"), "kind")
 
 
 def same_store(a: DataFrame, b: DataFrame) -> DataFrame:

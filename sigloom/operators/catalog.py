@@ -16,6 +16,103 @@ def list_files(spark, root: str, channel: str | None = None) -> DataFrame:
     return out if channel is None else out.where(F.col("grp") == channel)
 
 
+def in_order(files: DataFrame, reverse: bool = False, path: str | None = None) -> DataFrame:
+    """SRT-01, SRT-02: properties first, then by time and path; last first with reverse. With path, numbered (place) as places() does."""
+    keys = [F.when(F.col("kind") == "properties", 0).otherwise(1).alias("_first") if "kind" in files.columns else F.lit(1).alias("_first")]
+    way = (lambda c: F.desc(c)) if reverse else (lambda c: F.asc(c))
+    return files.withColumn("_first", keys[0]).orderBy("_first", way("key_ms"), way("path")).drop("_first")
+
+
+def of_kinds(files: DataFrame, data: bool = True, metadata: bool = True, properties: bool = True) -> DataFrame:
+    """PRJ-05, PRJ-06, SET-02: files whose names are of the wanted kinds; names in progress are of none."""
+    wanted = [k for k, on in (("data", data), ("metadata", metadata), ("properties", properties)) if on]
+    return files.where(F.col("kind").isin(wanted))
+
+
+def once(events: DataFrame) -> DataFrame:
+    """SRT-09: of rows that tell of one path again, the first by time; what it was told with goes along."""
+    fields = [c for c in events.columns if c != "path"]
+    first = F.min_by(F.struct(*fields), F.struct(*[F.col(c) for c in fields])).alias("m")
+    return events.groupBy("path").agg(first).select("path", "m.*").select(events.columns)
+
+
+def in_time(events: DataFrame, first: int | None, last: int | None) -> DataFrame:
+    """PRJ-10: events within the times, batch or stream; files without a time, as property files are, always pass."""
+    out = events
+    if first is not None:
+        out = out.where(F.col("key_ms").isNull() | (F.col("key_ms") >= first))
+    if last is not None:
+        out = out.where(F.col("key_ms").isNull() | (F.col("key_ms") <= last))
+    return out
+
+
+def channel_of(path: Column, depth: int = 3) -> Column:
+    """STR-03: the channel a path belongs to: the depth-th part from its end."""
+    return F.element_at(F.split(path, "/"), -depth)
+
+
+def changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Watch: (path, event) between two listings (path, size, mtime): created, deleted or modified, by polling."""
+    a, b = (x.select(F.col("path"), F.struct("size", "mtime").alias(n)) for x, n in ((old, "a"), (new, "b")))
+    what = F.when(F.col("a").isNull(), "created").when(F.col("b").isNull(), "deleted").when(~F.col("a").eqNullSafe(F.col("b")), "modified")
+    return a.join(b, "path", "full").select("path", what.alias("event")).where("event is not null")
+
+
+def transfer(files: DataFrame, root: str, target: str, move: bool = False) -> int:
+    """SNK-13: copy or move files (path) under root to the same place under target; how many. Under a hidden name first, renamed when whole.
+
+    Executors copy, each its own rows, through the Hadoop file system of the paths; a repeated task overwrites what it left.
+    """
+    from collections.abc import Iterator
+
+    import pandas as pd
+    import pyarrow.fs as pafs
+
+    def place(path: str):
+        fs, at = pafs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:")) if not path.startswith("file:/") or path.startswith("file:///") else (pafs.LocalFileSystem(), path.removeprefix("file:"))
+        return fs, at
+
+    base = root.removeprefix("file://").removeprefix("file:").rstrip("/")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for path in part["path"]:
+                fs, at = place(path)
+                to_fs, to = place(target.rstrip("/") + "/" + at.partition(base + "/")[2])
+                folder, _, name = to.rpartition("/")
+                to_fs.create_dir(folder, recursive=True)
+                with fs.open_input_stream(at) as source, to_fs.open_output_stream(f"{folder}/tmp.{name}") as sink:
+                    while block := source.read(1 << 22):
+                        sink.write(block)
+                to_fs.move(f"{folder}/tmp.{name}", to)
+                if move:
+                    fs.delete_file(at)
+            yield pd.DataFrame({"n": [len(part)]})
+
+    return files.select("path").mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def archive(source, target, channel: str, first: int, last: int, compression: str = "gzip") -> int:
+    """SNK-14: the samples of an inclusive range of a channel from one store to another, compressed anew; the next index there.
+
+    Folders that lie whole in the range are pruned to by their times and chunk rows of the ends are cut; the target's properties are the source's.
+    """
+    p = source._own(channel)
+    target.create(channel, p["dtype"], (p["rate_num"], p["rate_den"]), p["subdir_s"], p["file_ms"], p["is_complex"], p["num_subchannels"])
+    rows = source.read(channel, first, last)
+    if p["num_subchannels"] > 1:
+        rows = rows.select("sample_idx", F.posexplode("v").alias("subchannel", "v"))
+    value = [F.col("v.re").alias("re"), F.col("v.im").alias("im")] if p["is_complex"] else [F.col("v").alias("re")]
+    return target.append(rows.select("sample_idx", *(["subchannel"] if p["num_subchannels"] > 1 else []), *value), channel, compression)
+
+
+def archive_metadata(source, target, first: int, last: int) -> None:
+    """SNK-15: metadata rows of an inclusive range, and the last one before it, to another metadata store."""
+    p = source.properties()
+    target.create((p["rate_num"], p["rate_den"]), p["subdir_s"], p["file_s"], p["prefix"])
+    target.write(source.read(first, last, fill=True).drop("channel"))
+
+
 def time_slice(files: DataFrame, first: int, last: int) -> DataFrame:
     """PRJ-04: files by their times, both ends included."""
     return files.where(F.col("key_ms").between(first, last))

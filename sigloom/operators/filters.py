@@ -20,14 +20,24 @@ def with_halo(samples: DataFrame, before: int, after: int, stretch: int = STRETC
     return samples.withColumn("stretch", F.explode(F.sequence(F.greatest(first, F.lit(0).cast("long")), last))).withColumn("own", F.col("stretch") == div(i, stretch))
 
 
-def fir(samples: DataFrame, taps: list[float], stretch: int = STRETCH) -> DataFrame:
-    """DSP-08, DSP-09: y[i] = sum taps[k] x[i + k], where all of them are there (indexes are gap-free)."""
-    w = Window.partitionBy("stretch").orderBy("sample_idx")
+def fir(samples: DataFrame, taps: list[float], stretch: int = STRETCH, by: tuple[str, ...] = ()) -> DataFrame:
+    """DSP-08, DSP-09: y[i] = sum taps[k] x[i + k], where all of those samples are there; none over a gap. Signals told by the columns by are apart."""
+    w = Window.partitionBy(*by, "stretch").orderBy("sample_idx")
     terms = [F.lead("x", k).over(w) * F.lit(float(t)) if k else F.col("x") * F.lit(float(t)) for k, t in enumerate(taps)]
     y = terms[0]
     for t in terms[1:]:
         y = y + t
-    return with_halo(samples, 0, len(taps) - 1, stretch).withColumn("y", y).where("own and y is not null").select("sample_idx", "y")
+    whole = F.lead("sample_idx", len(taps) - 1).over(w) == F.col("sample_idx") + (len(taps) - 1)
+    return with_halo(samples, 0, len(taps) - 1, stretch).withColumn("y", F.when(whole, y)).where("own and y is not null").select(*by, "sample_idx", "y")
+
+
+def correlate(samples: DataFrame, code: list[float], stretch: int = STRETCH) -> DataFrame:
+    """DSP-08: y[i] = sum code[k] x[i + k] for every sample, lag 0 aligned; samples that are not there, past the ends or in gaps, count as 0."""
+    n = len(code)
+    taps = F.array(*[F.lit(float(c)) for c in code])
+    near = F.collect_list(F.struct("sample_idx", "x")).over(Window.partitionBy("stretch").orderBy("sample_idx").rangeBetween(0, n - 1))
+    total = F.aggregate("near", F.lit(0.0), lambda a, s: a + s["x"] * F.get(taps, (s["sample_idx"] - F.col("sample_idx")).cast("int")))
+    return with_halo(samples, 0, n - 1, stretch).withColumn("near", near).where("own").select("sample_idx", total.alias("y"))
 
 
 def decimate(samples: DataFrame, taps: list[float], step: int) -> DataFrame:
@@ -73,18 +83,62 @@ def running_sum(samples: DataFrame, value: str, stretch: int = STRETCH) -> DataF
 
 
 def phase_steps(samples: DataFrame, phase: str, stretch: int = STRETCH) -> DataFrame:
-    """WIN-03: each phase's difference to the one before, wrapped to (-pi, pi]; 0 at the first. Their running sum is the unwrapped phase."""
+    """WIN-03: each phase's difference to the one before, wrapped to (-pi, pi]; 0 at the first and after a gap. Their running sum is the unwrapped phase."""
     w = Window.partitionBy("stretch").orderBy("sample_idx")
     d = F.col(phase) - F.lag(phase).over(w)
-    wrapped = d - 2 * math.pi * F.ceil((d - math.pi) / (2 * math.pi))
+    next_ = F.lag("sample_idx").over(w) == F.col("sample_idx") - 1
+    wrapped = F.when(next_, d - 2 * math.pi * F.ceil((d - math.pi) / (2 * math.pi)))
     return with_halo(samples, 1, 0, stretch).withColumn("step", F.coalesce(wrapped, F.lit(0.0))).where("own").select("sample_idx", "step")
 
 
-def rolling_s4(samples: DataFrame, half: int, stretch: int = STRETCH) -> DataFrame:
-    """AGG-13: standard deviation over the samples from half before to half - 1 after, cut at the ends, over the signal's median."""
-    w = Window.partitionBy("stretch").orderBy("sample_idx").rowsBetween(-half, half - 1)
-    rolled = with_halo(samples, half, half - 1, stretch).withColumn("sd", F.stddev_pop("x").over(w)).where("own")
-    return rolled.crossJoin(F.broadcast(samples.agg(F.median("x").alias("m")))).select("sample_idx", (F.col("sd") / F.col("m")).alias("s4"))
+def exact_median(samples: DataFrame, column: str, few: int = 1 << 16) -> float | None:
+    """The median of all values that are neither null nor NaN: brackets narrowed by approximate percentiles until few values are left; counts and few values reach the driver."""
+    x = F.col(column).cast("double")
+    rows = samples.where(x.isNotNull() & ~F.isnan(x)).select(x.alias("x"))
+    n = rows.count()
+    if not n:
+        return None
+    wanted = {(n - 1) // 2, n // 2}
+    below, left = 0, rows
+    while True:
+        held = left.count()
+        if held <= few:
+            got = sorted(r["x"] for r in left.collect())
+            return sum(got[k - below] for k in sorted(wanted)) / len(wanted)
+        share = [max(0.0, (min(wanted) - below) / held - 0.01), min(1.0, (max(wanted) - below + 1) / held + 0.01)]
+        low, high = left.agg(F.percentile_approx("x", share, 10_000)).first()[0]
+        less, over = left.agg(F.count_if(F.col("x") < low), F.count_if(F.col("x") > high)).first()
+        if not below + less <= min(wanted) or not max(wanted) < below + held - over:
+            low, high, less, over = None, None, 0, 0
+        if low == high and low is not None:
+            return low
+        if low is None or less + over == 0:
+            # an unlucky bracket, or few different values: the exact percentiles of what is left
+            at = [(k - below) / max(1, held - 1) for k in sorted(wanted)]
+            return sum(left.agg(F.percentile("x", F.array(*map(F.lit, at)))).first()[0]) / len(wanted)
+        left, below = left.where(F.col("x").between(low, high)), below + less
+
+
+def rolling_s4(samples: DataFrame, half: int, stretch: int = STRETCH, clamped: bool = False) -> DataFrame:
+    """AGG-13, WIN-06: standard deviation over the indexes from half before to half - 1 after, over the signal's median.
+
+    The frame is cut at the ends, or, clamped, the first and last sample stand for those beyond them. Samples that are missing in gaps are left out.
+    """
+    w = Window.partitionBy("stretch").orderBy("sample_idx").rangeBetween(-half, half - 1)
+    placed = with_halo(samples, half, half - 1, stretch)
+    middle = F.lit(exact_median(samples, "x")).cast("double")
+    if not clamped:
+        return placed.withColumn("sd", F.stddev_pop("x").over(w)).where("own").select("sample_idx", (F.col("sd") / middle).alias("s4"))
+    ends = samples.agg(F.min("sample_idx").alias("lo"), F.max("sample_idx").alias("hi"), F.min_by("x", "sample_idx").alias("xl"), F.max_by("x", "sample_idx").alias("xh"))
+    sums = placed.select("sample_idx", "own", *[f.over(w).alias(a) for f, a in ((F.count("x"), "k"), (F.avg("x"), "m"), (F.var_pop("x"), "v"))]).where("own")
+    sums = sums.crossJoin(F.broadcast(ends))
+    i = F.col("sample_idx")
+    before, after = F.greatest(F.lit(0), F.col("lo") - (i - half)), F.greatest(F.lit(0), i + (half - 1) - F.col("hi"))
+    n = F.col("k") + before + after
+    mean = (F.col("k") * F.col("m") + before * F.col("xl") + after * F.col("xh")) / n
+    apart = lambda c: (F.col(c) - mean) * (F.col(c) - mean)
+    spread = (F.col("k") * (F.col("v") + apart("m")) + before * apart("xl") + after * apart("xh")) / n
+    return sums.select("sample_idx", (F.sqrt(spread) / middle).alias("s4"))
 
 
 def robust_lines(points: DataFrame, rounds: int = 10, sigmas: float = 2.0) -> DataFrame:

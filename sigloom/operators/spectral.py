@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigloom.functions.signal import window
@@ -128,3 +128,71 @@ def doppler(profiles: DataFrame, window_name: str, length: int) -> DataFrame:
 
     out = _kernel(flat, "id", ["re", "im"], kernel, "k long, power double")
     return out.select(F.floor(F.col("id") / (1 << 32)).cast("long").alias("range"), (F.col("id") % (1 << 32)).alias("block"), "k", "power")
+
+
+def cross_db(spectrum: DataFrame, group: Column, floor: float = 1e-12) -> DataFrame:
+    """DSP-07: (grp, k, db, phase) of cross spectra (k, re, im) averaged over each group: magnitude in dB and phase in radians."""
+    mean = spectrum.groupBy(group.alias("grp"), "k").agg(F.avg("re").alias("re"), F.avg("im").alias("im"))
+    return mean.select("grp", "k", (10 * F.log10(F.sqrt(F.col("re") ** 2 + F.col("im") ** 2) + floor)).alias("db"), F.atan2("im", "re").alias("phase"))
+
+
+def geometric_mean(samples: DataFrame, by: list[str], re: str = "re", im: str = "im") -> DataFrame:
+    """AGG-12: the product of n complex values each to the power 1/n: log magnitudes and principal phases averaged; 0 where any value is 0."""
+    size = F.sqrt(F.col(re) * F.col(re) + F.col(im) * F.col(im))
+    out = samples.groupBy(*by).agg(F.exp(F.avg(F.when(size > 0, F.log(size)))).alias("m"), F.avg(F.when(size > 0, F.atan2(im, re))).alias("phase"), F.min(size).alias("least"))
+    magnitude = F.when(F.col("least") > 0, F.col("m")).otherwise(0.0)
+    return out.select(*by, magnitude.alias("magnitude"), F.when(F.col("least") > 0, F.col("phase")).otherwise(0.0).alias("phase"))
+
+
+def detrend(df: DataFrame, by: list[str], value: str, how: str = "mean") -> DataFrame:
+    """MTH-08: value less its group's mean or median."""
+    middle = {"mean": F.avg, "median": F.median}[how](value).over(Window.partitionBy(*by))
+    return df.withColumn(value, F.col(value) - middle)
+
+
+def histogram(samples: DataFrame, columns: list[str], bins: int) -> DataFrame:
+    """AGG-06: (part, bin, n) of each column over its own range in equal bins; the last one is closed."""
+    lows = samples.agg(*[f(c).alias(f"{n}_{c}") for c in columns for f, n in ((F.min, "lo"), (F.max, "hi"))])
+    placed = samples.crossJoin(F.broadcast(lows))
+    parts = []
+    for c in columns:
+        width = (F.col(f"hi_{c}") - F.col(f"lo_{c}")) / bins
+        at = F.when(width > 0, F.least(F.floor((F.col(c) - F.col(f"lo_{c}")) / width), F.lit(bins - 1))).otherwise(0)
+        parts.append(F.struct(F.lit(c).alias("part"), at.cast("long").alias("bin"), F.col(c).isNotNull().alias("there")))
+    return placed.select(F.explode(F.array(*parts)).alias("p")).where("p.there").groupBy("p.part", "p.bin").agg(F.count(F.lit(1)).alias("n"))
+
+
+def residual_frequency(df: DataFrame, key: str, a: str, b: str, first: int, last: int, bins: int, rate_hz: float, snr_db: float = 15.0) -> DataFrame:
+    """DSP-18: (key, peak_k, hz, snr_db, found) of the cross spectrum of two windows: its strongest bin in a band, held against noise = median / ln 2.
+
+    hz is that bin's frequency moved by the parabola through it and its neighbours in dB; found is false below snr_db.
+    """
+    cross = cross_spectrum(df, key, a, b).select(key, "k", (F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("power"))
+    top = peak(cross, key, first, last)
+    near = cross.join(top.select(key, "peak_k"), key).where(F.abs(F.col("k") - F.col("peak_k")) == 1)
+    db = lambda x: 10 * F.log10(x + F.lit(1e-300))
+    sides = near.groupBy(key).agg(F.max(F.when(F.col("k") < F.col("peak_k"), F.col("power"))).alias("l"), F.max(F.when(F.col("k") > F.col("peak_k"), F.col("power"))).alias("r"))
+    y0, y1, y2 = db(F.col("l")), db(F.col("peak_power")), db(F.col("r"))
+    bend = y0 - 2 * y1 + y2
+    move = F.when(bend < 0, 0.5 * (y0 - y2) / bend).otherwise(0.0)
+    out = top.join(sides, key, "left").withColumn("snr_db", db(F.col("snr")))
+    hz = (F.col("peak_k") + F.coalesce(move, F.lit(0.0))) * F.lit(rate_hz / bins)
+    return out.select(key, "peak_k", hz.alias("hz"), "snr_db", (F.col("snr_db") >= snr_db).alias("found"))
+
+
+def lag_of(samples: DataFrame, a: str, b: str, most: int) -> DataFrame:
+    """DSP-18: (lag, r): the sum of a[i] b[i + lag] for lags up to most either way; samples go to the lags they meet, no cross join."""
+    shifted = samples.select(F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("lag"), "sample_idx", F.col(b).alias("y"))
+    shifted = shifted.select("lag", (F.col("sample_idx") - F.col("lag")).alias("sample_idx"), "y")
+    return samples.select("sample_idx", F.col(a).alias("x")).join(shifted, "sample_idx").groupBy("lag").agg(F.sum(F.col("x") * F.col("y")).alias("r"))
+
+
+def waveform(code: np.ndarray, repeat: int, taps: np.ndarray | None = None) -> np.ndarray:
+    """DSP-17: a code's chips repeated, filtered around the circle by FFT, its largest magnitude 1."""
+    x = np.repeat(np.asarray(code, complex), repeat)
+    if taps is not None:
+        h = np.zeros(len(x))
+        h[: len(taps)] = taps
+        x = np.fft.ifft(np.fft.fft(x) * np.fft.fft(np.roll(h, -(len(taps) // 2))))
+    most = np.abs(x).max(initial=0)
+    return x / most if most else x

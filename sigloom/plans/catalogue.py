@@ -91,7 +91,12 @@ def md(spark, d) -> DataFrame:
 
 
 def scratch(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sigloom-")
+    """A new path in the folder that all executors share; a local one only where there is one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names the shared folder of a cluster")
+        base = tempfile.mkdtemp(prefix="sigloom-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -179,15 +184,8 @@ def gap_list(spark, d):
     return blocks.gaps(blocks.islands(ev(spark, d)))
 
 
-@query("gap_fill", "select c.channel, g.i as sample_idx, coalesce(re, -1.0) as re, re is null as filled from (select distinct channel from ev) c, (select unnest(range(0, 500)) as i) g left join ev on ev.channel = c.channel and ev.sample_idx = g.i", "ev")
+@query("gap_fill", "select g.channel, g.i as sample_idx, coalesce(re, -1.0) as re, re is null as filled from (select channel, unnest(range(lo, hi + 1)) as i from (select channel, min(sample_idx) as lo, max(sample_idx) as hi from ev group by channel)) g left join ev on ev.channel = g.channel and ev.sample_idx = g.i", "ev")
 def gap_fill(spark, d):
-    """SNK-06, gapless streams."""
-    e = ev(spark, d)
-    return blocks.fill_gaps(e, [r[0] for r in e.select("channel").distinct().collect()], 0, 499, F.lit(-1.0))
-
-
-@query("gap_fill_all", "select g.channel, g.i as sample_idx, coalesce(re, -1.0) as re, re is null as filled from (select channel, unnest(range(lo, hi + 1)) as i from (select channel, min(sample_idx) as lo, max(sample_idx) as hi from ev group by channel)) g left join ev on ev.channel = g.channel and ev.sample_idx = g.i", "ev")
-def gap_fill_all(spark, d):
     """SNK-06, gapless streams: each channel from its first to its last sample."""
     return blocks.fill_bounds(ev(spark, d), F.lit(-1.0))
 
@@ -219,15 +217,8 @@ def vector_or_error(spark, d):
     return blocks.read_vector(s, "ord", 10, 100).select(F.posexplode("vector").alias("p", "x")).select((F.col("p") + 10).cast("long").alias("pos"), "x")
 
 
-@query("vector_cast", "select l_orderkey, cast(l_linenumber as double) as v from lineitem where l_linenumber = 1")
+@query("vector_cast", "select l_orderkey, cast(l_linenumber as double) as v from lineitem")
 def vector_cast(spark, d):
-    """SRC-05 for scalar types."""
-    df = spark.read.parquet(f"{d}/lineitem.parquet").where("l_linenumber = 1").select("l_orderkey", F.col("l_linenumber").cast("int").alias("v"))
-    return blocks.as_float(df, "v")
-
-
-@query("vector_cast_all", "select l_orderkey, cast(l_linenumber as double) as v from lineitem")
-def vector_cast_all(spark, d):
     """SRC-05 for scalar types: every row."""
     return blocks.as_float(spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", F.col("l_linenumber").cast("int").alias("v")), "v")
 
@@ -271,17 +262,8 @@ def store_roundtrip(spark, d):
     return s.read("ord", 25, 1210)
 
 
-@query("store_blocks", "select 'ev' as channel, min(sample_idx) as block_start, count(*) as n from (select sample_idx, sample_idx - row_number() over (order by sample_idx) as g from ev where channel = 'click') group by g", "ev")
+@query("store_blocks", "select channel, block_start, n from isl", "ev isl")
 def store_blocks(spark, d):
-    """SRC-08 on stored chunks: blocks cut at file times are joined again."""
-    s = Store(spark, scratch(spark))
-    s.create("ev", "f64", (NUM, DEN), SUBDIR_S, FILE_MS)
-    s.append(ev(spark, d).where("channel = 'click'").select("sample_idx", "re"), "ev")
-    return s.blocks("ev")
-
-
-@query("store_blocks_all", "select channel, block_start, n from isl", "ev isl")
-def store_blocks_all(spark, d):
     """SRC-08 on stored chunks of every channel."""
     s, e, out = Store(spark, scratch(spark)), ev(spark, d), None
     for name in sorted(r[0] for r in channels(spark, d).collect()):
@@ -325,16 +307,8 @@ def md_flat(spark, d):
     return metadata.flatten(e.select(F.col("event_id").alias("sample_idx"), F.struct(F.col("user_id").alias("user")).alias("who"), F.struct("value", F.col("event_type").alias("kind")).alias("what")))
 
 
-@query("md_columnar", "select sample_idx, v from md where sample_idx between 200 and 600", "ev md")
+@query("md_columnar", "select channel, sample_idx, v from md", "ev md")
 def md_columnar(spark, d):
-    """SRC-16: arrays by field, zipped again to show them."""
-    wide = metadata.columnar(md(spark, d).where("sample_idx between 200 and 600").select("sample_idx", "v"), "sample_idx")
-    index = metadata.columnar(md(spark, d).where("sample_idx between 200 and 600").select("sample_idx", F.col("sample_idx").alias("i")), "sample_idx")
-    return wide.crossJoin(index).select(F.explode(F.arrays_zip("i", "v")).alias("z")).select(F.col("z.i").alias("sample_idx"), "z.v")
-
-
-@query("md_columnar_all", "select channel, sample_idx, v from md", "ev md")
-def md_columnar_all(spark, d):
     """SRC-16 of all samples: arrays by channel and stretch, zipped again to show them."""
     m = md(spark, d).select("channel", div(F.col("sample_idx"), blocks.STRETCH).alias("stretch"), "sample_idx", F.col("sample_idx").alias("i"), "v")
     wide = metadata.columnar(m, "sample_idx", ("channel", "stretch"))
@@ -506,11 +480,11 @@ def s4_roll(spark, d):
     return filters.rolling_s4(ord_(spark, d), 25).select("sample_idx", r6(F.col("s4"), "s4"))
 
 
-@query("geometric_phase", f"select vec // 10 as grp, {s6('exp(avg(ln(abs(x) + 1e-9)))', 'magnitude')} from vec group by 1", "vec")
+@query("geometric_phase", f"select channel, {s6('exp(avg(ln(sqrt((re + 1) * (re + 1) + im * im))))', 'magnitude')}, {s6('avg(atan2(im, re + 1))', 'phase')} from ev group by channel", "ev")
 def geometric_phase(spark, d):
-    """AGG-12: magnitude of the geometric mean, by sums of logarithms."""
-    long = raster.vectors(vec(spark, d), "vec_id", "embedding")
-    return long.groupBy(div(F.col("vec"), 10).alias("grp")).agg(r6(F.exp(F.avg(F.log(F.abs("x") + 1e-9))), "magnitude"))
+    """AGG-12: magnitude and phase of the product of complex samples, each to the power 1/n."""
+    z = ev(spark, d).withColumn("re", F.col("re") + 1)
+    return spectral.geometric_mean(z, ["channel"]).select("channel", r6(F.col("magnitude"), "magnitude"), r6(F.col("phase"), "phase"))
 
 
 @query("autoscale", "select channel, min(re) - 1 as lo, max(re) + 1 as hi, round(median(re), 6) as mid from ev group by channel", "ev")
@@ -519,7 +493,7 @@ def autoscale(spark, d):
     return ev(spark, d).where(~F.isnan("re")).groupBy("channel").agg((F.min("re") - 1).alias("lo"), (F.max("re") + 1).alias("hi"), F.round(F.median("re"), 6).alias("mid"))
 
 
-@query("snr_filter", "select a.vec, a.pos from vec a join vec b on b.vec = a.vec + 1 and a.pos = b.pos where a.vec % 2 = 0 and a.x * a.x > 0.01 and b.x * b.x > 0.01", "vec")
+@query("snr_filter", "with w as materialized (select cast(vec_id as bigint) as vec, list_transform(embedding, lambda x: cast(x as double) * cast(x as double) > 0.01) as ok from embeddings), pair as (select a.vec, a.ok as p, b.ok as q from w a join w b on b.vec = a.vec + 1 where a.vec % 2 = 0) select vec, cast(k as bigint) as pos from (select vec, unnest(range(0, len(p))) as k, p, q from pair) where p[k + 1] and q[k + 1]")
 def snr_filter(spark, d):
     """PRJ-09."""
     v = raster.vectors(vec(spark, d), "vec_id", "embedding").where("x * x > 0.01")
@@ -584,17 +558,8 @@ def reconcile(spark, d):
     return catalog.reconcile(p.where("cast(path as bigint) % 2 = 0"), p.where("cast(path as bigint) % 3 = 0"))
 
 
-@query("sort_files", "select path, row_number() over (order by key_ms, path) as place from (select * from fil order by key_ms, path limit 100)", "fil")
+@query("sort_files", "select path, row_number() over (order by key_ms, path) as place from fil", "fil")
 def sort_files(spark, d):
-    """The hundred earliest files only, as the SQL has them; sort_files_all gives every file its place."""
-    from pyspark.sql import Window
-
-    top = fil(spark, d).orderBy("key_ms", "path").limit(100)
-    return top.select("path", F.row_number().over(Window.orderBy("key_ms", "path")).cast("long").alias("place"))
-
-
-@query("sort_files_all", "select path, row_number() over (order by key_ms, path) as place from fil", "fil")
-def sort_files_all(spark, d):
     """SRT-01: every file with its place."""
     return catalog.places(fil(spark, d), ["key_ms", "path"], scratch(spark)).select("path", "place")
 
@@ -747,7 +712,7 @@ def prc_range_profile(spark, d):
 
 @query("prc_doppler")
 def prc_doppler(spark, d):
-    """DSP-15, DSP-16."""
+    """DSP-15."""
     h = spectral.least_squares(vec(spark, d), "vec_id", "embedding", spectral.random_code(64, 0), 8).withColumnRenamed("vec_id", "segment")
     return spectral.doppler(h, "blackmanharris", 16).select("range", "block", "k", r6(F.col("power"), "power"))
 

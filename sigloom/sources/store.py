@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from datetime import datetime, timedelta, timezone
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sigloom.functions.timebase import div, file_millis
@@ -13,6 +15,21 @@ DTYPES = {"s8": ("tinyint", -128), "s16": ("smallint", -32768), "s32": ("int", -
 PROPERTIES = ("channel", "dtype", "rate_num", "rate_den", "subdir_s", "file_ms", "is_complex", "num_subchannels")
 
 
+#: Largest values of the types that Spark has no unsigned form of.
+UNSIGNED = {"u8": 2**8 - 1, "u16": 2**16 - 1, "u32": 2**32 - 1, "u64": 2**64 - 1}
+
+
+def checked_cast(value: Column, dtype: str) -> Column:
+    """SNK-05: value in the storage type's Spark type; what does not fit raises."""
+    kind = DTYPES[dtype][0]
+    if dtype in UNSIGNED:
+        return F.when((value >= 0) & (value <= F.lit(str(UNSIGNED[dtype])).cast("decimal(20,0)")), value.cast(kind)).when(value.isNotNull(), F.raise_error(F.lit(f"a value is out of range of {dtype}")).cast(kind))
+    bits = {"s8": 7, "s16": 15, "s32": 31, "s64": 63}.get(dtype)
+    if bits is None:
+        return value.cast(kind)
+    return F.when((value >= -(2**bits)) & (value <= 2**bits - 1), value.cast(kind)).when(value.isNotNull(), F.raise_error(F.lit(f"a value is out of range of {dtype}")).cast(kind))
+
+
 def validate(dtype: str, rate_num: int, rate_den: int, subdir_s: int, file_ms: int, num_subchannels: int = 1, compression: int = 0) -> None:
     """SNK-01."""
     if dtype.removeprefix("c") not in DTYPES:
@@ -35,10 +52,62 @@ class Store:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
+    def _channel_path(self, channel: str) -> str:
+        return f"{self.root}/chunks/channel={self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(channel)}"
+
     def properties(self) -> DataFrame:
-        """SRC-10, SRC-27: a row for each channel."""
+        """SRC-10: a row for each channel."""
         return self.spark.read.parquet(f"{self.root}/channels").dropDuplicates(["channel"])
 
+    def _own(self, channel: str):
+        p = self.properties().where(F.col("channel") == channel).first()
+        if p is None:
+            raise KeyError(channel)
+        return p
+
+    def file_of(self, channel: str, sample: int):
+        """SRC-10: the row (file_ms, subdir, first_sample, last_sample, n_samples) of the file that holds a sample's time; an error if there is none."""
+        p = self._own(channel)
+        ms = sample * p["rate_den"] * 1000 // p["rate_num"] // p["file_ms"] * p["file_ms"]
+        held = self.files(channel).where(F.col("file_ms") == ms).first()
+        if held is None:
+            raise FileNotFoundError(f"no file of {channel} holds sample {sample}")
+        return held
+
+    def files(self, channel: str) -> DataFrame:
+        """A row for each file time, from index columns alone."""
+        ends = F.col("block_start") + F.col("n") - 1
+        return self.chunks(channel).groupBy("subdir", "file_ms").agg(F.min("block_start").alias("first_sample"), F.max(ends).alias("last_sample"), F.sum("n").alias("n_samples"))
+
+    def last_write(self, channel: str) -> tuple | None:
+        """SRC-11: (time, path) of the file with the last sample; None without any."""
+        if self.bounds(channel) is None:
+            return None
+        at = F.struct((F.col("block_start") + F.col("n")).alias("end"), F.col("_metadata.file_modification_time").alias("time"), F.col("_metadata.file_path").alias("path"))
+        r = self.chunks(channel).agg(F.max(at).alias("m")).first()["m"]
+        return r["time"], r["path"]
+
+    def written(self, channel: str) -> dict:
+        """SNK-09: samples held and missing, the next index, and the last file's folder, time and UTC."""
+        r = self.chunks(channel).agg(F.sum("n"), F.min("block_start"), F.max(F.col("block_start") + F.col("n")), F.max(F.struct("file_ms", "subdir"))).first()
+        if r[0] is None:
+            return {"total_samples": 0, "gap_samples": 0, "next_sample": 0, "last_file_ms": None, "last_subdir": None, "last_utc": None}
+        utc = datetime.fromtimestamp(0, timezone.utc) + timedelta(milliseconds=r[3]["file_ms"])
+        return {"total_samples": r[0], "gap_samples": r[2] - r[1] - r[0], "next_sample": r[2], "last_file_ms": r[3]["file_ms"], "last_subdir": r[3]["subdir"], "last_utc": utc}
+
+    def recover(self) -> list[str]:
+        """SRC-27: rebuild the properties of channels that have chunks but no properties row, from any of their chunk rows; their names."""
+        held = set(self.channels()) if self._exists(f"{self.root}/channels") else set()
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/chunks")
+        folders = [x.getPath().toString() for x in p.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(p) if x.isDirectory()]
+        found = []
+        for folder in folders:
+            own = self.spark.read.parquet(folder).select("properties.*").first()
+            if own is not None and own["channel"] not in held:
+                self.create(own["channel"], own["dtype"], (own["rate_num"], own["rate_den"]), own["subdir_s"], own["file_ms"], own["is_complex"], own["num_subchannels"])
+                found.append(own["channel"])
+        return sorted(found)
+
     def channels(self) -> list[str]:
         """SRC-02."""
         if not self._exists(f"{self.root}/channels"):
@@ -58,37 +127,78 @@ class Store:
         schema = "channel string, dtype string, rate_num long, rate_den long, subdir_s long, file_ms long, is_complex boolean, num_subchannels int"
         self.spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(f"{self.root}/channels")
 
-    def append(self, samples: DataFrame, channel: str, compression: str = "snappy") -> None:
-        """SNK-02..08: samples (sample_idx, re[, im, subchannel]) after all that is held; cut at file times into chunk rows, and committed by Spark."""
-        p = self.properties().where(F.col("channel") == channel).first()
-        if p is None:
-            raise KeyError(channel)
-        bounds = samples.agg(F.min("sample_idx"), F.max("sample_idx"), F.count(F.lit(1)), F.count_distinct("sample_idx")).first()
-        if bounds[0] is None:
-            return
-        if bounds[0] < 0 or bounds[2] != bounds[3]:
-            raise ValueError("indexes are distinct and not negative")
+    def append(self, samples: DataFrame, channel: str, compression: str = "snappy") -> int:
+        """SNK-02..08, PRJ-01: samples (sample_idx, re[, im][, subchannel from 0]) after all that is held; the next index.
+
+        Cut at file times into chunk rows and committed by Spark, pages with checksums. Indexes must be distinct and not negative, whole
+        for every subchannel, and values must fit the storage type; otherwise the write fails.
+        """
+        p = self._own(channel)
+        low, high, subs = samples.agg(F.min("sample_idx"), F.max("sample_idx"), F.max("subchannel") if "subchannel" in samples.columns else F.lit(None)).first()
         last = self.bounds(channel)
-        if last is not None and bounds[0] <= last[1]:
+        if low is None:
+            return 0 if last is None else last[1] + 1
+        if low < 0:
+            raise ValueError("indexes are not negative")
+        if last is not None and low <= last[1]:
             raise ValueError("samples go forward only")
-        kind = DTYPES[p["dtype"].removeprefix("c")][0]
-        value = F.struct(F.col("re").cast(kind).alias("re"), F.col("im").cast(kind).alias("im")) if p["is_complex"] else F.col("re").cast(kind)
-        ms = file_millis(F.col("sample_idx"), p["rate_num"], p["rate_den"], p["file_ms"])
-        placed = samples.select("sample_idx", value.alias("v"), ms.alias("file_ms"))
-        from pyspark.sql import Window
-
-        island = F.col("sample_idx") - F.row_number().over(Window.partitionBy("file_ms").orderBy("sample_idx"))
-        rows = placed.withColumn("i", island).groupBy("file_ms", "i").agg(F.min("sample_idx").alias("block_start"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("sample_idx", "v"))).alias("r"))
+        width = p["num_subchannels"]
+        if (width > 1) != ("subchannel" in samples.columns) or (subs is not None and subs >= width):
+            raise ValueError(f"the channel has {width} subchannels")
+        fit = lambda c: checked_cast(F.col(c), p["dtype"].removeprefix("c"))
+        value = F.struct(fit("re").alias("re"), fit("im").alias("im")) if p["is_complex"] else fit("re")
+        placed = samples.select("sample_idx", value.alias("v"), *(["subchannel"] if width > 1 else []))
+        if width > 1:
+            rows = placed.groupBy("sample_idx").agg(F.array_sort(F.collect_list(F.struct("subchannel", "v"))).alias("s"))
+            whole = F.transform("s", lambda x: x["subchannel"].cast("long")) == F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long"))
+            placed = rows.select("sample_idx", F.when(whole, F.transform("s", lambda x: x["v"])).otherwise(F.raise_error("a sample lacks subchannels or has one twice")).alias("v"))
+        placed = placed.withColumn("file_ms", file_millis(F.col("sample_idx"), p["rate_num"], p["rate_den"], p["file_ms"])).repartitionByRange("file_ms")
+        w = Window.partitionBy("file_ms").orderBy("sample_idx")
+        twice = F.when(F.lag("sample_idx").over(w) == F.col("sample_idx"), F.raise_error("indexes are distinct")).otherwise(F.col("sample_idx") - F.row_number().over(w))
+        rows = placed.withColumn("i", twice.cast("long")).groupBy("file_ms", "i").agg(F.min("sample_idx").alias("block_start"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("sample_idx", "v"))).alias("r"))
         folder = div(F.col("file_ms"), 1000 * p["subdir_s"]) * p["subdir_s"]
-        out = rows.select(F.lit(channel).alias("channel"), folder.alias("subdir"), "file_ms", "block_start", "n", F.transform("r", lambda x: x["v"]).alias("data"))
-        out.write.mode("append").partitionBy("channel", "subdir").option("compression", compression).parquet(f"{self.root}/chunks")
+        own = F.struct(*[F.lit(p[x]).alias(x) for x in PROPERTIES])
+        out = rows.select(F.lit(channel).alias("channel"), folder.alias("subdir"), "file_ms", "block_start", "n", F.transform("r", lambda x: x["v"]).alias("data"), own.alias("properties"))
+        out.write.mode("append").partitionBy("channel", "subdir").option("compression", compression).option("parquet.page.write-checksum.enabled", "true").parquet(f"{self.root}/chunks")
+        return high + 1
+
+    def write(self, values: DataFrame, channel: str, next_sample: int | None = None, **options) -> int:
+        """SNK-02: values (pos from 0, re[, im][, subchannel]) as one block from next_sample, by default the next one free."""
+        at = next_sample
+        if at is None:
+            last = self.bounds(channel)
+            at = 0 if last is None else last[1] + 1
+        return self.append(values.withColumn("sample_idx", F.col("pos") + F.lit(at)).drop("pos"), channel, **options)
+
+    def write_blocks(self, values: DataFrame, channel: str, sample_idx: list[int], block_idx: list[int], **options) -> int:
+        """SNK-03: values (pos from 0, ...) as several blocks: block k starts at position block_idx[k] and at sample sample_idx[k], an absolute index.
+
+        As many samples as positions; the first position 0; both strictly increasing; blocks may not overlap; all positions within the values.
+        """
+        n = values.agg(F.max("pos")).first()[0]
+        n = 0 if n is None else n + 1
+        if not block_idx or len(sample_idx) != len(block_idx):
+            raise ValueError("a block has one position and one sample")
+        if block_idx[0] != 0:
+            raise ValueError("the first block starts at position 0")
+        steps = [(a - b, c - d) for a, b, c, d in zip(sample_idx[1:], sample_idx, block_idx[1:], block_idx, strict=False)]
+        if any(c <= 0 or a <= 0 for a, c in steps):
+            raise ValueError("samples and positions increase")
+        if any(a < c for a, c in steps):
+            raise ValueError("a block runs into the next one")
+        if block_idx[-1] >= n:
+            raise ValueError("a block starts after the values")
+        from sigloom.operators.metadata import asof
+
+        table = self.spark.createDataFrame([(0, p, s - p) for s, p in zip(sample_idx, block_idx, strict=True)], "k int, pos long, shift long")
+        keyed = values.withColumn("k", F.lit(0))
+        placed = asof(keyed, table, "k", "pos", "shift").withColumn("sample_idx", F.col("pos") + F.col("md_value"))
+        return self.append(placed.drop("k", "pos", "md_idx", "md_value"), channel, **options)
 
     def chunks(self, channel: str, first: int | None = None, last: int | None = None) -> DataFrame:
         """SRC-03: chunk rows of a range. Bounds on folder and file times go with it, so partitions and row groups are pruned."""
-        p = self.properties().where(F.col("channel") == channel).first()
-        if p is None:
-            raise KeyError(channel)
-        out = self.spark.read.parquet(f"{self.root}/chunks").where(F.col("channel") == channel)
+        p = self._own(channel)
+        out = self.spark.read.option("basePath", f"{self.root}/chunks").parquet(self._channel_path(channel))
         if first is not None and last is not None:
             at = lambda i: i * p["rate_den"] * 1000 // p["rate_num"]
             lo, hi = at(first) // p["file_ms"] * p["file_ms"], at(last)
@@ -96,14 +206,28 @@ class Store:
             out = out.where(F.col("subdir").between(lo_dir, hi_dir) & F.col("file_ms").between(lo, hi)).where((F.col("block_start") <= last) & (F.col("block_start") + F.col("n") > first))
         return out
 
-    def read(self, channel: str, first: int, last: int) -> DataFrame:
-        """Samples (sample_idx, v) of an inclusive range, cut from the chunks at both ends."""
+    def read(self, channel: str, first: int, last: int, subchannel: int | None = None) -> DataFrame:
+        """Samples (sample_idx, v) of an inclusive range, cut from the chunks at both ends; PRJ-01: of one subchannel, or v an array of all."""
         if last < first:
             raise ValueError("the range ends before it starts")
         a = F.greatest(F.lit(first) - F.col("block_start"), F.lit(0)).cast("int")
         b = F.least(F.col("n"), F.lit(last + 1) - F.col("block_start")).cast("int")
         cut = self.chunks(channel, first, last).select((F.col("block_start") + a).alias("s"), F.slice("data", a + 1, b - a).alias("d"))
-        return cut.select("s", F.posexplode("d").alias("k", "v")).select((F.col("s") + F.col("k")).alias("sample_idx"), "v")
+        out = cut.select("s", F.posexplode("d").alias("k", "v")).select((F.col("s") + F.col("k")).alias("sample_idx"), "v")
+        if subchannel is None:
+            return out
+        width = self._own(channel)["num_subchannels"]
+        if not 0 <= subchannel < width:
+            raise ValueError(f"the channel has {width} subchannels")
+        return out.withColumn("v", F.get("v", F.lit(subchannel))) if width > 1 else out
+
+    def read_vector(self, channel: str, start: int, n: int, subchannel: int | None = None) -> DataFrame:
+        """SRC-04, SRC-05: exactly n samples as one array of the smallest floating type, complex ones as structs; an error when any is missing."""
+        from sigloom.operators.blocks import as_float
+
+        got = as_float(self.read(channel, start, start + n - 1, subchannel), "v")
+        row = got.agg(F.count(F.lit(1)).alias("k"), F.array_sort(F.collect_list(F.struct("sample_idx", "v"))).alias("a"))
+        return row.select(F.when(F.col("k") == n, F.transform("a", lambda x: x["v"])).otherwise(F.raise_error(F.concat(F.lit(f"{n} samples asked for, held: "), F.col("k").cast("string")))).alias("vector"))
 
     def blocks(self, channel: str) -> DataFrame:
         """SRC-08: continuous blocks from index columns alone; data isn't read."""
@@ -113,7 +237,7 @@ class Store:
 
     def bounds(self, channel: str) -> tuple[int, int] | None:
         """SRC-09."""
-        if not self._exists(f"{self.root}/chunks"):
+        if not self._exists(self._channel_path(channel)):
             return None
         r = self.chunks(channel).agg(F.min("block_start"), F.max(F.col("block_start") + F.col("n") - 1)).first()
         return None if r[0] is None else (r[0], r[1])

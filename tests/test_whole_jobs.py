@@ -13,7 +13,7 @@ def test_every_file_has_its_place(spark, tmp_path):
     want = sorted((r.key_ms, r.path) for r in files.collect())
     got = catalog.places(files, ["key_ms", "path"], str(tmp_path / "ranges")).orderBy("place").collect()
     assert [(r.key_ms, r.path) for r in got] == want and [r.place for r in got] == list(range(1, len(want) + 1))
-    assert catalogue.queries()["sort_files_all"](spark, SF).count() == len(want) > 100
+    assert catalogue.queries()["sort_files"](spark, SF).count() == len(want) > 100
 
 
 def test_robust_line_of_every_channel(spark):
@@ -29,7 +29,7 @@ def test_robust_line_of_every_channel(spark):
 def test_whole_tables(spark):
     q, e = catalogue.queries(), catalogue.ev(spark, SF)
     want = sum(r[2] - r[1] + 1 for r in q["bounds"](spark, SF).collect())
-    assert q["gap_fill_all"](spark, SF).count() == want
-    assert q["vector_cast_all"](spark, SF).select("v").distinct().count() > 1
-    assert q["store_blocks_all"](spark, SF).select("channel").distinct().count() == e.select("channel").distinct().count() > 1
-    assert q["md_columnar_all"](spark, SF).count() == e.where("im < 10").count()
+    assert q["gap_fill"](spark, SF).count() == want
+    assert q["vector_cast"](spark, SF).select("v").distinct().count() > 1
+    assert q["store_blocks"](spark, SF).select("channel").distinct().count() == e.select("channel").distinct().count() > 1
+    assert q["md_columnar"](spark, SF).count() == e.where("im < 10").count()
