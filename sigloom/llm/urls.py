@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,13 +11,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import forget, keep
+from sigloom.llm.common import forget, keep, partitions
 
 #: Host, path prefix, verdict.
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
-#: Most bits of all filters of a cascade, which are broadcast; above it keys are joined instead.
+#: Most bits of all filters that go to every task; larger cascades travel to the rows by parts of the key space.
 MOST_BITS = 1 << 28
+#: Keys of a part of the key space, each of which has a cascade of its own.
+PART_KEYS = 1 << 20
+#: Parts that rows of one part of the key space are salted into, where they are dealt out by part.
+SALT = 16
 BITS_A_KEY, HASHES = 8, 4
+#: Levels at which a cascade has to be done; each lets one key in forty through.
+MOST_LEVELS = 64
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -37,6 +43,16 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return (F.lit(None).cast("string"), F.lit(None).cast("string")) if name is None else (name, what)
 
 
+def part_of(key: str, parts: int) -> int:
+    """The part of the key space a key is in; the same number as _part gives in the cluster."""
+    h = xxhash.xxh64_intdigest(key.encode(), seed=42)
+    return (h - (1 << 64) if h >> 63 else h) % parts
+
+
+def _part(key: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(parts).cast("long")).cast("int")
+
+
 def _positions(keys: list[str], level: int, bits: int, hashes: int = HASHES) -> np.ndarray:
     h = [xxhash.xxh3_128_intdigest(k.encode(), seed=level) for k in keys]
     a = np.array([x & 0xFFFFFFFFFFFFFFFF for x in h], np.uint64)
@@ -44,69 +60,141 @@ def _positions(keys: list[str], level: int, bits: int, hashes: int = HASHES) ->
     return np.stack([(a + np.uint64(i) * b) % np.uint64(bits) for i in range(hashes)]) if keys else np.zeros((hashes, 0), np.uint64)
 
 
+def _passes(f: np.ndarray, keys: list[str], level: int) -> np.ndarray:
+    p = _positions(keys, level, len(f) * 8)
+    return ((f[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1).all(axis=0)
+
+
+def listed(filters: list[np.ndarray], keys: list[str]) -> np.ndarray:
+    """Whether keys are listed, by the filters of their part, exact for the universe's keys: how many levels a key passes tells.
+
+    Even levels hold listed keys, odd ones the unlisted keys that the level before lets through.
+    """
+    out = np.zeros(len(keys), bool)
+    open_ = np.arange(len(keys))
+    for level, f in enumerate(filters):
+        inside = _passes(f, [keys[i] for i in open_], level)
+        out[open_] = inside if level % 2 == 0 else ~inside
+        open_ = open_[inside]
+    if len(filters) and len(open_):
+        out[open_] = len(filters) % 2 == 1
+    return out
+
+
+def _beside(filters: DataFrame, rows: DataFrame, parts: int, salt: int) -> DataFrame:
+    """rows (part, key, row) dealt out by part, salted, each group after the filters (part, level, bits) it needs; no join, and a group is a stream."""
+    empty = rows.schema["row"].dataType
+    heads = filters.select("part", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("salt"), "level", "bits", F.lit(None).cast("string").alias("key"), F.lit(None).cast(empty).alias("row"))
+    spread = (F.xxhash64(F.monotonically_increasing_id()) % salt).cast("int")
+    body = rows.select("part", F.abs(spread).alias("salt"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("binary").alias("bits"), "key", "row")
+    n = min(partitions(rows.sparkSession), parts * salt)
+    return heads.unionAll(body).repartition(n, "part", "salt").sortWithinPartitions("part", "salt", F.asc_nulls_last("level")).select("part", "salt", "bits", "key", "row")
+
+
+def _judged(verdict: Callable[[list[np.ndarray], list[str]], np.ndarray]) -> Callable:
+    """A function over batches of _beside: key, row and what verdict says of the key by its part's filters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        at = None
+        for b in batches:
+            where = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+            bits = b.column(2)
+            edges = [k for k in range(len(where)) if k == 0 or where[k] != where[k - 1]] + [len(where)]
+            for first, end in zip(edges[:-1], edges[1:], strict=True):
+                if where[first] != at:
+                    held, at = [], where[first]
+                body = first
+                while body < end and bits[body].is_valid:
+                    held.append(np.frombuffer(bits[body].as_py(), np.uint8))
+                    body += 1
+                if body < end:
+                    keys = b.column(3).slice(body, end - body)
+                    once = list(dict.fromkeys(keys.to_pylist()))
+                    known = dict(zip(once, verdict(held, once).tolist(), strict=True))
+                    yield pa.RecordBatch.from_arrays([keys, b.column(4).slice(body, end - body), pa.array([known[k] for k in keys.to_pylist()], pa.bool_())], ["key", "row", "listed"])
+
+    return run
+
+
 class Cascade:
-    """filters[k]: bytes of level k. Even levels hold listed keys, odd ones the unlisted keys that the level before lets through."""
+    """table: rows (part, level, bits) in the shared folder. bits: of all of them."""
 
-    def __init__(self, filters: list[np.ndarray]):
-        self.filters = filters
+    def __init__(self, table: DataFrame, parts: int, bits: int, paths: list[str]):
+        self.table, self.parts, self.bits, self.paths = table, parts, bits, paths
 
-    def listed(self, keys: list[str]) -> np.ndarray:
-        """Exact for the universe's keys: how many levels a key passes tells whether it is listed."""
-        out = np.zeros(len(keys), bool)
-        open_ = np.arange(len(keys))
-        for level, f in enumerate(self.filters):
-            p = _positions([keys[i] for i in open_], level, len(f) * 8)
-            inside = ((f[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1).all(axis=0)
-            out[open_] = inside if level % 2 == 0 else ~inside
-            open_ = open_[inside]
-        if len(self.filters) and len(open_):
-            out[open_] = len(self.filters) % 2 == 1
+    def local(self) -> dict[int, list[np.ndarray]]:
+        """The filters of each part; for at most MOST_BITS."""
+        out: dict[int, list[np.ndarray]] = {}
+        for r in self.table.orderBy("part", "level").collect():
+            out.setdefault(r["part"], []).append(np.frombuffer(r["bits"], np.uint8))
         return out
 
+    def listed(self, keys: list[str]) -> np.ndarray:
+        return listed_by(self.local(), self.parts, keys)
 
-def _level_filter(keys: DataFrame, level: int, n: int) -> np.ndarray:
-    """One level's bits: tasks set bits in words, words are combined in the cluster, and the bounded result comes to the driver."""
-    bits = max(64, 64 * math.ceil(n * BITS_A_KEY / 64))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            p = np.unique(_positions(b.column(0).to_pylist(), level, bits))
-            word, first = np.unique(p >> np.uint64(6), return_index=True)
-            if len(word):
-                value = np.bitwise_or.reduceat(np.uint64(1) << (p & np.uint64(63)), first)
-                yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(value.view(np.int64))], ["w", "v"])
+def listed_by(filters: dict[int, list[np.ndarray]], parts: int, keys: list[str]) -> np.ndarray:
+    out = np.zeros(len(keys), bool)
+    by: dict[int, list[int]] = {}
+    for i, k in enumerate(keys):
+        by.setdefault(part_of(k, parts), []).append(i)
+    for p, at in by.items():
+        out[at] = listed(filters.get(p, []), [keys[i] for i in at])
+    return out
 
-    words = keys.mapInArrow(run, "w long, v long").groupBy("w").agg(F.bit_or("v").alias("v")).toPandas()
-    out = np.zeros(bits // 64, np.uint64)
-    out[words["w"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64).view(np.uint64)
-    return out.view(np.uint8)
 
+def _level(wanted: DataFrame, sizes: dict[int, int], level: int) -> DataFrame:
+    """(part, level, bits): one filter for each part, made where the part's keys are."""
 
-def build(universe: DataFrame, most_bits: int = MOST_BITS) -> Cascade | None:
-    """A cascade for universe (key string, listed boolean; keys distinct and not null). None when it would be larger than most_bits."""
-    spark = universe.sparkSession
-    wanted, _ = keep(spark, universe.where("listed").select("key"), "listed")
-    other, _ = keep(spark, universe.where("not listed").select("key"), "unlisted")
-    filters: list[np.ndarray] = []
-    for level in range(64):
-        n = wanted.count()
-        if level and not n:
-            break
-        if sum(map(len, filters)) * 8 + n * BITS_A_KEY > most_bits:
-            return None
-        filters.append(_level_filter(wanted, level, n))
-        f = filters[-1]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, f = None, None
 
-        def passing(batches: Iterator[pa.RecordBatch], f: np.ndarray = f, level: int = level) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                keys = b.column(0).to_pylist()
-                p = _positions(keys, level, len(f) * 8)
-                inside = ((f[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1).all(axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, x in zip(keys, inside, strict=True) if x], pa.string())], ["key"])
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([level], pa.int32()), pa.array([f.tobytes()], pa.binary())], ["part", "level", "bits"])
 
-        false, _ = keep(spark, other.mapInArrow(passing, "key string"), "false")
-        wanted, other = false, wanted
-    return Cascade(filters)
+        for b in batches:
+            part = b.column(0).to_numpy(zero_copy_only=False)
+            for p in dict.fromkeys(part.tolist()):
+                if p != at:
+                    if at is not None:
+                        yield made()
+                    at, f = p, np.zeros(8 * math.ceil(max(64, sizes[p] * BITS_A_KEY) / 64), np.uint8)
+                keys = b.column(1).filter(pa.array(part == p)).to_pylist()
+                spot = np.unique(_positions(keys, level, len(f) * 8))
+                np.bitwise_or.at(f, (spot >> np.uint64(3)).astype(np.int64), np.uint8(1) << (spot & np.uint64(7)).astype(np.uint8))
+        if at is not None:
+            yield made()
+
+    n = min(partitions(wanted.sparkSession), max(1, len(sizes)))
+    return wanted.repartition(n, "part").sortWithinPartitions("part").mapInArrow(run, "part int, level int, bits binary")
+
+
+def build(universe: DataFrame, part_keys: int = PART_KEYS) -> Cascade:
+    """A cascade for universe (key string, listed boolean; keys distinct and not null), in parts of about part_keys keys each."""
+    spark = universe.sparkSession
+    parts = max(1, math.ceil(universe.count() / part_keys))
+    rows = universe.select(_part(F.col("key"), parts).alias("part"), "key", "listed")
+    wanted, wanted_path = keep(spark, rows.where("listed").select("part", "key"), "listed")
+    other, other_path = keep(spark, rows.where("not listed").select("part", "key"), "unlisted")
+    table, paths, bits = None, [], 0
+    for level in range(MOST_LEVELS + 1):
+        sizes = {r["part"]: r["count"] for r in wanted.groupBy("part").count().collect()}
+        if level and not sizes:
+            break
+        if level == MOST_LEVELS:
+            raise RuntimeError("the cascade does not end: the universe holds a key twice")
+        bits += sum(max(64, n * BITS_A_KEY) for n in sizes.values())
+        now, path = keep(spark, _level(wanted, sizes, level), "filters")
+        paths.append(path)
+        table = now if table is None else table.unionAll(now)
+        through = _judged(lambda held, keys, level=level: _passes(held[0], keys, level) if held else np.zeros(len(keys), bool))
+        asked = other.select("part", "key", F.lit(0).alias("row"))
+        false, path = keep(spark, _beside(now, asked, parts, 1).mapInArrow(through, "key string, row int, listed boolean").where("listed").select(_part(F.col("key"), parts).alias("part"), "key"), "false")
+        forget(spark, other_path)
+        wanted, other, wanted_path, other_path = false, wanted, path, wanted_path
+    forget(spark, wanted_path, other_path)
+    return Cascade(table, parts, bits, paths)
 
 
 def listed_hosts(pages: DataFrame, url_col: str = "url") -> DataFrame:
@@ -116,31 +204,36 @@ def listed_hosts(pages: DataFrame, url_col: str = "url") -> DataFrame:
     return pages.select(host.alias("key"), plain.alias("plain")).groupBy("key").agg(F.max("plain").alias("listed"))
 
 
-def judge(pages: DataFrame, universe: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, most_bits: int = MOST_BITS) -> DataFrame:
+def judge(pages: DataFrame, universe: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, most_bits: int = MOST_BITS, part_keys: int = PART_KEYS) -> DataFrame:
     """id, host, path, rule, verdict of every row. Null urls and those without :// have an empty host and path, which is a key too.
 
-    No rule: block if the host is listed. The cascade is exact because the universe has every host of the pages; where it is
-    too large to broadcast, the listed hosts are joined.
+    No rule: block if the host is listed. The cascade is exact because the universe has every host of the pages. Up to most_bits its
+    filters go to every task; a larger cascade's go to the rows, which are dealt out by part of the key space, a hot host's salted.
+    Repeated rows, null ids and ties are judged each by its url alone; an empty table gives no rows; other columns are not read.
     """
-    universe, path = keep(pages.sparkSession, universe, "universe")
-    cascade = build(universe, most_bits)
+    spark = pages.sparkSession
+    universe, path = keep(spark, universe, "universe")
+    cascade = build(universe, part_keys)
+    forget(spark, path)
     host, rest = host_and_path(F.col(url_col))
-    kind = dict(pages.dtypes)[id_col]
-    rows = pages.select(F.col(id_col), host.alias("host"), rest.alias("path"))
-    if cascade is None:
-        rows = rows.join(universe.where("listed").select(F.col("key").alias("host"), F.lit(True).alias("listed")), "host", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
-        rows = rows.select(id_col, "host", "path", "listed")
-    else:
-        forget(pages.sparkSession, path)
+    rows = pages.select(host.alias("key"), F.struct(F.col(id_col).alias("id"), rest.alias("path")).alias("row"))
+    kind = rows.schema["row"].dataType.simpleString()
+    if cascade.bits <= most_bits:
+        filters, parts = cascade.local(), cascade.parts
+        forget(spark, *cascade.paths)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                keys = b.column(1).to_pylist()
+                keys = b.column(0).to_pylist()
                 once = list(dict.fromkeys(keys))
-                known = dict(zip(once, cascade.listed(once).tolist(), strict=True))
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([known[k] for k in keys], pa.bool_())], [id_col, "host", "path", "listed"])
+                known = dict(zip(once, listed_by(filters, parts, once).tolist(), strict=True))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([known[k] for k in keys], pa.bool_())], ["key", "row", "listed"])
 
-        rows = rows.mapInArrow(run, f"`{id_col}` {kind}, host string, path string, listed boolean")
+        rows = rows.mapInArrow(run, f"key string, row {kind}, listed boolean")
+    else:
+        dealt = _beside(cascade.table, rows.select(_part(F.col("key"), cascade.parts).alias("part"), "key", "row"), cascade.parts, SALT)
+        rows = dealt.mapInArrow(_judged(listed), f"key string, row {kind}, listed boolean")
+    rows = rows.select(F.col("row.id").alias(id_col), F.col("key").alias("host"), F.col("row.path").alias("path"), "listed")
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     return rows.select(id_col, "host", "path", name.alias("rule"), F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"))
 

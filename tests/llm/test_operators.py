@@ -249,16 +249,27 @@ def test_urls(spark):
         ("a.example.net", "/de/81", "example.net/de/8", "block"), ("b.net", "/de/1", "net/de/", "allow"), ("xcom", "/en/", None, "allow"), ("o.org", "", None, "allow"), ("o.org", "/es/://b", "org/es/", "block"),
     ]
     want[:3] = [("", "", None, "block")] * 3  # the empty host serves http:// itself
-    for most in (urls.MOST_BITS, 8):
-        assert [tuple(r)[1:] for r in sorted(urls.judge(df, urls.listed_hosts(df), most_bits=most).collect())] == want
+    for most, part in ((urls.MOST_BITS, urls.PART_KEYS), (8, urls.PART_KEYS), (8, 2), (urls.MOST_BITS, 2)):
+        assert [tuple(r)[1:] for r in sorted(urls.judge(df, urls.listed_hosts(df), most_bits=most, part_keys=part).collect())] == want
 
 
-def test_cascade_is_exact(spark):
+@pytest.mark.parametrize("part_keys", [urls.PART_KEYS, 300])
+def test_cascade_is_exact(spark, part_keys):
     universe = spark.range(5000).select(F.concat(F.lit("h"), F.col("id").cast("string")).alias("key"), (F.col("id") % 7 == 0).alias("listed"))
-    cascade = urls.build(universe)
+    cascade = urls.build(universe, part_keys)
     keys = [f"h{k}" for k in range(5000)]
     assert cascade.listed(keys).tolist() == [k % 7 == 0 for k in range(5000)]
-    assert len(cascade.filters) > 2
+    assert len(cascade.paths) > 2 and cascade.parts == (17 if part_keys == 300 else 1)
+    for odd in ("", "é", "x" * 100):
+        assert spark.range(1).select(urls._part(F.lit(odd), 17)).first()[0] == urls.part_of(odd, 17)
+
+
+def test_a_large_cascade_judges_every_row(spark):
+    """Filters that go to the rows by parts, with a host that holds half of all rows."""
+    df = spark.range(20000).select(F.col("id").alias("page_id"), F.when(F.col("id") % 2 == 0, "http://hot.org/a").otherwise(F.concat(F.when(F.col("id") % 3 == 0, "http://h").otherwise("https://h"), (F.col("id") % 900).cast("string"), F.lit(".net/b"))).alias("url"))
+    small = {tuple(r) for r in urls.judge(df, urls.listed_hosts(df)).collect()}
+    large = {tuple(r) for r in urls.judge(df, urls.listed_hosts(df), most_bits=8, part_keys=50).collect()}
+    assert small == large and len(small) == 20000
 
 
 def test_quality_statistics(rows):
