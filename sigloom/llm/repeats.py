@@ -81,19 +81,19 @@ _PACK, _UNPACK = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def _pack(h: np.ndarray, c: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> bytes:
-    """40 bits of the anchor's hash, 48 of the context's, and the places' differences compressed; rows are in order of (doc, pos)."""
+    """40 bits of the anchor's hash, 64 of the context's, and the places' differences compressed; rows are in order of (doc, pos)."""
     step = np.diff(doc, prepend=doc[0]).astype("<i8")
     gap = np.where(step == 0, np.diff(pos, prepend=0), pos).astype("<u4")
     places = _PACK.compress(b"".join(x.view(np.uint8).reshape(len(h), -1).T.tobytes() for x in (step, gap)))
-    top = np.stack([h.view(np.uint8).reshape(-1, 8)[:, :5]]).tobytes() + c.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    top = np.stack([h.view(np.uint8).reshape(-1, 8)[:, :5]]).tobytes() + c.astype("<u8").tobytes()
     return b"".join([np.array([len(h), doc[0]], "<i8").tobytes(), top, places])
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n, first = np.frombuffer(blob, "<i8", 2).tolist()
     wide = lambda raw, k: np.pad(np.frombuffer(raw, np.uint8).reshape(n, k), ((0, 0), (0, 8 - k))).view("<u8").ravel()
-    h, c = wide(blob[16 : 16 + 5 * n], 5), wide(blob[16 + 5 * n : 16 + 11 * n], 6)
-    raw = np.frombuffer(_UNPACK.decompress(blob[16 + 11 * n :], max_output_size=12 * n), np.uint8)
+    h, c = wide(blob[16 : 16 + 5 * n], 5), np.frombuffer(blob[16 + 5 * n : 16 + 13 * n], "<u8")
+    raw = np.frombuffer(_UNPACK.decompress(blob[16 + 13 * n :], max_output_size=12 * n), np.uint8)
     step = np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view("<i8").ravel()
     gap = np.ascontiguousarray(raw[8 * n :].reshape(4, n).T).view("<u4").ravel().astype(np.int64)
     doc = first + np.cumsum(step)
