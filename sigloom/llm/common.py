@@ -45,9 +45,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; only where it is unset (tests) a local folder."""
+    """The folder all executors share: spark.checkpoint.dir; only where it is unset on one machine (tests) a local folder."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names the shared folder of a cluster")
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="sigloom-"))
         at = _OWN[0]

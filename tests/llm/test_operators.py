@@ -204,6 +204,29 @@ def test_warc(spark):
     assert warc.archive_pages(df.limit(0)).count() == 0
 
 
+def test_warc_of_string_ids_and_awkward_blocks(spark):
+    """Blocks that look like records or end in line breaks, ids with line breaks, repeated rows; the session's settings stay."""
+    end = "\r\n\r\n"
+    blocks = [end, f"a{end}", f"\r\n{end}b\r\n", f"WARC/1.1\r\nContent-Length: 3{end}x", "x" * 200 + end + "\r\n", "x" * 200 + end + "\r\n", "日" * 40]
+    rows = [(f"p{k}\r\nq", "u", b) for k, b in enumerate(blocks)]
+    rows += [rows[-1], (None, "u", "y" * 120), (None, None, "y" * 120)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = sorted((tuple(r) for r in warc.archive_pages(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()), key=str)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = [(i, len(b.encode()), sha(b), "revisit" if i == "p5\r\nq" else "response", "p4\r\nq" if i == "p5\r\nq" else None) for i, _, b in rows]
+    assert got == sorted(want, key=str)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_a_revisit_without_its_response_is_an_error(spark, tmp_path):
+    df = spark.createDataFrame([(1, "u", "x" * 150), (2, "u", "x" * 150)], "page_id long, url string, html string")
+    warc.write_archives(warc.assign_roles(df).where("id = 2"), str(tmp_path / "w"))
+    with pytest.raises(Exception, match="not there"):
+        warc.read_archives(df, str(tmp_path / "w")).collect()
+    with pytest.raises(ValueError):
+        list(warc.parse(b"WARC/1.1\r\nContent-Length: 5\r\n\r\nab"))
+
+
 PATTERNS = {
     "assign": r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
     "access": "AKIA[A-Z0-9]+",
