@@ -17,14 +17,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigloom.llm.common import forget, keep, only, partitions, sent, text_or_empty
 from sigloom.llm.words import mix, window_hashes, word_hashes
 
 #: Frequent shingles that come last in the common order: a broadcast of at most so many 64-bit numbers. Any list gives the same result.
-MOST_HOT, HOT_BUFFER, HOT_IN_BUFFER = 1 << 16, 3_000_000, 4
+MOST_HOT, HOT_BUFFER, HOT_IN_BUFFER, HOT = 1 << 20, 3_000_000, 2, 4
 #: Sets of a region that are compared in blocks without more pivots, and pivots of a larger one.
 LEAF, PIVOTS = 256, 8
 SHINGLE = 5
@@ -378,9 +378,19 @@ def region_pairs(n: np.ndarray, comp: np.ndarray, sketches: list[bytes]) -> np.n
 
 
 def _distinct_neighbourhoods(members: DataFrame) -> DataFrame:
-    """Rows (sig, node, n): of neighbourhoods with the same sets, told by their number and two 64-bit sums, one: a passage makes one for each of its shingles."""
+    """Rows (sig, node, n) without the neighbourhoods that lie in another: a passage makes one for each of its shingles.
+
+    Of those with the same sets, told by their number and two 64-bit sums, the least sig stays. Of the rest, one goes whose sets all
+    stand in one lesser sig too: their first one, or the last or last but one before it. Going down from sig to sig ends at one that stays,
+    so every two sets that meet still do.
+    """
+    by_node = Window.partitionBy("node").orderBy("sig")
     marks = F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")
-    first = members.groupBy("sig").agg(*marks).groupBy("k", "x", "y").agg(F.min("sig").alias("s"))
+    before = {"f": F.min("sig").over(by_node), "p": F.lag("sig", 1).over(by_node), "q": F.lag("sig", 2).over(by_node)}
+    placed = members.select("sig", "node", *[F.when(x < F.col("sig"), x).alias(k) for k, x in before.items()])
+    inside = [(F.count(k) == F.count(F.lit(1))) & (F.min(k) == F.max(k)) for k in before]
+    first = placed.groupBy("sig").agg(*marks, F.coalesce(inside[0], F.lit(False)).alias("a"), F.coalesce(inside[1], F.lit(False)).alias("b"), F.coalesce(inside[2], F.lit(False)).alias("c"))
+    first = first.where("not (a or b or c)").groupBy("k", "x", "y").agg(F.min("sig").alias("s"))
     return members.join(first.select("s"), members["sig"] == first["s"], "left_semi")
 
 
@@ -398,11 +408,12 @@ def _more_pivots(members: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("node", "q.b").alias("a"), F.least("node", "q.b").alias("b")).distinct()
 
 
-def _region_join(members: DataFrame, info: DataFrame, roots: DataFrame, parts: int) -> DataFrame:
+def _region_join(members: DataFrame, info: DataFrame, roots: DataFrame, parts: int, scratch: list[str]) -> DataFrame:
     """Candidate pairs (a, b) between different components that share a neighbourhood (sig, node)."""
     placed = members.join(roots, "node", "left").select("sig", "node", "n", F.coalesce("root", "node").alias("comp"))
     mixed = placed.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("k")).where("x <> y").select(F.col("sig").alias("s"), "k")
-    rest = placed.join(mixed, placed["sig"] == mixed["s"]).drop("s")
+    rest, path = keep(info.sparkSession, placed.join(mixed, placed["sig"] == mixed["s"]).drop("s"), "mixed")
+    scratch.append(path)
     # a pair that meets in many neighbourhoods is reported by one: the least that both sets' least ones share, or any where none is shared
     low = rest.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, LOW).alias("low"))
     rest = rest.join(info.select("node", "sketch").join(low, "node"), "node")
@@ -459,7 +470,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, id_bits: int = 64) -> Dat
     names = Names(id_bits, frozenset(r["node"] for r in shared))
     if shared:
         rows = rows.withColumn("node", F.when(F.col("node").isin(sorted(names.shared)), F.col("node").bitwiseXOR(F.col("other"))).otherwise(F.col("node")))
-    hot = profile.where("hot is not null").groupBy("hot").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "hot").limit(MOST_HOT).toPandas()
+    hot = profile.where("hot is not null").groupBy("hot").agg(F.sum("times").alias("times")).where(F.col("times") >= HOT).orderBy(F.desc("times"), "hot").limit(MOST_HOT).toPandas()
     keys = hot["hot"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
     info, _ = keep(spark, rows.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_mark").alias("mark"))).alias("doc"), F.max("n").alias("n"), F.max("sketch").alias("sketch")), "sets")
@@ -467,7 +478,8 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, id_bits: int = 64) -> Dat
     near, near_path = keep(spark, _neighbourhoods(signatures, parts), "neighbours")
     members, members_path = keep(spark, _distinct_neighbourhoods(near.where("b is null").select("sig", F.col("a").alias("node"), "n")), "members")
     known, known_path, roots, roots_path = None, None, None, None
-    steps = (lambda: near.where("b is not null").select("a", "b").distinct(), lambda: _more_pivots(members, roots), lambda: _region_join(members, info, roots, parts).distinct())
+    scratch: list[str] = []
+    steps = (lambda: near.where("b is not null").select("a", "b").distinct(), lambda: _more_pivots(members, roots), lambda: _region_join(members, info, roots, parts, scratch).distinct())
     for step in steps:
         more, more_path = keep(spark, _may_link(step(), info), "pairs")
         if known is None or more.limit(1).count():
@@ -481,7 +493,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, id_bits: int = 64) -> Dat
             if last:
                 forget(spark, last)
         forget(spark, more_path)
-    forget(spark, near_path, members_path, known_path)
+    forget(spark, near_path, members_path, known_path, *scratch)
     by_root = info.join(roots, "node", "left").select("node", "doc", F.coalesce("root", "node").alias("root"))
     first = by_root.groupBy("root").agg(F.min("doc").alias("first"))
     first = by_root.join(first, "root").select(F.col("node").alias("_node"), "first")
