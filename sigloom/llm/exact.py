@@ -46,10 +46,13 @@ def _flags(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows, _ = keep(df.sparkSession, recipes(df, id_col, text_col), "recipes")
     verify(rows)
     ids = F.transform("recipe", lambda c: c["id"])
-    rows = rows.select("_id", "_mark", "row", ids.alias("recipe"), "text_sha256")
+    name = F.unhex(F.sha2(F.array_join(F.transform("recipe", lambda c: F.hex(c["id"])), ""), 256))
+    rows = rows.select("_id", "_mark", "row", ids.alias("recipe"), name.alias("name"), "text_sha256")
     order = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("id"), F.col("row").alias("row"))
-    groups = rows.groupBy("recipe").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    both = rows.join(groups.select(F.col("recipe").alias("r"), "first", "size"), F.col("recipe") == F.col("r"), "left")
+    groups = rows.groupBy("recipe").agg(F.min(order).alias("first"), F.min("name").alias("r"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    # lists are compared whole, above; their rows learn of it by a short name, where they are while few groups have copies
+    groups, _ = keep(df.sparkSession, groups.select("r", "first", "size"), "groups")
+    both = rows.join(sent(groups), F.col("name") == F.col("r"), "left")
     single = F.col("size").isNull()
     return both.select(
         "_id",
@@ -66,8 +69,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     Texts are equal when identical after each run of white space has become one blank; null counts as empty. The row with
     the smallest id stays; null ids come last; of repeated rows with one id the first stays (kept is true once a group).
-    Other columns are not read. Groups are pre-aggregated in each task; the join back moves short lists only, and
-    adaptive execution splits a hot one.
+    Other columns are not read. Groups are pre-aggregated in each task; up to a counted bound, groups with copies then go to the rows,
+    so a hot one meets in no task.
     """
     return _flags(df, id_col, text_col).select(F.col("_id").alias(id_col), "keep_id", "group_size", "kept", "text_sha256")
 
