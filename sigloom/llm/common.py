@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +34,18 @@ def only(owner: str) -> None:
             clear()
 
 
+def slim() -> None:
+    """Where a task ends that held large arrays: give the worker process's free memory back, as idle workers count against their executor."""
+    import contextlib
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tune(spark: SparkSession) -> None:
     """Bound the memory of one Arrow batch."""
     prepare(spark)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import forget, keep, only, partitions, sent, text_or_empty
+from sigloom.llm.common import forget, keep, only, partitions, sent, slim, text_or_empty
 from sigloom.llm.words import mix, window_hashes, word_hashes
 
 #: Frequent shingles that come last in the common order: a broadcast of at most so many 64-bit numbers. Any list gives the same result.
@@ -125,6 +125,8 @@ def _profile(docs: DataFrame, id_col: str, text_col: str, bits: int) -> DataFram
                 held, size = [], 0
         if held:
             yield frequent(held)
+        del held, seen
+        slim()
 
     return docs.select(id_col, _mark(text_col).alias("_mark"), text_or_empty(text_col).alias("_t")).mapInArrow(run, f"`{id_col}` {kind}, _mark long, n long, node long, other long, sketch binary, hot long, times long")
 
@@ -172,6 +174,7 @@ def _signatures(docs: DataFrame, text_col: str, names: Names, hot: np.ndarray, r
                 count = np.diff(np.r_[start, y - x]).astype("<u4")
                 blobs.append(np.uint32(len(start)).tobytes() + d[x:y][start].tobytes() + m[x:y][start].tobytes() + count.tobytes() + s[x:y].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+        slim()
 
     return docs.select(text_or_empty(text_col).alias("_t")).mapInArrow(run, "bucket int, blob binary")
 
@@ -260,6 +263,8 @@ def _neighbourhoods(signatures: DataFrame, parts: int) -> DataFrame:
                 held.append(blob)
         if held:
             yield from solve(held)
+        del held
+        slim()
 
     return signatures.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "sig long, a long, b long, n int")
 
