@@ -16,11 +16,11 @@ def list_files(spark, root: str, channel: str | None = None) -> DataFrame:
     return out if channel is None else out.where(F.col("grp") == channel)
 
 
-def in_order(files: DataFrame, reverse: bool = False, path: str | None = None) -> DataFrame:
-    """SRT-01, SRT-02: properties first, then by time and path; last first with reverse. With path, numbered (place) as places() does."""
-    keys = [F.when(F.col("kind") == "properties", 0).otherwise(1).alias("_first") if "kind" in files.columns else F.lit(1).alias("_first")]
-    way = (lambda c: F.desc(c)) if reverse else (lambda c: F.asc(c))
-    return files.withColumn("_first", keys[0]).orderBy("_first", way("key_ms"), way("path")).drop("_first")
+def in_order(files: DataFrame, reverse: bool = False) -> DataFrame:
+    """SRT-01, SRT-02: properties first, then by time and path; last first with reverse. places() numbers files."""
+    first = F.when(F.col("kind") == "properties", 0).otherwise(1) if "kind" in files.columns else F.lit(1)
+    way = F.desc if reverse else F.asc
+    return files.withColumn("_first", first).orderBy("_first", way("key_ms"), way("path")).drop("_first")
 
 
 def of_kinds(files: DataFrame, data: bool = True, metadata: bool = True, properties: bool = True) -> DataFrame:

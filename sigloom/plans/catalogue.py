@@ -225,7 +225,7 @@ def vector_cast(spark, d):
 
 @query("same_store", "select channel, sample_idx, re, 'a' as side from ev where sample_idx % 100 = 0", "ev")
 def same_store(spark, d):
-    """SET-04, JOIN-07, SNK-16: a store and a copy that lacks some rows."""
+    """SET-04, JOIN-07: a store and a copy that lacks some rows."""
     e = ev(spark, d).select("channel", "sample_idx", "re")
     return blocks.same_store(e, e.where("sample_idx % 100 <> 0"))
 
@@ -508,7 +508,7 @@ _LO, _HI = 852076800000, 883612800000
 
 @query("files_time_slice", f"select * from fil where key_ms between {_LO} and {_HI}", "fil")
 def files_time_slice(spark, d):
-    """PRJ-04, PRJ-10, SNK-14, SNK-15."""
+    """PRJ-04."""
     return catalog.time_slice(fil(spark, d), _LO, _HI)
 
 
@@ -553,7 +553,7 @@ def ring_status(spark, d):
 
 @query("reconcile", "select path, case when cast(path as bigint) % 2 > 0 then 'created' when cast(path as bigint) % 3 > 0 then 'deleted' else 'kept' end as state from fil where cast(path as bigint) % 2 = 0 or cast(path as bigint) % 3 = 0", "fil")
 def reconcile(spark, d):
-    """JOIN-06, SET-03, SRT-09: even paths are in the buffer, multiples of three on disk."""
+    """JOIN-06, SET-03: even paths are in the buffer, multiples of three on disk."""
     p = fil(spark, d).select("path")
     return catalog.reconcile(p.where("cast(path as bigint) % 2 = 0"), p.where("cast(path as bigint) % 3 = 0"))
 
