@@ -9,7 +9,7 @@ from sigloom.functions.timebase import file_key, file_kind
 
 
 def list_files(spark, root: str, channel: str | None = None) -> DataFrame:
-    """SRC-22: (path, name, grp, kind, key_ms, size, mtime) of a store's files by Spark's own recursive listing; file bodies aren't read."""
+    """SRC-22: (path, name, grp, kind, key_ms, size, mtime) of a store's files by Spark's own recursive listing; file bodies aren't read. Empty files aren't listed."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime")
     name = F.element_at(F.split("path", "/"), -1)
     out = files.select("path", name.alias("name"), F.element_at(F.split("path", "/"), -3).alias("grp"), file_kind(name).alias("kind"), file_key(name).alias("key_ms"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
@@ -58,6 +58,48 @@ def changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return a.join(b, "path", "full").select("path", what.alias("event")).where("event is not null")
 
 
+def _place(path: str):
+    """The file system of a path, as Spark writes paths, and the path there."""
+    import pyarrow.fs as pafs
+
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem(), _bare(path)
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+
+
+def _bare(root: str) -> str:
+    return root.removeprefix("file://").removeprefix("file:").rstrip("/")
+
+
+def beneath(path: Column, root: str) -> Column:
+    """The part of a path after root."""
+    return F.element_at(F.split(path, r"\Q" + _bare(root) + r"/\E", 2), -1)
+
+
+def exists(spark, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def remove(files: DataFrame) -> int:
+    """Delete files (path) on the executors; how many rows. A file that is already gone, as after a repeated task, counts too."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for path in part["path"]:
+                fs, at = _place(path)
+                try:
+                    fs.delete_file(at)
+                except FileNotFoundError:
+                    pass
+            yield pd.DataFrame({"n": [len(part)]})
+
+    return files.select("path").mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def transfer(files: DataFrame, root: str, target: str, move: bool = False) -> int:
     """SNK-13: copy or move files (path) under root to the same place under target; how many. Under a hidden name first, renamed when whole.
 
@@ -66,19 +108,14 @@ def transfer(files: DataFrame, root: str, target: str, move: bool = False) -> in
     from collections.abc import Iterator
 
     import pandas as pd
-    import pyarrow.fs as pafs
-
-    def place(path: str):
-        fs, at = pafs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:")) if not path.startswith("file:/") or path.startswith("file:///") else (pafs.LocalFileSystem(), path.removeprefix("file:"))
-        return fs, at
 
-    base = root.removeprefix("file://").removeprefix("file:").rstrip("/")
+    base = _bare(root)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for path in part["path"]:
-                fs, at = place(path)
-                to_fs, to = place(target.rstrip("/") + "/" + at.partition(base + "/")[2])
+                fs, at = _place(path)
+                to_fs, to = _place(target.rstrip("/") + "/" + at.partition(base + "/")[2])
                 folder, _, name = to.rpartition("/")
                 to_fs.create_dir(folder, recursive=True)
                 with fs.open_input_stream(at) as source, to_fs.open_output_stream(f"{folder}/tmp.{name}") as sink:
