@@ -1,10 +1,11 @@
-"""Queries of the ten operators over whole tables, and their SQL where there is one."""
+"""Queries of the training-data operators over whole tables, and their SQL where there is one."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sigloom.llm import bpe, exact, jaccard, language, packing, quality, repeats, secrets, urls, warc
+from sigloom.llm import bpe, conversations, divergence, exact, jaccard, language, packing, quality, repeats, secrets, topk, urls, warc
 from sigloom.llm.common import table
 
 
@@ -58,5 +59,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, language.fit(docs.where(~language.in_fold(docs))))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_suffix_array_dedup, op3_ngram_jaccard_join, op4_warc, op5_secret_scan, op6_url_filter, op7_quality_rules, op8_exact_dedup, op9_best_fit_packing, op10_language_id)}
-ORACLES = {"op4_warc": warc.ORACLE, "op6_url_filter": urls.oracle(), "op8_exact_dedup": exact.ORACLE}
+def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.report(table(spark, sf_dir, "conversations"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_bpe, op2_suffix_array_dedup, op3_ngram_jaccard_join, op4_warc, op5_secret_scan, op6_url_filter, op7_quality_rules, op8_exact_dedup, op9_best_fit_packing, op10_language_id)
+    + (op11_exact_topk, op12_conversation_repair, op13_source_divergence)
+}
+ORACLES = {"op4_warc": warc.ORACLE, "op6_url_filter": urls.oracle(), "op8_exact_dedup": exact.ORACLE, "op11_exact_topk": topk.ORACLE, "op13_source_divergence": divergence.ORACLE}
