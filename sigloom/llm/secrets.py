@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,10 @@ ASSIGN = "(" + "|".join(map(_either, ("password", "passwd", "secret", "token", "
 ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "entropy")
+#: A span, its places in code points.
+SPAN = "struct<start:int,kind:int,end:int>"
+#: Items of a block of a scan; characters of a slice of a candidate or of a text; characters of a window at most.
+BLOCK, SLICE, MOST_WINDOW = 256, 64, 24
 #: Strings that entropy is taken of.
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
 #: Character classes, narrowest first: pattern, window in characters, least entropy in bits a character. No window is longer than its candidates.
@@ -49,42 +54,94 @@ def _word(first: str, rest: str) -> str:
 PIECE = f"^(?:|[0-9]{{1,4}}|(?:[a-z]{{1,3}}|[A-Z]{{1,3}})[0-9]{{0,2}}|(?:{_word('u', 'u')}|{_word('lu', 'l')}(?:{_word('u', 'l')}){{0,12}})[0-9]{{0,2}})$"
 
 
-def _spans(text: Column, matches: Column, pattern: str, kind: int, wanted) -> Column:
-    """Spans (start, kind, end) of the matches that wanted(index) keeps; the pieces between matches give the places, in one pass."""
-    between = F.split(text, pattern, -1)
+def _scan(n: Column, state: dict[str, Column], step, item: str) -> Column:
+    """An array of what step(state, k) emits for k in 0 .. n - 1; step gives the next state, whether it emits, and what.
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.length(F.get(acc["between"], i))
-        end = start + F.length(F.get(matches, i))
-        found = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(wanted(i), F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out"), acc["between"].alias("between"))
+    In blocks whose arrays are joined once at the end: an array that grows with each of n items would be copied n times.
+    """
+    none = F.expr(f"cast(array() as array<{item}>)")
+    named = lambda s: [v.alias(k) for k, v in s.items()]
+
+    def within(acc: Column, k: Column) -> Column:
+        after, emits, out = step({x: acc[x] for x in state}, k)
+        return F.struct(*named(after), F.when(emits, F.concat(acc["out"], F.array(out))).otherwise(acc["out"]).alias("out"))
+
+    def block(acc: Column, first: Column) -> Column:
+        begin = F.struct(*[acc[x].alias(x) for x in state], none.alias("out"))
+        join = lambda a: F.struct(*[a[x].alias(x) for x in state], F.concat(acc["outs"], F.array(a["out"])).alias("outs"))
+        return F.aggregate(F.sequence(first, F.least(first + BLOCK, n) - 1), begin, within, join)
+
+    begin = F.struct(*named(state), F.expr(f"cast(array() as array<array<{item}>>)").alias("outs"))
+    return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), n - 1, F.lit(BLOCK)), begin, block, lambda a: F.flatten(a["outs"]))).otherwise(none)
+
+
+def _spans(matches: Column, between: Column, kind: int, wanted) -> Column:
+    """Spans (start, kind, end) of the matches that wanted(index) keeps; between are the lengths of the pieces around matches, which give the places."""
+
+    def step(s: dict, k: Column) -> tuple[dict, Column, Column]:
+        start = s["at"] + F.get(between, k)
+        end = start + F.length(F.get(matches, k))
+        return {"at": end}, wanted(k), F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
 
-    none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
-    begin = F.struct(F.lit(0).alias("at"), none.alias("out"), between.alias("between"))
-    return F.when(F.size(matches) > 0, F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), begin, step, lambda a: a["out"])).otherwise(none)
+    # both columns are named several times, so that the optimizer leaves them as columns, made once
+    return _scan(F.least(F.size(matches), F.size(between) - 1), {"at": F.lit(0)}, step, SPAN)
 
 
-def window_entropy(c: Column, window: int) -> Column:
-    """The largest Shannon entropy of any window of that many characters of an ASCII string, by incremental counts.
+def _apart(every: Column) -> Column:
+    """Of spans by start, those found by entropy (disjoint ones) that meet no other, in one pass: the last one found waits for what follows it."""
+    span = lambda start, end: F.struct(start.alias("start"), F.lit(len(KINDS) - 1).alias("kind"), end.alias("end"))
 
-    The state is the sum of n * log2(n) over the counts n of the window's characters; a step takes one character in and one
-    out, reads those two counts off the window before it, and changes the sum by them.
+    def step(s: dict, k: Column) -> tuple[dict, Column, Column]:
+        x = F.get(every, k)
+        ours = x["kind"] == len(KINDS) - 1
+        after = {
+            "reach": F.when(ours, s["reach"]).otherwise(F.greatest(s["reach"], x["end"])),
+            "start": F.when(ours, x["start"]).otherwise(s["start"]),
+            "end": F.when(ours, x["end"]).otherwise(s["end"]),
+            "free": F.when(ours, s["reach"] <= x["start"]).otherwise(s["free"] & (x["start"] >= s["end"])),
+        }
+        return after, F.coalesce(ours, F.lit(True)) & s["free"], span(s["start"], s["end"])
+
+    # one step beyond the last span lets the one that waits out
+    begin = {"reach": F.lit(0), "start": F.lit(0), "end": F.lit(0), "free": F.lit(False)}
+    return _scan(F.when(F.size(every) > 0, F.size(every) + 1).otherwise(0), begin, step, SPAN)
+
+
+def window_entropy(c: Column, window: int | Column) -> Column:
+    """The largest Shannon entropy of any window of that many characters (MOST_WINDOW at most) of a candidate, by incremental counts; 0 for a shorter one.
+
+    The state holds the count of each possible character in the window, as the characters of a string, and the sum of n * log2(n) over these
+    counts n, in whole units of 2^-48, so that no rounding gathers. A step takes the oldest character's count down by one and
+    the next one's up. A step costs the place in c, so long strings are cut into slices first (_reaches).
     """
-    weight = lambda n: F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
+    window = F.lit(window) if isinstance(window, int) else window
+    weigh = F.array(*[F.lit(round(n * math.log2(n) * 2**48) if n else 0).cast("bigint") for n in range(MOST_WINDOW + 2)])
+    weight = lambda n: F.get(weigh, n)
+    place = lambda x: F.ascii(x) - (ord("+") - 1)
+    count = lambda counts, x: F.ascii(F.substring(counts, place(x), F.lit(1))) - ord("0")
+    told = lambda counts, x, n: F.overlay(counts, F.chr(n + ord("0")), place(x), F.lit(1))
 
     def step(a: Column, i: Column) -> Column:
-        first = F.greatest(i - window, F.lit(1))
-        before = F.substring(c, first, i - first)
-        count = lambda x: F.length(before) - F.length(F.replace(before, x, F.lit("")))
-        new, old = F.substring(c, i, F.lit(1)), F.substring(c, first, F.lit(1))
-        gain = weight(count(new) + 1) - weight(count(new))
-        loss = F.when(i > window, weight(count(old) - 1) - weight(count(old))).otherwise(F.lit(0.0))
-        total = F.when((i > window) & (new == old), a["s"]).otherwise(a["s"] + gain + loss)
-        bits = F.log2(F.lit(float(window))) - total / window
-        return F.struct(total.alias("s"), F.when(i >= window, F.greatest(a["best"], bits)).otherwise(a["best"]).alias("best"))
+        counts, new, old = a["counts"], F.substring(c, i, F.lit(1)), F.substring(c, i - window, F.lit(1))
+        n, m = count(counts, new), count(counts, old)
+        more = told(counts, new, n + 1)
+        gain = weight(n + 1) - weight(n)
+        moved = F.when(i <= window, F.struct(more.alias("counts"), (a["sum"] + gain).alias("sum")))
+        moved = moved.when(new == old, F.struct(counts.alias("counts"), a["sum"].alias("sum")))
+        moved = moved.otherwise(F.struct(told(more, old, m - 1).alias("counts"), (a["sum"] + gain + weight(m - 1) - weight(m)).alias("sum")))
+        least = lambda x: F.struct(x["counts"].alias("counts"), x["sum"].alias("sum"), F.when(i >= window, F.least(a["least"], x["sum"])).otherwise(a["least"]).alias("least"))
+        return F.get(F.transform(F.array(moved), least), F.lit(0))
+
+    begin = F.struct(F.lit("0" * (ord("z") - ord("+") + 1)).alias("counts"), F.lit(0).cast("bigint").alias("sum"), F.lit(1 << 62).cast("bigint").alias("least"))
+    bits = lambda a: F.log2(window.cast("double")) - a["least"] / (F.lit(2.0**48) * window)
+    return F.when(F.length(c) >= window, F.aggregate(F.sequence(F.lit(1), F.length(c)), begin, step, bits)).otherwise(F.lit(0.0))
+
 
-    begin = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("best"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(c)), begin, step, lambda a: a["best"])
+def _reaches(c: Column, window: Column, least: Column) -> Column:
+    """Whether a window of c has that much entropy: slices that overlap by a window less one, until one of them has."""
+    pieces = F.array(F.regexp_extract_all(c, F.lit(f".{{1,{SLICE}}}"), F.lit(0)))
+    joined = lambda ps: F.transform(ps, lambda p, k: F.concat(F.when(k > 0, F.right(F.get(ps, k - 1), window - 1)).otherwise(F.lit("")), p))
+    return F.exists(F.flatten(F.transform(pieces, joined)), lambda x: window_entropy(x, window) >= least)
 
 
 def _worded(c: Column) -> Column:
@@ -96,10 +153,11 @@ def _worded(c: Column) -> Column:
 
 def _secret_looking(c: Column) -> Column:
     allowed = reduce(lambda a, b: a | b, [c.rlike(p) for p in ALLOWED]) | _worded(c)
-    by_class = F.when(allowed, F.lit(False))
-    for pattern, window, least in CLASSES:
-        by_class = by_class.when(c.rlike(pattern), window_entropy(c, window) >= least)
-    return by_class.otherwise(F.lit(False))
+    which = F.when(allowed, F.lit(None).cast("int"))
+    for k, (pattern, _, _) in enumerate(CLASSES):
+        which = which.when(c.rlike(pattern), F.lit(k))
+    windows, leasts = F.array(*[F.lit(w) for _, w, _ in CLASSES]), F.array(*[F.lit(x) for _, _, x in CLASSES])
+    return F.exists(F.array(which), lambda k: k.isNotNull() & _reaches(c, F.get(windows, k), F.get(leasts, k)))
 
 
 def _scanned(df: DataFrame, text_col: str) -> DataFrame:
@@ -107,15 +165,19 @@ def _scanned(df: DataFrame, text_col: str) -> DataFrame:
     t = F.col("text")
     out = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), text_or_empty(text_col).alias("text"))
     found = {"a": (ASSIGN, 0), "v": (ASSIGN, 2), "k": (ACCESS, 0), "h": (HEX, 0), "c": (CANDIDATE, 0)}
+    pieces = {f"{n}_gaps": F.transform(F.split(t, p, -1), F.length) for n, p in (("a", ASSIGN), ("k", ACCESS), ("h", HEX), ("c", CANDIDATE))}
     out = out.select("row", "text", *[F.regexp_extract_all(t, F.lit(p), F.lit(g)).alias(name) for name, (p, g) in found.items()])
+    out = out.select("*", *[F.when(F.size(n[0]) > 0, x).otherwise(F.array(F.length(t))).alias(n) for n, x in pieces.items()])
     always = lambda i: F.lit(True)
-    assign = _spans(t, F.col("a"), ASSIGN, 0, lambda i: F.length(F.get(F.col("v"), i)) >= 6)
-    access = _spans(t, F.col("k"), ACCESS, 1, always)
-    hexes = _spans(t, F.col("h"), HEX, 2, always)
-    entropy = _spans(t, F.col("c"), CANDIDATE, 3, lambda i: _secret_looking(F.get(F.col("c"), i)))
+    assign = _spans(F.col("a"), F.col("a_gaps"), 0, lambda i: F.length(F.get(F.col("v"), i)) >= 6)
+    access = _spans(F.col("k"), F.col("k_gaps"), 1, always)
+    hexes = _spans(F.col("h"), F.col("h_gaps"), 2, always)
+    entropy = _spans(F.col("c"), F.col("c_gaps"), 3, lambda i: _secret_looking(F.get(F.col("c"), i)))
     out = out.select("row", "text", F.array_sort(F.concat(assign, access, hexes)).alias("base"), entropy.alias("e"))
-    apart = F.filter("e", lambda e: ~F.exists("base", lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])))
-    return out.select("row", "text", "base", F.array_sort(F.concat(F.col("base"), apart)).alias("spans"))
+    out = out.select("row", "text", "base", "e", F.array_sort(F.concat("base", "e")).alias("every"))
+    alone = F.when(F.size("base") == 0, F.col("e")).when(F.size("e") == 0, F.col("e")).otherwise(_apart(F.col("every")))
+    out = out.select("row", "text", "base", alone.alias("alone"))
+    return out.select("row", "text", "base", F.array_sort(F.concat("base", "alone")).alias("spans"))
 
 
 def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -135,7 +197,8 @@ def joined(spans: Column) -> Column:
 
 
 def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts and digests of each document's spans, one row a row; other columns than id and text are not read."""
+    """Counts and digests of each document's spans, one row a row; other columns than id and text are not read. Texts and candidates of
+    any length are read whole, in time in proportion to them."""
     n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
     return scan(df.select(id_col, text_col), text_col).select(id_col, n(0), n(1), n(2), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
@@ -144,18 +207,24 @@ def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> Dat
     """df with each span, or run of overlapping spans, of the text replaced by mark; all other columns as they are, whatever their names.
 
     Texts without spans, null ones too, stay as they are; so do repeated rows and an empty table. The pieces between spans are cut
-    out by their places and joined once.
+    out by their places, of blocks of the text, and joined once; time is in proportion to the text and its spans.
     """
-    text = F.col("text")
-    cut = "array<struct<from:int,to:int>>"
-    begin = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {cut})").alias("out"))
-
-    def step(a: Column, s: Column) -> Column:
-        apart = s["start"] >= a["at"]
-        more = F.concat(a["out"], F.array(F.struct(a["at"].alias("from"), s["start"].alias("to"))))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(apart, more).otherwise(a["out"]).alias("out"))
-
-    last = lambda a: F.concat(a["out"], F.array(F.struct(a["at"].alias("from"), F.length(text).alias("to"))))
-    pieces = F.transform(F.aggregate("spans", begin, step, last), lambda p: F.substring(text, p["from"] + 1, p["to"] - p["from"]))
-    masked = F.when(F.size("spans") > 0, F.array_join(pieces, mark)).otherwise(F.col("row")[text_col])
-    return _scanned(df, text_col).select(*[(masked if c == text_col else F.col("row")[c]).alias(c) for c in df.columns])
+    text, blocks = F.col("text"), F.col("blocks")
+
+    def step(s: dict, k: Column) -> tuple[dict, Column, Column]:
+        x = F.get("spans", k)
+        piece = F.struct(s["at"].alias("from"), x["start"].alias("to"))
+        return {"at": F.greatest(s["at"], x["end"])}, x["start"] >= s["at"], piece
+
+    def cut(low: Column, high: Column) -> Column:
+        """The text from low to high: of the blocks that hold it, each read from its own start."""
+        part = lambda b: F.substring(F.get(blocks, b), F.greatest(low - b * SLICE, F.lit(0)) + 1, F.least(high - b * SLICE, F.lit(SLICE)) - F.greatest(low - b * SLICE, F.lit(0)))
+        number = lambda x: F.floor(x / SLICE).cast("int")
+        return F.when(high > low, F.array_join(F.transform(F.sequence(number(low), number(high - 1)), part), "")).otherwise(F.lit(""))
+
+    before = F.transform(_scan(F.size("spans"), {"at": F.lit(0)}, step, "struct<from:int,to:int>"), lambda p: cut(p["from"], p["to"]))
+    after = cut(F.array_max(F.transform("spans", lambda x: x["end"])), F.length(text))
+    masked = F.when(F.size("spans") > 0, F.array_join(F.concat(before, F.array(after)), mark)).otherwise(F.col("row")[text_col])
+    sliced = F.when(F.size("spans") > 0, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{SLICE}}}"), F.lit(0)))
+    scanned = _scanned(df, text_col).select("row", "text", "spans", sliced.alias("blocks"))
+    return scanned.select(*[(masked if c == text_col else F.col("row")[c]).alias(c) for c in df.columns])
