@@ -327,3 +327,74 @@ def stream_tags(spark, d):
     return ingest.forward_tags(pos, tags)
 
 
+
+
+# --- live streams --------------------------------------------------------------------------------------------------
+
+_ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+#: Arrivals of the live queries: files that hold the events in order, a fifth each, and files for what comes after.
+_FILES = 5
+
+
+def arrivals(spark, d) -> DataFrame:
+    """Events as packets of one sample with their file of arrival: every 11th comes a file late, every 7th a second time, every 53rd three files
+    late, when its time is over. Every 1000th has a time tag ten samples on, some go backwards; every 97th and 131st change a field."""
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("channel"), F.col("event_id").alias("pos"), F.array("value").alias("data"))
+    n = e.agg((F.max("pos") + 1).alias("n"))
+    i = F.col("pos")
+    tag = F.when(i % 1000 < 8, i + 10 * div(i, 1000)).when(i % 1700 == 9, i - 5)
+    one = lambda m, name: F.when(i % m == 0, F.concat(F.lit(f'"{name}": '), i.cast("string")))
+    fields = F.when((i % 97 == 0) | (i % 131 == 0), F.concat(F.lit("{"), F.concat_ws(", ", one(97, "freq"), one(131, "gain")), F.lit("}")))
+    file = div(i * _FILES, F.col("n")) + F.when(i % 53 == 1, 3).when(i % 11 == 3, 1).otherwise(0)
+    # a file is an hour of event time, of the second day: Spark takes the very first instant as late
+    ts = F.timestamp_micros(F.lit(86_400_000_000) + div(i * F.lit(3_600_000_000 * _FILES), F.col("n")))
+    rows = e.crossJoin(F.broadcast(n)).select("channel", "pos", ts.alias("ts"), "data", tag.alias("tag"), fields.alias("metadata"), file.alias("file"))
+    twice = rows.where((i % 7 == 0) & (i % 53 != 1)).withColumn("file", F.col("file") + 1)
+    clock = spark.range(_FILES, _FILES + 5).select(F.lit("~clock").alias("channel"), F.col("id").alias("pos"), F.timestamp_seconds((F.col("id") + 26) * 3600).alias("ts"), F.array(F.lit(0.0)).alias("data"), F.lit(None).cast("long").alias("tag"), F.lit(None).cast("string").alias("metadata"), F.col("id").alias("file"))
+    return rows.unionByName(twice).unionByName(clock)
+
+
+def arrive(rows: DataFrame, path: str, files: range) -> None:
+    """Write the arrivals of these files, one after the other."""
+    for k in files:
+        rows.where(F.col("file") == k).drop("file").coalesce(1).write.mode("append").parquet(path)
+
+
+def run_live(spark, path: str, out: str, checkpoint: str, **options) -> None:
+    """The live sink over the packets at path, a file a batch, from where the checkpoint stands."""
+    from sigloom.streaming import live
+
+    before = spark.conf.get(_ROCKS[0], None)
+    spark.conf.set(*_ROCKS)
+    try:
+        schema = "channel string, pos long, ts timestamp, data array<double>, tag long, metadata string"
+        packets = ingest.source(spark, path, schema, files_at_once=1)
+        ingest.sink(live.live_sink(packets, "90 minutes", **options), out, checkpoint)
+    finally:
+        spark.conf.set(_ROCKS[0], before) if before else spark.conf.unset(_ROCKS[0])
+
+
+_LIVE = """here as (select event_type as channel, event_id as pos, value as re from events where event_id % 53 <> 1),
+tagged as (select *, case when pos % 1000 < 8 then 10 * (pos // 1000) when pos % 1700 = 9 then -5 end as shift, row_number() over (partition by channel order by pos) as k from here),
+placed as (select *, pos + coalesce(max(case when k > 1 or shift is not null then shift end) over (partition by channel order by pos), 0) as idx,
+    case when pos % 97 = 0 then pos end as f, case when pos % 131 = 0 then pos end as g from (select channel, pos, re, k, case when k > 1 and shift < 0 then null else shift end as shift from tagged)),
+steps as (select *, lag(idx) over w + 1 as due, last_value(f ignore nulls) over w as freq, last_value(g ignore nulls) over w as gain from placed window w as (partition by channel order by pos))
+"""
+
+
+@query(
+    "stream_live",
+    f"""with {_LIVE}
+select channel, 'data' as kind, idx as sample_idx, cast(1 as bigint) as n, re, cast(null as varchar) as metadata from steps
+union all select channel, 'zeros', due, idx - due, null, null from steps where idx > due
+union all select channel, 'metadata', idx, null, null,
+    '{{' || concat_ws(', ', case when freq is not null then '"freq": ' || freq end, case when gain is not null then '"gain": ' || gain end) || '}}'
+from steps where due is null or idx > due or f is not null or g is not null""",
+)
+def stream_live(spark, d):
+    """SNK-11, SRC-23, stateful streams with late data: packets out of order, twice, late and never, through a live sink in append mode, a file a batch."""
+    path, out = scratch(spark), scratch(spark)
+    arrive(arrivals(spark, d), path, range(_FILES + 5))
+    run_live(spark, path, out, scratch(spark))
+    got = spark.read.parquet(out).where("channel <> '~clock'")
+    return got.select("channel", "kind", "sample_idx", "n", F.get("data", F.lit(0)).alias("re"), "metadata")
