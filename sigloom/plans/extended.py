@@ -398,3 +398,54 @@ def stream_live(spark, d):
     run_live(spark, path, out, scratch(spark))
     got = spark.read.parquet(out).where("channel <> '~clock'")
     return got.select("channel", "kind", "sample_idx", "n", F.get("data", F.lit(0)).alias("re"), "metadata")
+
+
+# --- several roots -------------------------------------------------------------------------------------------------
+
+
+def three_roots(spark, d) -> list[str]:
+    """Orders in three roots that disagree: two thirds of them as they are; runs of two in five negated; the middle doubled."""
+    x, roots = ord_(spark, d).withColumnRenamed("x", "re"), []
+    high = x.agg(F.max("sample_idx")).first()[0]
+    i = F.col("sample_idx")
+    for own in (x.where(i % 30 < 20), x.where(i % 5 < 2).withColumn("re", -F.col("re")), x.where(i.between(high // 4, high // 2)).withColumn("re", 2 * F.col("re"))):
+        s = Store(spark, scratch(spark))
+        s.create("ord", "f64", (NUM, DEN), 200 * SUBDIR_S, 100 * FILE_MS)
+        s.append(own, "ord")
+        roots.append(s.root)
+    return roots
+
+
+_ROOTS = """held as (
+    select o_orderkey as i, o_totalprice as x, o_orderkey % 30 < 20 as a, o_orderkey % 5 < 2 as b,
+        o_orderkey between (select max(o_orderkey) from orders) // 4 and (select max(o_orderkey) from orders) // 2 as c from orders
+)"""
+
+
+@query("multi_root_conflict", f"with {_ROOTS} select i as sample_idx, case when c then 2 * x when b then -x else x end as v, case when c then 2 when b then 1 else 0 end as root from held where a or b or c")
+def multi_root_conflict(spark, d):
+    """SRC-01, SET-01: three roots hold overlapping parts with other values; the last root's count."""
+    from sigloom.sources.roots import Roots
+
+    r = Roots(spark, three_roots(spark, d), strict=False)
+    return r.read("ord", *r.bounds("ord"))
+
+
+@query(
+    "multi_root_held",
+    f"""with {_ROOTS}, marked as (select i, concat_ws(',', case when a then '0' end, case when b then '1' end, case when c then '2' end) as holders from held where a or b or c)
+select holders, min(i) as block_start, count(*) as n from (select *, i - row_number() over (partition by holders order by i) as g from marked) group by holders, g""",
+)
+def multi_root_held(spark, d):
+    """SRC-26: which roots hold what, by a sweep over their index columns."""
+    from sigloom.sources.roots import Roots
+
+    return Roots(spark, three_roots(spark, d), strict=False).held("ord")
+
+
+@query("multi_root_blocks", f"with {_ROOTS} select 'ord' as channel, min(i) as block_start, count(*) as n from (select i, i - row_number() over (order by i) as g from held where a or b or c) group by g")
+def multi_root_blocks(spark, d):
+    """SRC-08 over three roots: each sample once."""
+    from sigloom.sources.roots import Roots
+
+    return Roots(spark, three_roots(spark, d), strict=False).blocks("ord")

@@ -15,19 +15,23 @@ DTYPES = {"s8": ("tinyint", -128), "s16": ("smallint", -32768), "s32": ("int", -
 PROPERTIES = ("channel", "dtype", "rate_num", "rate_den", "subdir_s", "file_ms", "is_complex", "num_subchannels")
 
 
+#: The column of a subchannel; a channel without subchannels has one column, data.
+SUBCHANNEL = "s{}"
 #: Largest values of the types that Spark has no unsigned form of.
 UNSIGNED = {"u8": 2**8 - 1, "u16": 2**16 - 1, "u32": 2**32 - 1, "u64": 2**64 - 1}
 
 
 def checked_cast(value: Column, dtype: str) -> Column:
-    """SNK-05: value in the storage type's Spark type; what does not fit raises."""
+    """SNK-05: value in the storage type's Spark type; what does not fit raises: out of range, not whole in a whole type, or finite but not so in f32."""
     kind = DTYPES[dtype][0]
-    if dtype in UNSIGNED:
-        return F.when((value >= 0) & (value <= F.lit(str(UNSIGNED[dtype])).cast("decimal(20,0)")), value.cast(kind)).when(value.isNotNull(), F.raise_error(F.lit(f"a value is out of range of {dtype}")).cast(kind))
-    bits = {"s8": 7, "s16": 15, "s32": 31, "s64": 63}.get(dtype)
-    if bits is None:
-        return value.cast(kind)
-    return F.when((value >= -(2**bits)) & (value <= 2**bits - 1), value.cast(kind)).when(value.isNotNull(), F.raise_error(F.lit(f"a value is out of range of {dtype}")).cast(kind))
+    bad = lambda why: F.raise_error(F.lit(f"a value {why} {dtype}")).cast(kind)
+    if dtype in ("f32", "f64"):
+        lost = (F.abs(value.cast("double")) < float("inf")) & (F.abs(value.cast("float").cast("double")) == float("inf"))
+        return value.cast(kind) if dtype == "f64" else F.when(lost, bad("is out of range of")).otherwise(value.cast(kind))
+    low, high = (0, UNSIGNED[dtype]) if dtype in UNSIGNED else (-(2 ** (int(dtype[1:]) - 1)), 2 ** (int(dtype[1:]) - 1) - 1)
+    bound = lambda x: F.lit(str(x)).cast("decimal(20,0)") if dtype == "u64" else F.lit(x)
+    inside = (value >= bound(low)) & (value <= bound(high))
+    return F.when(value.isNull(), F.lit(None).cast(kind)).when(~inside, bad("is out of range of")).when(value != F.floor(value), bad("is not whole, as is all of")).otherwise(value.cast(kind))
 
 
 def validate(dtype: str, rate_num: int, rate_den: int, subdir_s: int, file_ms: int, num_subchannels: int = 1, compression: int = 0) -> None:
@@ -157,8 +161,11 @@ class Store:
         twice = F.when(F.lag("sample_idx").over(w) == F.col("sample_idx"), F.raise_error("indexes are distinct")).otherwise(F.col("sample_idx") - F.row_number().over(w))
         rows = placed.withColumn("i", twice.cast("long")).groupBy("file_ms", "i").agg(F.min("sample_idx").alias("block_start"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("sample_idx", "v"))).alias("r"))
         folder = div(F.col("file_ms"), 1000 * p["subdir_s"]) * p["subdir_s"]
+        # a subchannel is a column of its own, so that one is read without the others
+        part = lambda k: F.transform("r", lambda x: x["v"][k]).alias(SUBCHANNEL.format(k))
+        data = [part(k) for k in range(width)] if width > 1 else [F.transform("r", lambda x: x["v"]).alias("data")]
         own = F.struct(*[F.lit(p[x]).alias(x) for x in PROPERTIES])
-        out = rows.select(F.lit(channel).alias("channel"), folder.alias("subdir"), "file_ms", "block_start", "n", F.transform("r", lambda x: x["v"]).alias("data"), own.alias("properties"))
+        out = rows.select(F.lit(channel).alias("channel"), folder.alias("subdir"), "file_ms", "block_start", "n", *data, own.alias("properties"))
         out.write.mode("append").partitionBy("channel", "subdir").option("compression", compression).option("parquet.page.write-checksum.enabled", "true").parquet(f"{self.root}/chunks")
         return high + 1
 
@@ -210,16 +217,20 @@ class Store:
         """Samples (sample_idx, v) of an inclusive range, cut from the chunks at both ends; PRJ-01: of one subchannel, or v an array of all."""
         if last < first:
             raise ValueError("the range ends before it starts")
-        a = F.greatest(F.lit(first) - F.col("block_start"), F.lit(0)).cast("int")
-        b = F.least(F.col("n"), F.lit(last + 1) - F.col("block_start")).cast("int")
-        cut = self.chunks(channel, first, last).select((F.col("block_start") + a).alias("s"), F.slice("data", a + 1, b - a).alias("d"))
-        out = cut.select("s", F.posexplode("d").alias("k", "v")).select((F.col("s") + F.col("k")).alias("sample_idx"), "v")
-        if subchannel is None:
-            return out
+        return self.samples(self.chunks(channel, first, last), channel, first, last, subchannel)
+
+    def samples(self, chunks: DataFrame, channel: str, first: int, last: int, subchannel: int | None = None) -> DataFrame:
+        """Samples (sample_idx, v) of chunk rows within a range; of a subchannel, only its column is read."""
         width = self._own(channel)["num_subchannels"]
-        if not 0 <= subchannel < width:
+        if subchannel is not None and not 0 <= subchannel < width:
             raise ValueError(f"the channel has {width} subchannels")
-        return out.withColumn("v", F.get("v", F.lit(subchannel))) if width > 1 else out
+        a = F.greatest(F.lit(first) - F.col("block_start"), F.lit(0)).cast("int")
+        b = F.least(F.col("n"), F.lit(last + 1) - F.col("block_start")).cast("int")
+        names = ["data"] if width == 1 else [SUBCHANNEL.format(k) for k in ([subchannel] if subchannel is not None else range(width))]
+        parts = [F.slice(n, a + 1, b - a) for n in names]
+        data = parts[0] if len(parts) == 1 else F.transform(F.arrays_zip(*[p.alias(n) for p, n in zip(parts, names, strict=True)]), lambda x: F.array(*[x[n] for n in names]))
+        cut = chunks.select((F.col("block_start") + a).alias("s"), data.alias("d"))
+        return cut.select("s", F.posexplode("d").alias("k", "v")).select((F.col("s") + F.col("k")).alias("sample_idx"), "v")
 
     def read_vector(self, channel: str, start: int, n: int, subchannel: int | None = None) -> DataFrame:
         """SRC-04, SRC-05: exactly n samples as one array of the smallest floating type, complex ones as structs; an error when any is missing."""
