@@ -90,3 +90,23 @@ def lowpass(taps: int, cutoff: float) -> list[float]:
     mid = (taps - 1) / 2
     h = [2 * cutoff * (1.0 if i == mid else math.sin(2 * math.pi * cutoff * (i - mid)) / (2 * math.pi * cutoff * (i - mid))) * w[i] for i in range(taps)]
     return [float(x / sum(h)) for x in h]
+
+
+def chebyshev(order: int, ripple_db: float, cutoff: float) -> list[tuple[float, float, float, float, float]]:
+    """DSP-09: a digital low-pass with equal ripple in its pass band, as sections (b0, b1, b2, a1, a2); cutoff as a share of half the rate, order even.
+
+    Poles lie on an ellipse in the analog plane and go through the bilinear map; at frequency 0 the gain is the ripple's lower end.
+    """
+    if order < 2 or order % 2 or not 0 < cutoff < 1 or ripple_db <= 0:
+        raise ValueError("an even order, a cutoff between 0 and 1, and some ripple")
+    e = math.sqrt(10 ** (ripple_db / 10) - 1)
+    mu, warped = math.asinh(1 / e) / order, math.tan(math.pi * cutoff / 2)
+    out = []
+    for k in range(order // 2):
+        theta = math.pi * (2 * k + 1) / (2 * order)
+        s = warped * complex(-math.sinh(mu) * math.sin(theta), math.cosh(mu) * math.cos(theta))
+        z = (1 + s) / (1 - s)
+        a1, a2 = -2 * z.real, abs(z) ** 2
+        g = (1 + a1 + a2) / 4 * (1 / math.sqrt(1 + e * e) if k == 0 else 1.0)
+        out.append((g, 2 * g, g, a1, a2))
+    return out

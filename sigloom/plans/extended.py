@@ -449,3 +449,12 @@ def multi_root_blocks(spark, d):
     from sigloom.sources.roots import Roots
 
     return Roots(spark, three_roots(spark, d), strict=False).blocks("ord")
+
+
+@query("decimate_zero_phase")
+def decimate_zero_phase(spark, d):
+    """DSP-09: events' channels, gaps and all, at a quarter of their rate by a recursive filter without delay; held against numpy by a test."""
+    from sigloom.operators import recursive
+
+    x = ev(spark, d).select("channel", "sample_idx", F.col("re").alias("x"))
+    return recursive.decimate_zero_phase(x, 4)
