@@ -104,6 +104,13 @@ def refused(new: DataFrame, held: DataFrame) -> DataFrame:
     return new.join(held.select("channel", "sample_idx"), ["channel", "sample_idx"], "left_semi")
 
 
+def with_single(rows: DataFrame, fields: dict) -> DataFrame:
+    """MAP-03: rows (sample_idx, fields by sample...) with further fields whose single value holds for every sample. A name that rows have is refused."""
+    if clash := sorted(set(fields) & set(rows.columns)):
+        raise ValueError(f"fields {clash} are given twice")
+    return rows.withColumns({k: F.lit(v) for k, v in fields.items()})
+
+
 def deep_update(a: dict, b: dict) -> dict:
     """MAP-02: b over a, nested dicts merged."""
     return a | {k: deep_update(a[k], v) if isinstance(v, dict) and isinstance(a.get(k), dict) else v for k, v in b.items()}

@@ -315,18 +315,19 @@ def md_columnar(spark, d):
     return wide.select("channel", F.explode(F.arrays_zip("i", "v")).alias("z")).select("channel", F.col("z.i").alias("sample_idx"), "z.v")
 
 
-@query("md_default_row", f"select c.channel, coalesce(m.sample_idx, 5) as sample_idx, v, cast({NUM} as bigint) as rate_num, cast({DEN} as bigint) as rate_den from (select distinct channel from ev) c left join (select * from md where channel < 'e') m using (channel)", "ev md")
+@query("md_default_row", f"select c.channel, coalesce(m.sample_idx, 5) as sample_idx, v, cast({NUM} as bigint) as rate_num, cast({DEN} as bigint) as rate_den from (select distinct channel from ev union all select 'silent') c left join md m using (channel)", "ev md")
 def md_default_row(spark, d):
-    """SRC-19, SRC-20, SRC-21."""
-    names = channels(spark, d).withColumns({"rate_num": F.lit(NUM).cast("long"), "rate_den": F.lit(DEN).cast("long")})
-    return metadata.with_rate(md(spark, d).where("channel < 'e'"), names, 5).select("channel", "sample_idx", "v", "rate_num", "rate_den")
+    """SRC-19, SRC-21: every channel's metadata with its rate; a channel without any has a row of its rate alone."""
+    silent = spark.range(1).select(F.lit("silent").alias("channel"))
+    names = channels(spark, d).unionByName(silent).withColumns({"rate_num": F.lit(NUM).cast("long"), "rate_den": F.lit(DEN).cast("long")})
+    return metadata.with_rate(md(spark, d), names, 5).select("channel", "sample_idx", "v", "rate_num", "rate_den")
 
 
-@query("md_write_broadcast", "select unnest([10, 20, 30]) as sample_idx, unnest([1.5, 2.5, 3.5]) as gain, 'site' as name", "")
+@query("md_write_broadcast", "select o_orderkey as sample_idx, o_totalprice as gain, 'site' as name, 3 as level from orders")
 def md_write_broadcast(spark, d):
-    """MAP-03, SNK-10."""
-    rows = metadata.broadcast_write([10, 20, 30], {"gain": [1.5, 2.5, 3.5], "name": "site"})
-    return spark.createDataFrame([(r["sample_idx"], r["gain"], r["name"]) for r in rows], "sample_idx int, gain double, name string")
+    """MAP-03, SNK-10: one value a sample, and single values that hold for all of them."""
+    rows = ord_(spark, d).withColumnRenamed("x", "gain")
+    return metadata.with_single(rows, {"name": "site", "level": 3})
 
 
 @query("md_no_overwrite", "select channel, sample_idx, v from md where sample_idx % 2 = 0", "ev md")
@@ -446,24 +447,24 @@ def fill_replace(spark, d):
     return ev(spark, d).select("sample_idx", signal.replace_fill(F.col("im"), 7.0).alias("im"))
 
 
-@query("axes", f"select pos, {s6('pos * 0.15::double', 'km')}, {s6('case when pos < 32 then pos else pos - 64 end * 15625.0::double + 1000.0::double', 'hz')} from (select unnest(range(0, 64)) as pos)")
+@query("axes", f"select sample_idx, {s6('sample_idx * 0.15::double', 'km')}, {s6('case when sample_idx % 64 < 32 then sample_idx % 64 else sample_idx % 64 - 64 end * 15625.0::double + 1000.0::double', 'hz')} from ev", "ev")
 def axes(spark, d):
-    """MTH-06, MTH-07."""
-    return spark.range(64).select(F.col("id").alias("pos"), r6(signal.range_km(F.col("id"), 1e6), "km"), r6(signal.bin_frequency(F.col("id"), 64, 1e6, 1000.0), "hz"))
+    """MTH-06, MTH-07: each sample's range, and the frequency of its bin of 64."""
+    i = F.col("sample_idx")
+    return ev(spark, d).select("sample_idx", r6(signal.range_km(i, 1e6), "km"), r6(signal.bin_frequency(i % 64, 64, 1e6, 1000.0), "hz"))
 
 
-@query("hex2vec", "select k, bit from (select unnest(range(0, 10)) as k, unnest([0, 1, 1, 0, 1, 0, 0, 1, 0, 1]) as bit)")
+@query("hex2vec", "select event_id, array_to_string(list_transform(range(0, 12), lambda k: (event_id >> (11 - k)) & 1), '') as bits from events")
 def hex2vec(spark, d):
-    """MTH-10: the last ten bits of 1A5."""
-    bits = signal.hex_bits(F.lit("1A5"), 10)
-    return spark.range(1).select(F.posexplode(bits).alias("k", "bit")).select(F.col("k").cast("long").alias("k"), "bit")
+    """MTH-10: the last twelve bits of each event's number in hexadecimal."""
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", F.array_join(F.transform(signal.hex_bits(F.hex("event_id"), 12), lambda b: b.cast("string")), "").alias("bits"))
 
 
-@query("rep_seq", f"select k, cast(([{', '.join(str(int(c)) for c in signal.barker(13))}])[cast(k // 3 + 1 as int)] as double) as chip from (select unnest(range(0, 39)) as k)")
+@query("rep_seq", "select cast(vec_id as bigint) as vec, cast(k as bigint) as k, cast(embedding[k // 3 + 1] as double) as chip from (select vec_id, embedding, unnest(range(0, 192)) as k from embeddings)")
 def rep_seq(spark, d):
-    """ARR-03: Barker-13, each chip three times."""
-    code = signal.repeat_code(F.array(*map(F.lit, signal.barker(13))), 3)
-    return spark.range(1).select(F.posexplode(code).alias("k", "chip")).select(F.col("k").cast("long").alias("k"), "chip")
+    """ARR-03: each item of each vector three times."""
+    code = signal.repeat_code(F.col("embedding").cast("array<double>"), 3)
+    return vec(spark, d).select(F.col("vec_id").cast("long").alias("vec"), F.posexplode(code).alias("k", "chip")).select("vec", F.col("k").cast("long").alias("k"), "chip")
 
 
 @query("unwrap_cumsum", "with p as (select sample_idx, atan2(im, re) as a from ev), s as (select sample_idx, a - lag(a) over (order by sample_idx) as d from p) select sample_idx, round(sum(coalesce(d - 2 * pi() * ceil((d - pi()) / (2 * pi())), 0)) over (order by sample_idx), 4) + 0.0 as phase from s", "ev")
