@@ -387,3 +387,59 @@ def report(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str =
     none, counts = F.col("audit").isNull(), ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
     empty = hashlib.sha256(b"").hexdigest()
     return out.select(F.col("_conv").alias(conv), *[F.when(none, F.lit(0).cast("long")).otherwise(F.col(c)).alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(empty)).alias("repaired_sha256"))
+
+
+def _oracle() -> str:
+    """The same rows in SQL: a state's (cost, audit) is one string, nine digits of cost first, so that the least string is the least pair."""
+
+    def add(state: str, cost: str, edit: str) -> str:
+        return f"lpad(cast(cast(left({state}, 9) as integer) + {cost} as varchar), 9, '0') || substr({state}, 10) || '{edit}'"
+
+    move = lambda edit, cost, initial, *states: ", ".join(f"case when stays{f' and initial = {initial!r}' if initial else ''} then {add(s, cost, edit)} end" for s in states)
+    forward = lambda *states: ", ".join(add(s, str(INSERT), "I") for s in states)
+    kept, anew = "late", f"{REROLE} + late"
+    return rf"""
+with recursive d as (
+    select conv_id as conv, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+        list_reduce([4294967295] || flatten(list_transform(string_split(coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' '), ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1])),
+            lambda c, x: case when x >= 0 then xor(c, x) else xor(c >> 1, 3988292384 * (c & 1)) end) as crc
+    from conversations
+), h as (select *, xor(crc, 4294967295) % 20 as how from d),
+r as (
+    select conv, turn, case when how = 4 then 'user' else role end as role, case how when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+    from h, (select unnest([0, 1]) as copy) where how <> 0 and (copy = 0 or how = 3)
+), o as (select *, left(role, 1) as initial, row_number() over (partition by conv order by turn nulls first, role, text) as k, regexp_replace(text, '[\x20\x09-\x0D]+$', '') as said from r),
+f as (
+    select *, case when said = '' then 'b' when row_number() over (partition by conv, role, text order by k) > 1 then 'd' when right(said, 1) not in ('.', '!', '?') then 't' else '' end as fault,
+        lag(initial) over (partition by conv order by k) || initial as pair from o
+), g as (select *, fault not in ('b', 'd') as stays, case when fault = 't' then {STAYS} else 0 end as late from f),
+total as (
+    select conv, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where fault = 'b') as blank, count(*) filter (where fault = 'd') as duplicate,
+        count(*) filter (where fault = 't') as truncated, count(*) filter (where pair not in ('su', 'ua', 'au')) as illegal from g group by conv
+), v as (
+    select conv, cast(0 as bigint) as k, '000000000' as s0, cast(null as varchar) as s1, '00000000{INSERT}I' as s2, '00000000{2 * INSERT}II' as s3 from total
+    union all
+    select conv, k, n0, n1, least(m2, {forward("m3")}), least(m3, {forward("m2")}) from (
+        select *, least(n2, {forward("n0", "n1", "n3")}) as m2, least(n3, {forward("n2")}) as m3 from (
+            select v.conv, g.k, {add("s0", str(DELETE), "D")} as n0, least({add("s1", str(DELETE), "D")}, {move("K", kept, "s", "s0")}) as n1,
+                least({add("s2", str(DELETE), "D")}, {move("K", kept, "u", "s0", "s1", "s3")}, {move("R", anew, "", "s0", "s1", "s3")}) as n2,
+                least({add("s3", str(DELETE), "D")}, {move("K", kept, "a", "s2")}, {move("R", anew, "", "s2")}) as n3
+            from v join g on g.conv is not distinct from v.conv and g.k = v.k + 1))
+), best as (
+    select t.*, cast(left(least(s0, s3), 9) as bigint) as cost, substr(least(s0, s3), 10) as audit from total t join v on v.conv is not distinct from t.conv and v.k = t.n
+), w as (
+    select conv, cast(0 as bigint) as i, cast(0 as bigint) as k, 'n' as state, cast(null as varchar) as said, audit from best
+    union all
+    select conv, i + 1, k, case when edit = 'D' then state when edit = 'K' then initial when state = 'u' then 'a' else 'u' end,
+        case when edit = 'D' then said else coalesce(said || chr(10), '') || case when edit = 'K' then role when state = 'u' then 'assistant' else 'user' end || ':' || case when edit = 'I' then '' else text end end, audit
+    from (
+        select w.conv, i, state, w.said, audit, substr(audit, i + 1, 1) as edit, case when substr(audit, i + 1, 1) = 'I' then w.k else w.k + 1 end as k, g.role, g.text, g.initial
+        from w left join g on g.conv is not distinct from w.conv and g.k = w.k + 1 where i < length(audit))
+)
+select c.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+    coalesce(cost, 0) as cost, coalesce(b.audit, '') as audit, sha256(coalesce(w.said, '')) as repaired_sha256
+from (select distinct conv_id from conversations) c left join best b on b.conv is not distinct from c.conv_id left join w on w.conv is not distinct from b.conv and w.i = length(b.audit)
+"""
+
+
+ORACLE = _oracle()

@@ -76,4 +76,4 @@ QUERIES = {
     for f in (op1_bpe, op2_suffix_array_dedup, op3_ngram_jaccard_join, op4_warc, op5_secret_scan, op6_url_filter, op7_quality_rules, op8_exact_dedup, op9_best_fit_packing, op10_language_id)
     + (op11_exact_topk, op12_conversation_repair, op13_source_divergence)
 }
-ORACLES = {"op4_warc": warc.ORACLE, "op6_url_filter": urls.oracle(), "op8_exact_dedup": exact.ORACLE, "op11_exact_topk": topk.ORACLE, "op13_source_divergence": divergence.ORACLE}
+ORACLES = {"op4_warc": warc.ORACLE, "op6_url_filter": urls.oracle(), "op8_exact_dedup": exact.ORACLE, "op11_exact_topk": topk.ORACLE, "op12_conversation_repair": conversations.ORACLE, "op13_source_divergence": divergence.ORACLE}

@@ -129,7 +129,7 @@ def test_counts_beyond_64_bits():
     assert divergence.shares(np.array([big, 0]), 3 * big, 7).tolist() == [1 + 10**9 * (big + 1) // (3 * big + 7), 1]
 
 
-@pytest.mark.parametrize("name, table", [("op11_exact_topk", "embeddings"), ("op13_source_divergence", "documents")])
+@pytest.mark.parametrize("name, table", [("op11_exact_topk", "embeddings"), ("op12_conversation_repair", "conversations"), ("op13_source_divergence", "documents")])
 def test_sql(spark, name, table):
     con = duckdb.connect()
     con.sql(f"create view {table} as select * from '/root/testdata/sf0.001/{table}.parquet'")
