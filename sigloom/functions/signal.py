@@ -85,7 +85,7 @@ def window(name: str, n: int, periodic: bool = True) -> np.ndarray:
 
 
 def lowpass(taps: int, cutoff: float) -> list[float]:
-    """A windowed-sinc low-pass filter; cutoff in cycles a sample. Stands in for equiripple design, which needs a library that is absent here."""
+    """A windowed-sinc low-pass filter; cutoff in cycles a sample. For level ripples see equiripple."""
     w = window("hamming", taps, periodic=False)
     mid = (taps - 1) / 2
     h = [2 * cutoff * (1.0 if i == mid else math.sin(2 * math.pi * cutoff * (i - mid)) / (2 * math.pi * cutoff * (i - mid))) * w[i] for i in range(taps)]
@@ -110,3 +110,79 @@ def chebyshev(order: int, ripple_db: float, cutoff: float) -> list[tuple[float,
         g = (1 + a1 + a2) / 4 * (1 / math.sqrt(1 + e * e) if k == 0 else 1.0)
         out.append((g, 2 * g, g, a1, a2))
     return out
+
+
+def _exchange(half: int, cutoff: float, stop: float, weight: float, density: int = 24, rounds: int = 60) -> np.ndarray | None:
+    """Taps of a symmetric low-pass of 2 * half + 1 taps whose weighted error is level, by the exchange of extremal frequencies; None where that fails.
+
+    On half + 2 points the error of the best cosine sum alternates with one size. The sum through such points (barycentric) shows
+    where the error is larger; its extremes, one to a run of one sign, are the next points.
+    """
+    r = half + 2
+    n = density * r
+    inside = max(2, round(n * cutoff / (cutoff + 1 - stop)))
+    f = np.concatenate([np.linspace(0, cutoff, inside), np.linspace(stop, 1, max(2, n - inside))])
+    wanted, w = (f <= cutoff).astype(float), np.where(f <= cutoff, weight, 1.0)
+    x, signs = np.cos(np.pi * f), (-1.0) ** np.arange(r)
+    at = np.round(np.linspace(0, len(f) - 1, r)).astype(int)
+    for _ in range(rounds):
+        apart = 2 * (x[at][:, None] - x[at][None, :])
+        np.fill_diagonal(apart, 1.0)
+        b = 1 / apart.prod(axis=1)
+        level = (b @ wanted[at]) / (b @ (signs / w[at]))
+        values, own = (wanted[at] - signs * level / w[at])[:-1], (b * 2 * (x[at] - x[at[-1]]))[:-1]
+
+        def through(points: np.ndarray, values: np.ndarray = values, own: np.ndarray = own, nodes: np.ndarray = x[at[:-1]]) -> np.ndarray:
+            d = points[:, None] - nodes[None, :]
+            hit = np.abs(d) < 1e-14
+            share = own / np.where(hit, 1.0, d)
+            with np.errstate(divide="ignore", invalid="ignore"):  # only at nodes, whose values follow
+                out = share @ values / share.sum(axis=1)
+            rows, columns = np.nonzero(hit)
+            out[rows] = values[columns]
+            return out
+
+        error = w * (wanted - through(x))
+        edge = np.flatnonzero(np.diff(np.sign(error)) != 0) + 1
+        runs = np.split(np.arange(len(f)), edge)
+        new = [int(k[np.argmax(np.abs(error[k]))]) for k in runs]
+        while len(new) > r:
+            if len(new) == r + 1:
+                new.pop(0 if abs(error[new[0]]) < abs(error[new[-1]]) else -1)
+            else:
+                # two neighbours go together, so that signs still alternate
+                k = min(range(len(new) - 1), key=lambda k: max(abs(error[new[k]]), abs(error[new[k + 1]])))
+                del new[k : k + 2]
+        if len(new) < r:
+            return None
+        if np.abs(error).max() <= abs(level) * (1 + 1e-6):
+            break
+        at = np.array(new)
+    else:
+        return None
+    taps = 2 * half + 1
+    a = through(np.cos(2 * np.pi * np.arange(half + 1) / taps))
+    k = np.arange(1, half + 1)
+    return (a[0] + 2 * np.cos(2 * np.pi * np.outer(np.arange(taps) - half, k) / taps) @ a[1:]) / taps
+
+
+def equiripple(cutoff: float, width: float, attenuation: float = 80.0, ripple: float | None = None) -> list[float]:
+    """DSP-11: a symmetric low-pass of as few taps as are found from an estimate on, level in its ripples; frequencies as shares of half the rate.
+
+    The pass band ends at cutoff, the stop band begins at cutoff + width. attenuation and ripple are how many decibels the largest errors in the stop and pass
+    band lie below 1; ripple is attenuation by default. Orders are even and grow by two until both hold, 20 times at most.
+    """
+    ripple = attenuation if ripple is None else ripple
+    if cutoff <= 0 or width <= 0 or cutoff + width >= 1:
+        raise ValueError("a cutoff and a width over 0, together below 1")
+    half = max(1, math.ceil(((attenuation + ripple) / 2 - 13) / 2.324 / (math.pi * width) / 2))
+    for more in range(20):
+        taps = _exchange(half + more, cutoff, cutoff + width, 10 ** ((ripple - attenuation) / 20))
+        if taps is None:
+            continue
+        h = np.abs(np.fft.rfft(taps, 32 * len(taps)))
+        f = np.arange(len(h)) / (len(h) - 1)
+        passed, stopped = np.abs(1 - h[f <= cutoff]).max(), h[f >= cutoff + width].max()
+        if -20 * np.log10(passed) >= ripple and -20 * np.log10(stopped) >= attenuation:
+            return [float(t) for t in taps]
+    raise RuntimeError("no filter of 20 orders meets this")

@@ -45,6 +45,14 @@ def decimate(samples: DataFrame, taps: list[float], step: int) -> DataFrame:
     return fir(samples, taps).where(F.col("sample_idx") % step == 0).select(div(F.col("sample_idx"), step).alias("sample_idx"), "y")
 
 
+def decimate_centred(samples: DataFrame, taps: list[float], step: int) -> DataFrame:
+    """DSP-09, DSP-12: filtered by an odd number of symmetric taps without their delay: the value at an index is of the taps around it; every step-th is kept."""
+    if len(taps) % 2 == 0:
+        raise ValueError("a filter has a middle tap")
+    at = F.col("sample_idx") + len(taps) // 2
+    return fir(samples, taps).where(at % step == 0).select(div(at, step).alias("sample_idx"), "y")
+
+
 def _scatter(samples: DataFrame, first: Column, last: Column) -> DataFrame:
     return samples.withColumn("m", F.explode(F.sequence(F.greatest(first, F.lit(0).cast("long")), last)))
 

@@ -467,3 +467,17 @@ def robust_polynomial(spark, d):
 
     points = raster.vectors(vec(spark, d), "vec_id", "embedding").select(F.col("vec").alias("channel"), F.col("pos").alias("k"), F.col("x").alias("y"))
     return robust.polynomials(points, scratch(spark)).select("channel", "k", r6(F.col("fit"), "fit"), "gone")
+
+
+_TAPS = signal.equiripple(0.2, 0.2, 50)
+_HALF = len(_TAPS) // 2
+
+
+def _around(k: int) -> str:
+    return "x" if k == _HALF else f"lag(x, {_HALF - k}) over w" if k < _HALF else f"lead(x, {k - _HALF}) over w"
+
+
+@query("decimate_centred", "select sample_idx // 4 as sample_idx, round(y, 4) + 0.0 as y from (select sample_idx, " + " + ".join(f"({t!r}::double) * {_around(k)}" for k, t in enumerate(_TAPS)) + " as y from ord window w as (order by sample_idx)) where sample_idx % 4 = 0 and y is not null", "ord")
+def decimate_centred(spark, d):
+    """DSP-09, DSP-11, DSP-12: orders at a quarter of their rate by an equiripple filter, its delay taken back."""
+    return filters.decimate_centred(ord_(spark, d), _TAPS, 4).select("sample_idx", (F.round("y", 4) + F.lit(0.0)).alias("y"))
