@@ -481,3 +481,82 @@ def _around(k: int) -> str:
 def decimate_centred(spark, d):
     """DSP-09, DSP-11, DSP-12: orders at a quarter of their rate by an equiripple filter, its delay taken back."""
     return filters.decimate_centred(ord_(spark, d), _TAPS, 4).select("sample_idx", (F.round("y", 4) + F.lit(0.0)).alias("y"))
+
+
+# --- stripes and two frequencies ---------------------------------------------------------------------------------
+
+_BINNED = "bin as (select channel, sample_idx // 16 as i, avg(re) as re, avg(im) as im from ev group by channel, sample_idx // 16)"
+
+
+def binned(spark, d) -> DataFrame:
+    """Events' channels as means of 16 indexes: where a channel has none of them there is a gap."""
+    rows = ev(spark, d).groupBy("channel", div(F.col("sample_idx"), 16).alias("sample_idx"))
+    return rows.agg(F.avg("re").alias("re"), F.avg("im").alias("im"))
+
+
+@query(
+    "sti_stripes",
+    f"""with {_BINNED},
+here as (select channel, i, re, im, unnest(range(greatest((i - 4) // 12, 0), i // 12 + 1)) as s from bin),
+cut as (select channel, s, count(*) = 16 as whole from here where i - s * 12 between 0 and 15 group by channel, s),
+every as (select channel, unnest(range(min(s), max(s) + 1)) as s from cut group by channel),
+piece as (select channel, s, j.j as j, i - s * 12 - j.j * 4 as p, re, im from here, (select unnest([0, 1, 2]) as j) j where i - s * 12 - j.j * 4 between 0 and 7),
+level as (select *, re - avg(re) over w as x, im - avg(im) over w as y from piece window w as (partition by channel, s, j)),
+dft as (
+    select channel, s, j, k.k as k, sum((0.5 - 0.5 * cos(pi() * p / 4)) * (x * cos(pi() * k.k * p / 4) + y * sin(pi() * k.k * p / 4))) as a,
+        sum((0.5 - 0.5 * cos(pi() * p / 4)) * (y * cos(pi() * k.k * p / 4) - x * sin(pi() * k.k * p / 4))) as b
+    from level, (select unnest(range(-4, 4)) as k) k group by channel, s, j, k.k
+),
+power as (select channel, s, k, avg(a * a + b * b) / 16 as p from dft group by channel, s, k)
+select e.channel, e.s * 12 as start, k.k as k, k.k / 8.0::double as hz, coalesce(c.whole, false) as whole, case when c.whole then round(10 * log10(p + 1e-20), 4) + 0.0 end as db
+from every e cross join (select unnest(range(-4, 4)) as k) k left join cut c on c.channel = e.channel and c.s = e.s
+left join power p on p.channel = e.channel and p.s = e.s and p.k = k.k""",
+    "ev",
+)
+def sti_stripes(spark, d):
+    """DSP-05, DSP-04, WIN-05: overlapping stripes of gappy channels, means taken off, the axis shifted; null stands for the NaN of stripes with gaps."""
+    from sigloom.operators import stripes
+
+    out = stripes.spectra(binned(spark, d), 16, 12, 8, mean=True)
+    return out.select("channel", "start", "k", "hz", (~F.isnan("db")).alias("whole"), F.when(~F.isnan("db"), F.round("db", 4) + F.lit(0.0)).alias("db"))
+
+
+@query(
+    "tec_two_frequencies",
+    f"""with {_BINNED},
+two as (select a.channel, a.i, a.re as re0, a.im as im0, b.re as re1, b.im as im1 from bin a join bin b on a.i = b.i and b.channel = 'click' where a.channel <> 'click'),
+here as (select *, unnest(range(greatest((i - 2) // 8, 0), i // 8 + 1)) as m from two),
+cut as (select channel, m from here where i - m * 8 between 0 and 9 group by channel, m having count(*) = 10),
+piece as (select h.*, j.j as j, i - m * 8 - j.j * 2 as p from here h semi join cut using (channel, m), (select unnest([0, 1, 2, 3]) as j) j where i - m * 8 - j.j * 2 between 0 and 3),
+dft as (
+    select channel, m, j, k.k as k, sum(w * (re0 * c + im0 * s)) as a0, sum(w * (im0 * c - re0 * s)) as b0, sum(w * (re1 * c + im1 * s)) as a1, sum(w * (im1 * c - re1 * s)) as b1
+    from (select piece.*, k, 0.5 - 0.5 * cos(pi() * p / 2) as w, cos(pi() * k * p / 2) as c, sin(pi() * k * p / 2) as s from piece, (select unnest([0, 1, 2, 3]) as k)) k
+    group by channel, m, j, k.k
+),
+turn as (
+    select x.channel, x.m, atan2(x.b0 * y.a0 - x.a0 * y.b0, x.a0 * y.a0 + x.b0 * y.b0) as t0, atan2(x.b1 * y.a1 - x.a1 * y.b1, x.a1 * y.a1 + x.b1 * y.b1) as t1
+    from dft x join dft y on x.channel = y.channel and x.m = y.m and y.j = x.j + 1 where x.k = 0 and y.k = 0
+),
+steps as (select channel, m, avg(t0) * 8 / 3 - avg(t1) as step, var_pop(t0) + var_pop(t1) as spread from turn group by channel, m),
+power as (select channel, m, k, sum(a0 * a0 + b0 * b0) as p0, sum(a1 * a1 + b1 * b1) as p1 from dft where j < 3 group by channel, m, k),
+snr as (select channel, m, max(case when k = 0 then p0 end) / median(p0) as snr0, max(case when k = 0 then p1 end) / median(p1) as snr1 from power group by channel, m),
+good as (select *, m - row_number() over (partition by channel order by m) as g from steps join snr using (channel, m) where snr0 > 2 and snr1 > 2),
+sums as (
+    select *, sum(step) over w as phase, sum(spread) over w as total, min(m) over (partition by channel, g) as run, stddev_pop(snr0) over (partition by channel, g order by m rows between 3 preceding and 2 following) as sd
+    from good window w as (partition by channel, g order by m rows unbounded preceding)
+),
+scale as (select 299792458.0 / (40.308e16 * 4 * pi() * pi()) / (2 * pi() * 400e6 / (2 * pi() * 150e6) ** 2 - 1 / (2 * pi() * 400e6)) as c)
+select channel, m as stripe, run, round(phase, 6) + 0.0 as phase, round(c * (phase - min(phase) over (partition by channel, run)), 6) + 0.0 as tec,
+    round(c * sqrt(6 * total), 6) + 0.0 as tec_sigma, round(sd / median(snr0) over (partition by channel), 6) + 0.0 as s4 from sums, scale""",
+    "ev",
+)
+def tec_two_frequencies(spark, d):
+    """DSP-20: electron content and scintillation of each channel beside click, through gaps and drops of the signal."""
+    from sigloom.operators import dualfreq
+
+    x = binned(spark, d)
+    low = x.where("channel <> 'click'").select("channel", "sample_idx", F.col("re").alias("re0"), F.col("im").alias("im0"))
+    high = x.where("channel = 'click'").select("sample_idx", F.col("re").alias("re1"), F.col("im").alias("im1"))
+    steps = dualfreq.phase_steps(low.join(high, "sample_idx"), 4, 3, 2, 400 / 150)
+    out = dualfreq.electron_content(steps, scratch(spark), 150e6, 400e6, 2 * 3, 3, least=2.0)
+    return out.select("channel", "stripe", "run", *[r6(F.col(c), c) for c in ("phase", "tec", "tec_sigma", "s4")])
