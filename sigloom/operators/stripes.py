@@ -69,17 +69,21 @@ def _decimated(samples: DataFrame, step: int) -> DataFrame:
     return one("re").join(one("im"), ["channel", "sample_idx"])
 
 
-def spectra(samples: DataFrame, length: int, step: int, bins: int, rate_hz: float = 1.0, mean: bool = False, decimation: int = 1, floor: float = 1e-20) -> DataFrame:
+def spectra(samples: DataFrame, length: int, step: int, bins: int, rate_hz: float = 1.0, mean: bool = False, decimation: int = 1, floor: float = 1e-20, path: str | None = None) -> DataFrame:
     """DSP-05, DSP-04, WIN-05: (channel, start, k, hz, db): a spectrum a stripe of a complex signal (channel, sample_idx, re, im), lowest frequency first.
 
     The spectrum is the mean over pieces of bins samples, half overlapping, with a Hann window and spectrum scaling; mean takes each piece's mean
     off. A stripe with a gap has NaN in every bin, those without any sample too, between a channel's first and last. decimation filters the channel
-    first, runs between gaps apart, so length and step count decimated samples; start counts the input's.
+    first, runs between gaps apart, so length and step count decimated samples; start counts the input's. The filtered signal is written to path.
     """
     if not 0 < bins <= length:
         raise ValueError("a stripe holds a piece")
     if decimation > 1:
-        samples = _decimated(samples, decimation)
+        if path is None:
+            raise ValueError("a filtered signal is written, as it is read twice")
+        filtered = _decimated(samples, decimation)
+        filtered.write.parquet(path)
+        samples = samples.sparkSession.read.schema(filtered.schema).parquet(path)
     low, hop = -(bins // 2), bins - bins // 2
 
     def kernel(re: np.ndarray, im: np.ndarray) -> list[np.ndarray]:
