@@ -560,3 +560,38 @@ def tec_two_frequencies(spark, d):
     steps = dualfreq.phase_steps(low.join(high, "sample_idx"), 4, 3, 2, 400 / 150)
     out = dualfreq.electron_content(steps, scratch(spark), 150e6, 400e6, 2 * 3, 3, least=2.0)
     return out.select("channel", "stripe", "run", *[r6(F.col(c), c) for c in ("phase", "tec", "tec_sigma", "s4")])
+
+
+# --- sounding ------------------------------------------------------------------------------------------------------
+
+
+def _periods(spark, d) -> DataFrame:
+    """Each vector as a code period."""
+    return vec(spark, d).select(F.lit("rx").alias("channel"), F.col("vec_id").cast("long").alias("segment"), F.col("embedding").cast("array<double>").alias("x"))
+
+
+@query("prc_whitened")
+def prc_whitened(spark, d):
+    """DSP-15: whitened Doppler spectra; held against numpy by a test."""
+    from sigloom.operators import sounder
+
+    out = sounder.analyses(_periods(spark, d), spectral.random_code(64, 0), 8, 16)
+    return out.select("block", "range", "k", r6(F.col("power"), "power"))
+
+
+@query("prc_online")
+def prc_online(spark, d):
+    """DSP-16: the same as a stream that stops between its files and goes on; tests hold it against the table's."""
+    from sigloom.operators import sounder
+
+    path, out, checkpoint = scratch(spark), scratch(spark), scratch(spark)
+    periods = _periods(spark, d)
+    last = periods.agg(F.max("segment")).first()[0] or 0
+    early = F.col("segment") <= last // 2
+    # a period of the far future moves the clock on; its own analysis is never whole
+    clock = spark.createDataFrame([("~clock", last + 64, [0.0] * 64)], periods.schema)
+    for files in (periods.where(early), periods.where(~early), clock):
+        files.write.mode("append").parquet(path)
+        got = sounder.analyses(ingest.source(spark, path, periods.schema, files_at_once=1 << 30), spectral.random_code(64, 0), 8, 16)
+        ingest.sink(got, out, checkpoint)
+    return spark.read.parquet(out).select("block", "range", "k", r6(F.col("power"), "power"))
