@@ -103,7 +103,7 @@ def interleaved(spark, d):
 
 @query("archive_range", "select o_orderkey as sample_idx, o_totalprice as v from orders where o_orderkey between 100 and 900")
 def archive_range(spark, d):
-    """SNK-14, SNK-16: a time range of a store to another one, compressed anew."""
+    """SNK-14: a time range of a store to another one, compressed anew."""
     a, b = Store(spark, scratch(spark)), Store(spark, scratch(spark))
     a.create("ord", "f64", (NUM, DEN), 200 * SUBDIR_S, 100 * FILE_MS)
     a.append(ord_(spark, d).withColumnRenamed("x", "re"), "ord")
@@ -291,7 +291,7 @@ def _stream(spark, d) -> DataFrame:
 
 @query("stream_tumbling", "select channel, sample_idx // 500 as raster, count(*) as n, round(sum(re), 4) + 0.0 as total from ev group by 1, 2", "ev")
 def stream_tumbling(spark, d):
-    """AGG-03 over a stream: tumbling rasters by sample index, a day's watermark."""
+    """AGG-03 over a stream: tumbling rasters by sample index, complete at each batch."""
     out = ingest.drain(ingest.raster_sums(_stream(spark, d), 500), scratch(spark), scratch(spark))
     return spark.read.parquet(out).groupBy("channel", "raster").agg(F.sum("n").alias("n"), (F.round(F.sum("total"), 4) + 0.0).alias("total"))
 
