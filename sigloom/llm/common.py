@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigloom.session import prepare
@@ -98,3 +98,11 @@ def partitions(spark: SparkSession, least: int = 12) -> int:
 
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
+
+
+def one_each(df: DataFrame, id_col: str, text: Column) -> DataFrame:
+    """One of the rows that share an id and a text, which the column text gives; told by its SHA-256, under a name that df does not have."""
+    name = "_same"
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return df.withColumn(name, F.sha2(text, 256)).dropDuplicates([id_col, name]).drop(name)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import SPACE, forget, keep, sent, text_or_empty
+from sigloom.llm.common import SPACE, forget, keep, one_each, sent, text_or_empty
 
 #: Characters of a chunk, least and most.
 LEAST, MOST = 64, 4096
@@ -85,8 +85,8 @@ def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     gone = sent(rows.where("not kept").select(F.col("_id").alias("_gone"), F.col("_mark").alias("_of")))
     mark = F.xxhash64(text_or_empty(text_col))
     out = df.join(gone, df[id_col].eqNullSafe(gone["_gone"]) & (mark == gone["_of"]), "left_anti")
-    # rows that repeat an id and a text: one of them
-    return out.dropDuplicates([id_col, text_col]) if rows.where("n > 1").limit(1).count() else out
+    # rows that repeat an id and a text, null as empty: one of them
+    return one_each(out, id_col, text_or_empty(text_col)) if rows.where("n > 1").limit(1).count() else out
 
 
 ORACLE = r"""

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import forget, keep, only, partitions, sent, slim, text_or_empty
+from sigloom.llm.common import forget, keep, one_each, only, partitions, sent, slim, text_or_empty
 from sigloom.llm.words import mix, window_hashes, word_hashes
 
 #: Frequent shingles that come last in the common order: a broadcast of at most so many 64-bit numbers. Any list gives the same result.
@@ -529,5 +529,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     out = docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]) & (_mark(text_col) == gone["_of"]), "left_anti")
     if not repeated:
         return out
-    nameless = F.col(id_col).isNull() & ~text_or_empty(text_col).rlike(r"[^\x20\x09-\x0D]")
-    return out.where(~nameless).dropDuplicates([id_col, text_col]).union(out.where(nameless))
+    wordless = ~text_or_empty(text_col).rlike(r"[^\x20\x09-\x0D]")
+    nameless = F.col(id_col).isNull() & wordless
+    # texts without a word are one text
+    return one_each(out.where(~nameless), id_col, F.when(wordless, "").otherwise(F.col(text_col))).union(out.where(nameless))

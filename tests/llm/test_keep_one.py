@@ -2,7 +2,7 @@
 
 from collections import Counter
 
-from sigloom.llm import jaccard
+from sigloom.llm import exact, jaccard
 
 WORDS = [f"w{k}" for k in range(400)]
 
@@ -39,3 +39,14 @@ def test_bridge_without_id(spark):
     df = spark.createDataFrame([(1, a), (None, b), (2, c)], "doc_id long, text string")
     assert sorted((r.component_id for r in jaccard.near_duplicates(df).collect())) == [1, 1, 1]
     assert kept(spark, [(1, a), (None, b), (2, c)]) == Counter([(1, a)])
+
+
+def test_texts_without_words_of_one_id(spark):
+    """Null, empty and blank texts of an id are one row of the empty set; those of no id stay. Exact copies are one, null as empty."""
+    rows = [(1, None), (1, ""), (1, " "), (2, ""), (2, text(0)), (None, None), (None, ""), (3, text(100)), (3, text(100))]
+    got = kept(spark, rows)
+    assert sum(n for (i, _), n in got.items() if i == 1) == 1
+    assert got[(2, "")] == got[(2, text(0))] == got[(None, None)] == got[(None, "")] == got[(3, text(100))] == 1 and got.total() == 6
+    df = spark.createDataFrame([(*r, 0) for r in [(1, None), (1, ""), (2, "a"), (2, "a"), (3, "b")]], "doc_id long, text string, _SAME int").repartition(2)
+    out = exact.drop_copies(df)
+    assert sorted(r.doc_id for r in out.collect()) == [1, 2, 3] and out.columns == df.columns
