@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigloom.functions.timebase import file_key, file_kind
+from sigloom.operators import retention
 
 
 def list_files(spark, root: str, channel: str | None = None) -> DataFrame:
@@ -161,13 +162,9 @@ def time_slice_filled(files: DataFrame, first: int, last: int) -> DataFrame:
     return time_slice(files, first, last).unionByName(before.select(files.columns))
 
 
-def _newest() -> Window:
-    return Window.partitionBy("grp").orderBy(F.desc("key_ms"), F.desc("path"))
-
-
 def expired_by_count(files: DataFrame, count: int) -> DataFrame:
     """SRT-05: all but each group's newest count files."""
-    return files.withColumn("_r", F.row_number().over(_newest())).where(F.col("_r") > count).drop("_r")
+    return retention.by_count(files, count)
 
 
 def expired_by_duration(files: DataFrame, ms: int) -> DataFrame:
@@ -176,19 +173,9 @@ def expired_by_duration(files: DataFrame, ms: int) -> DataFrame:
     return files.join(newest, "grp").where(F.col("_m") - F.col("key_ms") > ms).select(files.columns)
 
 
-def expired_by_size(files: DataFrame, size: int, day_ms: int = 86_400_000) -> DataFrame:
-    """SRT-07: oldest files first until the rest is at most size bytes; each group's newest stays.
-
-    Sizes are summed by day first and days from the newest on, so the running sum within days needs no window over all files.
-    """
-    ranked = files.withColumn("_r", F.row_number().over(_newest()))
-    kept = ranked.where("_r = 1")
-    rest = ranked.where("_r > 1").withColumn("_d", F.floor(F.col("key_ms") / day_ms))
-    room = F.lit(size) - F.coalesce(F.col("_kept"), F.lit(0))
-    days = rest.groupBy("_d").agg(F.sum("size").alias("_s")).withColumn("_after", F.sum("_s").over(Window.orderBy(F.desc("_d")).rowsBetween(Window.unboundedPreceding, -1)))
-    own = F.sum("size").over(Window.partitionBy("_d").orderBy(F.desc("key_ms"), F.desc("path")))
-    out = rest.withColumn("_own", own).join(days, "_d").crossJoin(F.broadcast(kept.agg(F.sum("size").alias("_kept"))))
-    return out.where(F.col("_own") + F.coalesce("_after", F.lit(0)) > room).select(files.columns)
+def expired_by_size(files: DataFrame, size: int, trigger: str | None = None) -> DataFrame:
+    """SRT-07: oldest files first until the rest is at most size bytes; each group's newest stays, but for the group that triggers it."""
+    return retention.by_size(files, size, trigger)
 
 
 def expired(files: DataFrame, count: int | None = None, ms: int | None = None, size: int | None = None) -> DataFrame:

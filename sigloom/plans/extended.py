@@ -251,6 +251,15 @@ def files_once(spark, d):
     return catalog.once(f.unionByName(f.where("size % 3 = 0").withColumn("size", F.col("size") + 1)))
 
 
+_TRIGGER = "5-LOW"
+
+
+@query("expire_size_event", f"with m as (select grp, max((key_ms, path)) as top from fil where grp <> '{_TRIGGER}' group by grp), f as (select fil.*, m.grp is not null as newest, fil.grp = '{_TRIGGER}' as own from fil left join m on m.grp = fil.grp and m.top = (fil.key_ms, fil.path)), c as (select *, sum(size) over (order by key_ms desc, own, path desc rows unbounded preceding) as t from f where not newest) select grp, key_ms, size, path from c where t > 30000000 - (select sum(size) from f where newest)", "fil")
+def expire_size_event(spark, d):
+    """SRT-07: what goes when a file of one group has come, on times that many files share: that group's go first, and its newest may go."""
+    return catalog.expired_by_size(fil(spark, d), 30_000_000, _TRIGGER)
+
+
 @query("files_watch", "select path, case when cast(path as bigint) % 5 = 0 then 'created' when cast(path as bigint) % 7 = 0 then 'deleted' else 'modified' end as event from fil where cast(path as bigint) % 5 = 0 and cast(path as bigint) % 7 <> 0 or cast(path as bigint) % 5 <> 0 and cast(path as bigint) % 7 = 0 or cast(path as bigint) % 35 <> 0 and cast(path as bigint) % 11 = 0", "fil")
 def files_watch(spark, d):
     """Watch: what changed between two listings."""
