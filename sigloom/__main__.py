@@ -1,25 +1,27 @@
-"""Command line over a store's files: python -m sigloom ls, cp, mv, mirror, ringbuffer or watch."""
+"""Command line over a store's files: python -m sigloom ls, cp, mv, ln, mirror, ringbuffer or watch."""
 
 from __future__ import annotations
 
 import argparse
+import tempfile
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigloom.functions.timebase import EPOCH, parse_time
-from sigloom.operators import catalog
+from sigloom.operators import catalog, watching
 from sigloom.session import prepare
 
 
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="sigloom", description=__doc__)
     verbs = out.add_subparsers(dest="verb", required=True)
-    for verb in ("ls", "cp", "mv", "mirror", "ringbuffer", "watch"):
+    for verb in ("ls", "cp", "mv", "ln", "mirror", "ringbuffer", "watch"):
         v = verbs.add_parser(verb)
         v.add_argument("root")
-        if verb in ("cp", "mv", "mirror"):
+        if verb in ("cp", "mv", "ln", "mirror"):
             v.add_argument("target")
         v.add_argument("--channel", help="files of one channel")
         v.add_argument("--start", help="first time: UTC seconds, ISO-8601 or now")
@@ -29,7 +31,8 @@ def parser() -> argparse.ArgumentParser:
         if verb == "ls":
             v.add_argument("--reverse", action="store_true", help="last first")
         if verb == "mirror":
-            v.add_argument("--move", action="store_true")
+            v.add_argument("--method", choices=("copy", "move", "link"), default="copy", help="for data files; others are copied")
+            v.add_argument("--ignore-existing", action="store_true", help="send only properties and the metadata that still applies")
         if verb == "ringbuffer":
             v.add_argument("--count", type=int, help="files of a channel")
             v.add_argument("--duration", type=int, help="ms before a channel's newest file")
@@ -38,6 +41,7 @@ def parser() -> argparse.ArgumentParser:
         if verb == "watch":
             v.add_argument("--seconds", type=float, default=5.0, help="between two listings")
             v.add_argument("--rounds", type=int, help="listings to compare; without, until stopped")
+            v.add_argument("--state", help="shared folder that keeps the last listing")
     return out
 
 
@@ -48,15 +52,24 @@ def _millis(text: str | None) -> int | None:
 
 def chosen(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     """The files that a command line's options name; those without a time pass its bounds."""
-    files = catalog.of_kinds(catalog.list_files(spark, a.root, a.channel), a.data, a.metadata, a.properties)
+    files = catalog.of_kinds(listing(spark, a.root), a.data, a.metadata, a.properties)
+    files = files if a.channel is None else files.where(F.col("grp") == a.channel)
     return catalog.in_time(files, _millis(a.start), _millis(a.end))
 
 
-def lacking(files: DataFrame, root: str, held: DataFrame, target: str) -> DataFrame:
-    """Files under root that held, a listing of target, lacks at the same place, or has with another size."""
-    own = files.withColumn("_at", catalog.beneath(F.col("path"), root))
-    there = held.select(catalog.beneath(F.col("path"), target).alias("_at"), "size")
-    return own.join(there, ["_at", "size"], "left_anti").select(files.columns)
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: spark.checkpoint.dir, or a local one where there is one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="sigloom-")
+    return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """All files under root, listed once."""
+    return watching.walk(spark, root, scratch(spark))
 
 
 def run(spark: SparkSession, argv: list[str]) -> list[str]:
@@ -64,16 +77,14 @@ def run(spark: SparkSession, argv: list[str]) -> list[str]:
     a = parser().parse_args(argv)
     if a.verb == "ls":
         return [r["path"] for r in catalog.in_order(chosen(spark, a), a.reverse).select("path").toLocalIterator()]
-    if a.verb in ("cp", "mv"):
-        return [f"{catalog.transfer(chosen(spark, a), a.root, a.target, a.verb == 'mv')} files"]
+    if a.verb in ("cp", "mv", "ln"):
+        return [f"{catalog.transfer(chosen(spark, a), a.root, a.target, a.verb == 'mv', a.verb == 'ln')} files"]
     if a.verb == "mirror":
-        files = chosen(spark, a)
-        if catalog.exists(spark, a.target):
-            files = lacking(files, a.root, catalog.list_files(spark, a.target), a.target)
-        return [f"{catalog.transfer(files, a.root, a.target, a.move)} files"]
+        return [f"{watching.mirror(chosen(spark, a), a.root, a.target, listing(spark, a.target), a.method, a.ignore_existing)} files"]
     if a.verb == "ringbuffer":
         a.properties = False
-        gone = catalog.expired(chosen(spark, a), a.count, a.duration, a.size)
+        files = chosen(spark, a).withColumn("grp", catalog.group_of(F.col("path")))
+        gone = catalog.expired(files, a.count, a.duration, a.size)
         if a.dry_run:
             return [r["path"] for r in catalog.in_order(gone).select("path").toLocalIterator()]
         return [f"{catalog.remove(gone)} files"]
@@ -81,21 +92,20 @@ def run(spark: SparkSession, argv: list[str]) -> list[str]:
 
 
 def watch(spark: SparkSession, a: argparse.Namespace):
-    """Lines (event, path) of what changes between one listing and the next; a listing is written before it is compared."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base is None:
-        raise ValueError("watch needs spark.checkpoint.dir, a folder that driver and executors share")
-    folder, done, old = f"{base}/watch-{uuid.uuid4().hex}", 0, None
+    """Lines (event, path) of what changes between one listing and the next; with --state it goes on where another run ended."""
+    state, k = a.state or scratch(spark), 0
+    watcher = watching.Watcher(spark, state, existing=False)
     while True:
-        chosen(spark, a).select("path", "size", "mtime").write.parquet(f"{folder}/{done}")
-        new = spark.read.parquet(f"{folder}/{done}")
-        if old is not None:
-            for r in catalog.changes(old, new).orderBy("path").toLocalIterator():
-                yield f"{r['event']} {r['path']}"
-        old, done = new, done + 1
-        if a.rounds is not None and done > a.rounds:
+        lines: list[str] = []
+
+        def tell(told: DataFrame, lines: list[str] = lines) -> None:
+            lines += [" ".join(filter(None, (r["event"], r["path"], r["dest"] and f"to {r['dest']}"))) for r in told.orderBy("path").toLocalIterator()]
+
+        # a state keeps all files, so that other bounds do not look like deletions
+        watcher.poll(listing(spark, a.root), lambda told, tell=tell: tell(watching.wanted(told, _millis(a.start), _millis(a.end), a.data, a.metadata, a.properties)))
+        yield from lines
+        k += 1
+        if a.rounds is not None and k > a.rounds:
             return
         time.sleep(a.seconds)
 

@@ -160,10 +160,19 @@ def interleaved(df: DataFrame, array: str) -> DataFrame:
     return df.withColumn(array, F.when(F.size(x) % 2 == 1, F.raise_error("an interleaved array has an even number of items")).when(F.size(x) == 0, F.slice(pairs, 1, 0)).otherwise(pairs))
 
 
-def nth_of_group(df: DataFrame, by: str, order: str, step: int, first: int = 0) -> DataFrame:
-    """WIN-09: every step-th row of each group in order, from the first-th (0-based) on."""
-    w = Window.partitionBy(by).orderBy(order)
-    return df.withColumn("_r", F.row_number().over(w) - 1).where((F.col("_r") >= first) & ((F.col("_r") - first) % step == 0)).drop("_r")
+def nth_of_group(df: DataFrame, by: str, order: str, step: int, first: int = 0, stretch: int = STRETCH) -> DataFrame:
+    """WIN-09: every step-th row of each group in the order of an index, from the first-th (0-based) on.
+
+    Rows are numbered within stretches of the index, plus the rows of the stretches before; rows without an index come first.
+    """
+    part = df.withColumn("_s", F.coalesce(div(F.col(order), stretch), F.lit(-(2**63))))
+    sizes = part.groupBy(F.col(by).alias("_g"), F.col("_s").alias("_t")).agg(F.count(F.lit(1)).alias("_k"))
+    before = F.coalesce(F.sum("_k").over(Window.partitionBy("_g").orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy(by, "_s").orderBy(order)) - 1
+    offsets = sizes.select("_g", "_t", before.alias("_b"))
+    met = part.withColumn("_own", own).join(offsets, F.col(by).eqNullSafe(F.col("_g")) & (F.col("_s") == F.col("_t")))
+    place = F.col("_own") + F.col("_b")
+    return met.where((place >= first) & ((place - first) % step == 0)).select(df.columns)
 
 
 def gap_zeros(blocks: DataFrame, most: int) -> DataFrame:

@@ -52,6 +52,11 @@ def channel_of(path: Column, depth: int = 3) -> Column:
     return F.element_at(F.split(path, "/"), -depth)
 
 
+def group_of(path: Column) -> Column:
+    """Retention's group of a file: its whole channel folder and the name before its time, so channels of one name in other folders stay apart."""
+    return F.regexp_replace(path, r"[^/]+/([^/@]+)@[^/]*$", "$1")
+
+
 def changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """Watch: (path, event) between two listings (path, size, mtime): created, deleted or modified, by polling."""
     a, b = (x.select(F.col("path"), F.struct("size", "mtime").alias(n)) for x, n in ((old, "a"), (new, "b")))
@@ -77,6 +82,41 @@ def beneath(path: Column, root: str) -> Column:
     return F.element_at(F.split(path, r"\Q" + _bare(root) + r"/\E", 2), -1)
 
 
+def _tidy(fs, folder: str) -> None:
+    """Remove a folder that has become empty; only a local file system refuses by itself where it has not."""
+    import contextlib
+    import os
+
+    import pyarrow.fs as pafs
+
+    if isinstance(fs, pafs.LocalFileSystem):
+        with contextlib.suppress(OSError):
+            os.rmdir(folder)
+
+
+def _linked(fs, at: str, to_fs, to: str) -> bool:
+    """Whether at was linked at to, or is the same file already: on one local file system only."""
+    import contextlib
+    import os
+
+    import pyarrow.fs as pafs
+
+    if not (isinstance(fs, pafs.LocalFileSystem) and isinstance(to_fs, pafs.LocalFileSystem)):
+        return False
+    if os.path.exists(to) and os.path.samefile(at, to):
+        return True
+    folder, _, name = to.rpartition("/")
+    tmp = f"{folder}/tmp.{name}"
+    with contextlib.suppress(FileNotFoundError):
+        os.remove(tmp)
+    try:
+        os.link(at, tmp)
+    except OSError:
+        return False
+    os.replace(tmp, to)
+    return True
+
+
 def exists(spark, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
@@ -96,19 +136,23 @@ def remove(files: DataFrame) -> int:
                     fs.delete_file(at)
                 except FileNotFoundError:
                     pass
+                _tidy(fs, at.rpartition("/")[0])
             yield pd.DataFrame({"n": [len(part)]})
 
     return files.select("path").mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
-def transfer(files: DataFrame, root: str, target: str, move: bool = False) -> int:
-    """SNK-13: copy or move files (path) under root to the same place under target; how many. Under a hidden name first, renamed when whole.
+def transfer(files: DataFrame, root: str, target: str, move: bool = False, link: bool = False) -> int:
+    """SNK-13: copy, move or link files (path) under root to the same place under target; how many. Under a hidden name first, renamed when whole.
 
-    Executors copy, each its own rows, through the Hadoop file system of the paths; a repeated task overwrites what it left.
+    Executors copy, each its own rows, through the file system of the paths; a repeated task overwrites what it left. Links are hard ones and
+    fall back to copies where there can be none. Folders that a move leaves empty go, on local file systems. A file that a repeated task has moved
+    before counts again.
     """
     from collections.abc import Iterator
 
     import pandas as pd
+    import pyarrow.fs as pafs
 
     base = _bare(root)
 
@@ -118,13 +162,18 @@ def transfer(files: DataFrame, root: str, target: str, move: bool = False) -> in
                 fs, at = _place(path)
                 to_fs, to = _place(target.rstrip("/") + "/" + at.partition(base + "/")[2])
                 folder, _, name = to.rpartition("/")
+                if move and fs.get_file_info(at).type == pafs.FileType.NotFound and to_fs.get_file_info(to).type == pafs.FileType.File:
+                    continue
                 to_fs.create_dir(folder, recursive=True)
+                if link and _linked(fs, at, to_fs, to):
+                    continue
                 with fs.open_input_stream(at) as source, to_fs.open_output_stream(f"{folder}/tmp.{name}") as sink:
                     while block := source.read(1 << 22):
                         sink.write(block)
                 to_fs.move(f"{folder}/tmp.{name}", to)
                 if move:
                     fs.delete_file(at)
+                    _tidy(fs, at.rpartition("/")[0])
             yield pd.DataFrame({"n": [len(part)]})
 
     return files.select("path").mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

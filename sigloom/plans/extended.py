@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sigloom.functions import signal
 from sigloom.functions.timebase import div
-from sigloom.operators import blocks, catalog, filters, metadata, raster, spectral
+from sigloom.operators import blocks, catalog, filters, metadata, raster, spectral, watching
 from sigloom.plans.catalogue import DEN, FILE_MS, NUM, SUBDIR_S, ev, fil, ord_, query, r6, s6, scratch, vec
 from sigloom.sources.store import Store
 from sigloom.streaming import ingest
@@ -292,6 +292,18 @@ def file_kinds(spark, d):
 # --- streams -----------------------------------------------------------------------------------------------------
 
 
+@query("files_moves", "with p as (select path, grp, size, cast(path as bigint) as p from fil) select case when p % 5 = 0 then 'moved' when p % 7 = 0 then 'deleted' when p % 11 = 0 then 'modified' else 'created' end as event, case when p % 5 <> 0 and p % 7 <> 0 and p % 11 <> 0 then 'new/' || path else path end as path, case when p % 5 = 0 then grp || '/' || path end as dest from p where p % 5 = 0 or p % 7 = 0 or p % 11 = 0 or p % 13 = 0", "fil")
+def files_moves(spark, d):
+    """Watch: what was created, deleted, modified and moved between two listings, moves told by content."""
+    f = fil(spark, d).select("path", "grp", "size", F.col("key_ms").alias("mtime"), F.sha2("path", 256).alias("mark"), F.col("path").cast("long").alias("p"))
+    own = f.drop("grp", "p")
+    stays = f.where("p % 5 = 0 or p % 7 <> 0").withColumn("mtime", F.when((F.col("p") % 5 != 0) & (F.col("p") % 11 == 0), F.col("mtime") + 1).otherwise(F.col("mtime")))
+    here = stays.withColumn("path", F.when(F.col("p") % 5 == 0, F.concat_ws("/", "grp", "path")).otherwise(F.col("path")))
+    fresh = f.where("p % 13 = 0 and p % 5 <> 0 and p % 7 <> 0 and p % 11 <> 0")
+    more = fresh.select(F.concat(F.lit("new/"), "path").alias("path"), "size", "mtime", F.sha2(F.concat(F.lit("new/"), "path"), 256).alias("mark"))
+    return watching.events(own, here.select(own.columns).unionByName(more))
+
+
 def _stream(spark, d) -> DataFrame:
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     s = ingest.source(spark, f"{d}/event[s].parquet", schema)

@@ -139,7 +139,7 @@ class Store:
         """
         p = self._own(channel)
         low, high, subs = samples.agg(F.min("sample_idx"), F.max("sample_idx"), F.max("subchannel") if "subchannel" in samples.columns else F.lit(None)).first()
-        last = self.bounds(channel)
+        last = self.bounds(channel, skip_bad=False)
         if low is None:
             return 0 if last is None else last[1] + 1
         if low < 0:
@@ -173,7 +173,7 @@ class Store:
         """SNK-02: values (pos from 0, re[, im][, subchannel]) as one block from next_sample, by default the next one free."""
         at = next_sample
         if at is None:
-            last = self.bounds(channel)
+            last = self.bounds(channel, skip_bad=False)
             at = 0 if last is None else last[1] + 1
         return self.append(values.withColumn("sample_idx", F.col("pos") + F.lit(at)).drop("pos"), channel, **options)
 
@@ -246,9 +246,63 @@ class Store:
 
         return merge_blocks(self.chunks(channel).select("channel", "block_start", "n"))
 
-    def bounds(self, channel: str) -> tuple[int, int] | None:
-        """SRC-09."""
+    def bounds(self, channel: str, skip_bad: bool = True) -> tuple[int, int] | None:
+        """SRC-09, SRT-03: the first and the last index held; None without any.
+
+        Folders of a channel hold times apart, so they are probed from either end, twice as many at each step, until one gives an index: those
+        between are not read. Files that cannot be read, or have gone since, are passed over (bad_files names them); without skip_bad they raise.
+        """
         if not self._exists(self._channel_path(channel)):
             return None
-        r = self.chunks(channel).agg(F.min("block_start"), F.max(F.col("block_start") + F.col("n") - 1)).first()
-        return None if r[0] is None else (r[0], r[1])
+        folders = self._folders(channel)
+        first = self._probe(folders, F.min("block_start"), skip_bad)
+        return None if first is None else (first, self._probe(folders[::-1], F.max(F.col("block_start") + F.col("n") - 1), skip_bad))
+
+    def _folders(self, channel: str) -> list[str]:
+        """A channel's folders by time: their names only."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self._channel_path(channel))
+        found = [x.getPath() for x in p.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(p) if x.isDirectory()]
+        times = {f.getName().removeprefix("subdir="): f.toString() for f in found if f.getName().startswith("subdir=")}
+        return [times[t] for t in sorted(times, key=int)]
+
+    def _indexes(self, folders: list[str], skip_bad: bool) -> DataFrame:
+        skip = "true" if skip_bad else "false"
+        read = self.spark.read.schema("block_start long, n long").option("ignoreCorruptFiles", skip).option("ignoreMissingFiles", skip)
+        return read.parquet(*folders)
+
+    def _probe(self, folders: list[str], what: Column, skip_bad: bool) -> int | None:
+        at, step = 0, 1
+        while at < len(folders):
+            got = self._indexes(folders[at : at + step], skip_bad).agg(what).first()[0]
+            if got is not None:
+                return got
+            at, step = at + step, 2 * step
+        return None
+
+    def bad_files(self, channel: str) -> DataFrame:
+        """SRC-09: (path, problem) of a channel's files that cannot be read, by their footers and the checked pages of their index columns; data isn't read."""
+        from collections.abc import Iterator
+
+        import pandas as pd
+
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            import pyarrow.fs as pafs
+            import pyarrow.parquet as pq
+
+            from sigloom.operators.catalog import _place
+
+            for part in parts:
+                rows = []
+                for folder in part["folder"]:
+                    fs, at = _place(folder)
+                    for f in fs.get_file_info(pafs.FileSelector(at, allow_not_found=True)):
+                        if f.type == pafs.FileType.File and not f.base_name.startswith(("_", ".")):
+                            try:
+                                with fs.open_input_file(f.path) as body:
+                                    pq.ParquetFile(body, page_checksum_verification=True).read(columns=["block_start", "n"])
+                            except (OSError, ValueError) as e:
+                                rows.append((f.path, str(e).splitlines()[0]))
+                yield pd.DataFrame(rows, columns=["path", "problem"], dtype=str)
+
+        folders = self._folders(channel) if self._exists(self._channel_path(channel)) else []
+        return self.spark.createDataFrame([(f,) for f in folders], "folder string").mapInPandas(run, "path string, problem string")
