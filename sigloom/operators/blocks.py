@@ -175,6 +175,23 @@ def nth_of_group(df: DataFrame, by: str, order: str, step: int, first: int = 0,
     return met.where((place >= first) & ((place - first) % step == 0)).select(df.columns)
 
 
+def medians(samples: DataFrame, by: str, column: str, tie: str, path: str) -> DataFrame:
+    """AGG-09: (by, n, low, high, median) of each group's values that are neither null nor NaN, exact: from their places in one sorted table.
+
+    Values are sorted by range over all groups, with tie among equal ones, so a group of any size is many tasks; only its middle rows meet. path keeps
+    the sorted ranges.
+    """
+    from sigloom.operators.catalog import places
+
+    x = F.col(column).cast("double")
+    rows = samples.where(x.isNotNull() & ~F.isnan(x)).select(F.col(by).alias("_g"), x.alias("_x"), F.col(tie).alias("_t"))
+    placed = places(rows, ["_g", "_x", "_t"], path)
+    groups = placed.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("low"), F.max("_x").alias("high"), F.min("place").alias("_f"))
+    at = F.col("place") - F.col("_f")
+    middle = placed.join(groups.withColumnRenamed("_g", "_h"), F.col("_g").eqNullSafe(F.col("_h"))).where((at == div(F.col("n") - 1, 2)) | (at == div(F.col("n"), 2)))
+    return middle.groupBy(F.col("_g").alias(by), "n", "low", "high").agg(F.avg("_x").alias("median"))
+
+
 def gap_zeros(blocks: DataFrame, most: int) -> DataFrame:
     """SRC-23: what a gapless reader puts out: blocks with kind data, and the gaps between them with kind zeros, in pieces of at most most samples."""
     zeros = gaps(blocks).select("channel", F.col("gap_start").alias("block_start"), F.col("gap_n").alias("n"), F.lit("zeros").alias("kind"))

@@ -491,7 +491,8 @@ def geometric_phase(spark, d):
 @query("autoscale", "select channel, min(re) - 1 as lo, max(re) + 1 as hi, round(median(re), 6) as mid from ev group by channel", "ev")
 def autoscale(spark, d):
     """AGG-08, AGG-09."""
-    return ev(spark, d).where(~F.isnan("re")).groupBy("channel").agg((F.min("re") - 1).alias("lo"), (F.max("re") + 1).alias("hi"), F.round(F.median("re"), 6).alias("mid"))
+    m = blocks.medians(ev(spark, d), "channel", "re", "sample_idx", scratch(spark))
+    return m.select("channel", (F.col("low") - 1).alias("lo"), (F.col("high") + 1).alias("hi"), F.round("median", 6).alias("mid"))
 
 
 @query("snr_filter", "with w as materialized (select cast(vec_id as bigint) as vec, list_transform(embedding, lambda x: cast(x as double) * cast(x as double) > 0.01) as ok from embeddings), pair as (select a.vec, a.ok as p, b.ok as q from w a join w b on b.vec = a.vec + 1 where a.vec % 2 = 0) select vec, cast(k as bigint) as pos from (select vec, unnest(range(0, len(p))) as k, p, q from pair) where p[k + 1] and q[k + 1]")

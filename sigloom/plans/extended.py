@@ -50,6 +50,25 @@ def write_stats(spark, d):
     return spark.createDataFrame([(w["total_samples"], w["gap_samples"], w["next_sample"], held["last_sample"])], "total_samples long, gap_samples long, next_sample long, last_sample long")
 
 
+@query("bounds_bad_ends", f"with f as (select o_orderkey as i, o_orderkey * {DEN} // {NUM} // 10 as folder from orders), e as (select min(folder) as a, max(folder) as b from f) select min(i) as first_sample, max(i) as last_sample, cast(2 as bigint) as bad_folders from f, e where folder > a and folder < b")
+def bounds_bad_ends(spark, d):
+    """SRC-09, SRT-03: orders in folders of ten seconds, all files of the first and the last folder spoilt: the bounds of the rest, and how many folders are bad."""
+    s = Store(spark, scratch(spark))
+    s.create("ord", "f64", (NUM, DEN), 10, 2000)
+    s.append(ord_(spark, d).withColumnRenamed("x", "re"), "ord")
+    held = s._folders("ord")
+    for folder in (held[0], held[-1]):
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        for f in fs.listStatus(at):
+            with_junk = fs.create(f.getPath(), True)
+            with_junk.write(bytearray(b"no parquet"))
+            with_junk.close()
+    first, last = s.bounds("ord") or (None, None)
+    folder = F.element_at(F.split("path", "/"), -2)
+    return s.bad_files("ord").agg(F.lit(first).cast("long").alias("first_sample"), F.lit(last).cast("long").alias("last_sample"), F.count_distinct(folder).alias("bad_folders"))
+
+
 def _subchannels(spark, d) -> Store:
     s = Store(spark, scratch(spark))
     s.create("vec", "f64", (NUM, DEN), 200 * SUBDIR_S, 100 * FILE_MS, num_subchannels=64)
@@ -310,34 +329,48 @@ def _stream(spark, d) -> DataFrame:
     return s.select(F.col("event_type").alias("channel"), F.col("event_id").alias("sample_idx"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("re"))
 
 
+def _windows(spark, d, windows) -> DataFrame:
+    """What windows of a stream over all events give in append mode: three files in order of time and one that moves the clock on, a restart before each."""
+    path, out, checkpoint = scratch(spark), scratch(spark), scratch(spark)
+    e = spark.read.parquet(f"{d}/events.parquet")
+    rows = e.select(F.col("event_type").alias("channel"), F.col("event_id").alias("sample_idx"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("re"))
+    us = F.unix_micros("ts")
+    low, high = rows.agg(F.min(us), F.max(us)).first()
+    low, high = low or 0, high or 0
+    third = (high - low) // 3
+    clock = spark.range(1).select(F.lit("~clock").alias("channel"), F.lit(0).cast("long").alias("sample_idx"), F.timestamp_micros(F.lit(high + 10 * 86_400_000_000)).alias("ts"), F.lit(0.0).alias("re"))
+    at = F.least(F.lit(2), F.floor((us - low) / F.lit(max(1, third))))
+    for files in (*(rows.where(at == k) for k in range(3)), clock):
+        files.write.mode("append").parquet(path)
+        ingest.sink(windows(ingest.source(spark, path, rows.schema, files_at_once=1 << 30)), out, checkpoint)
+    return spark.read.parquet(out).where("channel <> '~clock'")
+
+
 @query("stream_tumbling", "select channel, sample_idx // 500 as raster, count(*) as n, round(sum(re), 4) + 0.0 as total from ev group by 1, 2", "ev")
 def stream_tumbling(spark, d):
-    """AGG-03 over a stream: tumbling rasters by sample index, complete at each batch."""
-    out = ingest.drain(ingest.raster_sums(_stream(spark, d), 500), scratch(spark), scratch(spark))
-    return spark.read.parquet(out).groupBy("channel", "raster").agg(F.sum("n").alias("n"), (F.round(F.sum("total"), 4) + 0.0).alias("total"))
+    """AGG-03 over a stream: tumbling rasters by sample index, put out once when the watermark has passed a raster's day."""
+    return _windows(spark, d, lambda x: ingest.raster_sums(x, 500)).groupBy("channel", "raster").agg(F.sum("n").alias("n"), (F.round(F.sum("total"), 4) + 0.0).alias("total"))
 
 
 @query("stream_sliding", "select event_type as channel, (epoch_us(ts) // 21600000000 - k) * 21600000000 as start_us, count(*) as n, round(sum(value), 4) + 0.0 as total from events, (select unnest(range(0, 4)) as k) group by 1, 2")
 def stream_sliding(spark, d):
-    """Sliding windows of a day every six hours over a stream."""
-    out = ingest.drain(ingest.sliding_sums(_stream(spark, d), "1 day", "6 hours"), scratch(spark), scratch(spark))
-    return spark.read.parquet(out).select("channel", F.unix_micros("w.start").alias("start_us"), "n", (F.round("total", 4) + 0.0).alias("total"))
+    """Sliding windows of a day every six hours over a stream, put out once when the watermark has passed their ends."""
+    return _windows(spark, d, lambda x: ingest.sliding_sums(x, "1 day", "6 hours")).select("channel", F.unix_micros("w.start").alias("start_us"), "n", (F.round("total", 4) + 0.0).alias("total"))
 
 
 @query("stream_sessions", "select channel, min(us) as start_us, max(us) + 1800000000 as end_us, count(*) as n from (select *, sum(case when us - p < 1800000000 then 0 else 1 end) over (partition by channel order by us rows unbounded preceding) as s from (select event_type as channel, epoch_us(ts) as us, lag(epoch_us(ts)) over (partition by event_type order by ts) as p from events)) group by channel, s")
 def stream_sessions(spark, d):
-    """Session windows over a stream: half an hour without samples closes one."""
-    out = ingest.drain(ingest.sessions(_stream(spark, d), "30 minutes"), scratch(spark), scratch(spark))
-    return spark.read.parquet(out).select("channel", F.unix_micros("w.start").alias("start_us"), F.unix_micros("w.end").alias("end_us"), "n")
+    """Session windows over a stream: half an hour without samples closes one, which is put out once."""
+    return _windows(spark, d, lambda x: ingest.sessions(x, "30 minutes")).select("channel", F.unix_micros("w.start").alias("start_us"), F.unix_micros("w.end").alias("end_us"), "n")
 
 
 @query("stream_blocks", "select channel, block_start, n from isl", "ev isl")
 def stream_blocks(spark, d):
-    """AGG-01 over a stream, with a channel's open block as its state."""
+    """AGG-01 over a stream, with the last block of a channel's stretch as its state."""
     at = scratch(spark)
     q = ingest.blocks_of(_stream(spark, d)).writeStream.outputMode("update").foreachBatch(lambda df, k: df.write.mode("overwrite").parquet(f"{at}/batch={k}"))
     q.option("checkpointLocation", scratch(spark)).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(at).groupBy("channel", "block_start").agg(F.max("n").alias("n"))
+    return blocks.merge_blocks(spark.read.parquet(at).groupBy("channel", "block_start").agg(F.max("n").alias("n")))
 
 
 @query("stream_tags", "select event_id as pos, case when event_id < 100 then event_id + 10 when event_id < 700 then event_id + 50 else event_id + 1000 end as sample_idx from events")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigloom.functions.timebase import div
+from sigloom.operators.blocks import STRETCH
 
 
 def source(spark: SparkSession, path: str, schema, files_at_once: int = 16) -> DataFrame:
@@ -55,27 +56,13 @@ def sessions(stream: DataFrame, gap: str, delay: str = "0 seconds") -> DataFrame
     return stream.withWatermark("ts", delay).groupBy("channel", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "complete"):
-    """Run a stream over what is there; each batch's result replaces the table at path/<batch>, and the last one is returned as a path.
+def blocks_of(stream: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """Stateful session windows, exact on the sample index: (channel, block_start, n) of continuous blocks within stretches as they grow or close.
 
-    A batch that is run again after a loss writes its own folder again, so results are not doubled.
-    """
-    last: list[str] = []
-
-    def write(df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{path}/{batch}")
-        last[:] = [f"{path}/{batch}"]
-
-    q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return last[0] if last else None
-
-
-def blocks_of(stream: DataFrame) -> DataFrame:
-    """Stateful session windows, exact on the sample index: (channel, block_start, n) of continuous blocks as they grow or close.
-
-    The state of a channel is its open block. Samples come in order from batch to batch; a block that grows on is told again with its
-    new n, so the largest n of a block_start holds. Samples at or before the open block's end are left out, as forward-only writers refuse them.
+    The state of a channel's stretch is its last block, two numbers, so one channel is many groups and a group has one
+    stretch's samples at most. Samples come in order from batch to batch; a block that grows on is told again with its new n, so the largest n of a
+    block_start holds, and blocks.merge_blocks joins those that touch across stretches. Samples at or before the open block's end are left out, as
+    forward-only writers refuse them.
     """
     import pandas as pd
 
@@ -92,11 +79,11 @@ def blocks_of(stream: DataFrame) -> DataFrame:
             if at is not None and runs[0][0] == at + n:
                 runs[0] = (int(at), int(n) + runs[0][1])
             out = runs
-            at, n = runs[-1]
-            state.update((int(at), int(n)))
+            state.update((int(runs[-1][0]), int(runs[-1][1])))
         yield pd.DataFrame({"channel": [key[0]] * len(out), "block_start": [r[0] for r in out], "n": [r[1] for r in out]})
 
-    return stream.groupBy("channel").applyInPandasWithState(run, "channel string, block_start long, n long", "at long, n long", "update", "NoTimeout")
+    keyed = stream.select("channel", "sample_idx", div(F.col("sample_idx"), stretch).alias("stretch"))
+    return keyed.groupBy("channel", "stretch").applyInPandasWithState(run, "channel string, block_start long, n long", "at long, n long", "update", "NoTimeout")
 
 
 def tagged(samples: DataFrame, translators: dict) -> DataFrame:
