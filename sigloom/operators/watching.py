@@ -95,20 +95,23 @@ def events(old: DataFrame, new: DataFrame) -> DataFrame:
     A file that is gone and one that is new are one moved file where size and mark agree: first those of one name, then the others, each in an
     order of their paths; a mark goes to one pair only. Files without a mark are never moved.
     """
-    changed = catalog.changes(old, new)
-    name = F.element_at(F.split("path", "/"), -1).alias("_name")
-    side = lambda listing, event: listing.join(changed.where(F.col("event") == event).select("path"), "path", "left_semi").select("path", "size", "mark", name)
-    gone, come, moved = side(old, "deleted"), side(new, "created"), None
+    side = lambda x, n: x.select("path", F.struct("size", "mtime").alias(n), F.struct("size", "mark").alias(f"{n}_of"))
+    both = side(old, "a").join(side(new, "b"), "path", "full")
+    event = F.when(F.col("a").isNull(), "created").when(F.col("b").isNull(), "deleted").when(~F.col("a").eqNullSafe(F.col("b")), "modified")
+    of = F.coalesce("a_of", "b_of")
+    told = both.select("path", event.alias("event"), of["size"].alias("size"), of["mark"].alias("mark")).where("event is not null")
+    out = [told.where("event = 'modified' or mark is null").select("event", "path", F.lit(None).cast("string").alias("dest"))]
+    left = told.where("event <> 'modified' and mark is not null").withColumn("_name", F.element_at(F.split("path", "/"), -1))
     for by in (["mark", "size", "_name"], ["mark", "size"]):
-        a = _numbered(gone.where("mark is not null"), by).select(*by, "n", F.col("path").alias("src"))
-        b = _numbered(come.where("mark is not null"), by).select(*by, "n", F.col("path").alias("dest"))
-        pairs = a.join(b, [*by, "n"]).select("src", "dest")
-        moved = pairs if moved is None else moved.unionByName(pairs)
-        gone = gone.join(pairs.select(F.col("src").alias("path")), "path", "left_anti")
-        come = come.join(pairs.select(F.col("dest").alias("path")), "path", "left_anti")
-    bare = lambda rows, event: rows.select(F.lit(event).alias("event"), "path", F.lit(None).cast("string").alias("dest"))
-    out = moved.select(F.lit("moved").alias("event"), F.col("src").alias("path"), "dest")
-    return out.unionByName(bare(gone, "deleted")).unionByName(bare(come, "created")).unionByName(bare(changed.where("event = 'modified'"), "modified"))
+        # the k-th that is gone and the k-th that is new are one file; each is at most one row of its k
+        one = lambda e: F.max(F.when(F.col("event") == e, F.col("path")))
+        met = _numbered(left, [*by, "event"]).groupBy(*by, "n").agg(one("deleted").alias("_src"), one("created").alias("_dest"))
+        pair = F.col("_src").isNotNull() & F.col("_dest").isNotNull()
+        out.append(met.where(pair).select(F.lit("moved").alias("event"), F.col("_src").alias("path"), F.col("_dest").alias("dest")))
+        kind = F.when(F.col("_src").isNotNull(), "deleted").otherwise("created")
+        left = met.where(~pair).select("mark", "size", kind.alias("event"), F.coalesce("_src", "_dest").alias("path"))
+    out.append(left.select("event", "path", F.lit(None).cast("string").alias("dest")))
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
 def wanted(told: DataFrame, first: int | None = None, last: int | None = None, data: bool = True, metadata: bool = True, properties: bool = True) -> DataFrame:
