@@ -19,21 +19,19 @@ def beyond(files: DataFrame, weight: Column, room: DataFrame, by: list[str], tie
     held = files.where(F.col("key_ms").isNotNull()).withColumn("_w", weight)
     at = [f"_at{k}" for k in range(len(widths))]
     held = held.withColumns({c: F.floor(F.col("key_ms") / w) for c, w in zip(at, widths, strict=True)})
-    left, inside, gone = room.select(*by, F.col("room").alias("_room")), held, None
+    left, whole = room.select(*by, F.col("room").alias("_room")), F.lit(False)
     for k, c in enumerate(at):
-        sums = inside.groupBy(*by, c).agg(F.sum("_w").alias("_s"))
+        sums = (held if k == 0 else held.where(F.col(at[k - 1]) == F.col(f"_cut{k - 1}"))).groupBy(*by, c).agg(F.sum("_w").alias("_s"))
         newer = F.coalesce(F.sum("_s").over(Window.partitionBy(*by).orderBy(F.desc(c)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         ends = sums.withColumn("_newer", newer).join(left, by).where(F.col("_newer") + F.col("_s") > F.col("_room"))
         # the newest such range of each group: one row a group
         cut = ends.groupBy(*by).agg(F.max(F.struct(F.col(c).alias("at"), (F.col("_room") - F.col("_newer")).alias("room"))).alias("_m"))
         cut = cut.select(*by, F.col("_m.at").alias(f"_cut{k}"), F.col("_m.room").alias("_room"))
-        met = inside.join(cut.drop("_room"), by)
-        older = met.where(F.col(c) < F.col(f"_cut{k}")).select(files.columns)
-        gone = older if gone is None else gone.unionByName(older)
-        inside, left = met.where(F.col(c) == F.col(f"_cut{k}")).select(held.columns), cut.select(*by, "_room")
+        held = held.drop("_room").join(cut, by)
+        whole, left = whole | (F.col(c) < F.col(f"_cut{k}")), cut.select(*by, "_room")
     own = F.sum("_w").over(Window.partitionBy(*by).orderBy(F.desc("key_ms"), *ties))
-    last = inside.withColumn("_own", own).join(left, by).where(F.col("_own") > F.col("_room"))
-    return gone.unionByName(last.select(files.columns))
+    last = held.where(F.col(at[-1]) == F.col(f"_cut{len(at) - 1}")).withColumn("_own", own).where(F.col("_own") > F.col("_room"))
+    return held.where(whole).select(files.columns).unionByName(last.select(files.columns))
 
 
 def by_count(files: DataFrame, count: int) -> DataFrame:
