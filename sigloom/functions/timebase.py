@@ -16,6 +16,11 @@ def div(a: Column, b: Column | int) -> Column:
     return F.call_function("div", a, F.lit(b) if isinstance(b, int) else b).cast("long")
 
 
+def floor_div(a: Column, b: int) -> Column:
+    """Integer division that rounds down, in BIGINT."""
+    return div(a - F.pmod(a, F.lit(b)), b)
+
+
 def sample_seconds(idx: Column, num: int, den: int) -> tuple[Column, Column]:
     """TIME-01: whole seconds and picoseconds of a sample, floored; quotient and remainder keep products small."""
     rest = (idx % num) * den

@@ -511,7 +511,7 @@ def decimate_zero_phase(spark, d):
     from sigloom.operators import recursive
 
     x = ev(spark, d).select("channel", "sample_idx", F.col("re").alias("x"))
-    return recursive.decimate_zero_phase(x, 4)
+    return recursive.decimate_zero_phase(x, 4, path=scratch(spark))
 
 
 @query("robust_polynomial")
