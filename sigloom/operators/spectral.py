@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigloom.functions.signal import window
+from sigloom.functions.timebase import floor_div
+from sigloom.operators.blocks import STRETCH
 
 
 def segments(samples: DataFrame, length: int) -> DataFrame:
@@ -180,11 +182,35 @@ def residual_frequency(df: DataFrame, key: str, a: str, b: str, first: int, last
     return out.select(key, "peak_k", hz.alias("hz"), "snr_db", (F.col("snr_db") >= snr_db).alias("found"))
 
 
-def lag_of(samples: DataFrame, a: str, b: str, most: int) -> DataFrame:
-    """DSP-18: (lag, r): the sum of a[i] b[i + lag] for lags up to most either way; samples go to the lags they meet, no cross join."""
-    shifted = samples.select(F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("lag"), "sample_idx", F.col(b).alias("y"))
-    shifted = shifted.select("lag", (F.col("sample_idx") - F.col("lag")).alias("sample_idx"), "y")
-    return samples.select("sample_idx", F.col(a).alias("x")).join(shifted, "sample_idx").groupBy("lag").agg(F.sum(F.col("x") * F.col("y")).alias("r"))
+def lag_of(samples: DataFrame, a: str, b: str, most: int, stretch: int = STRETCH) -> DataFrame:
+    """DSP-18: (lag, r): the sum of a[i] b[i + lag] for lags up to most either way, for lags with any such pair.
+
+    Samples are dealt out in stretches of the index, those within most of a stretch to it as well, so there is no join and no sample is sent once a lag.
+    """
+    at = F.col("sample_idx")
+    near = F.explode(F.sequence(floor_div(at - most, stretch), floor_div(at + most, stretch)))
+    dealt = samples.where(at.isNotNull()).select(near.alias("stretch"), at.cast("long").alias("sample_idx"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+
+    def sums(part: pa.Table) -> pa.Table:
+        idx, place = np.unique(part["sample_idx"].to_numpy(), return_inverse=True)
+        held = []
+        for c in ("x", "y"):
+            there = part[c].is_valid().to_numpy()
+            value = np.where(there, part[c].fill_null(0.0).to_numpy(), 0.0)
+            held.append((np.bincount(place, value, len(idx)), np.bincount(place, there, len(idx)) > 0))
+        (x, has_x), (y, has_y) = held
+        own = np.flatnonzero(idx // stretch == part["stretch"][0].as_py())
+        out = []
+        for lag in range(-most, most + 1):
+            j = np.minimum(np.searchsorted(idx, idx[own] + lag), len(idx) - 1)
+            met = idx[j] == idx[own] + lag
+            if met.any():
+                i, j = own[met], j[met]
+                both = has_x[i] & has_y[j]
+                out.append((lag, float((x[i] * y[j])[both].sum()) if both.any() else None))
+        return pa.table({"lag": pa.array([r[0] for r in out], pa.int32()), "r": pa.array([r[1] for r in out], pa.float64())})
+
+    return dealt.groupBy("stretch").applyInArrow(sums, "lag int, r double").groupBy("lag").agg(F.sum("r").alias("r"))
 
 
 def waveform(code: np.ndarray, repeat: int, taps: np.ndarray | None = None) -> np.ndarray:
