@@ -409,9 +409,12 @@ def arrivals(spark, d) -> DataFrame:
 
 
 def arrive(rows: DataFrame, path: str, files: range) -> None:
-    """Write the arrivals of these files, one after the other."""
+    """Write the arrivals of these files, one after the other; all are made once, dealt out by file."""
+    made = scratch(rows.sparkSession)
+    rows.write.partitionBy("file").parquet(made)
+    dealt = rows.sparkSession.read.schema(rows.schema).parquet(made)
     for k in files:
-        rows.where(F.col("file") == k).drop("file").coalesce(1).write.mode("append").parquet(path)
+        dealt.where(F.col("file") == k).drop("file").coalesce(1).write.mode("append").parquet(path)
 
 
 def run_live(spark, path: str, out: str, checkpoint: str, **options) -> None:

@@ -7,6 +7,7 @@ Everything is passed on once (append mode), and state is held for open holes onl
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,6 +18,8 @@ from pyspark.sql.streaming import StatefulProcessor
 
 #: What a live sink puts out: kind is data, zeros (a gap of n samples) or metadata (all fields as they stand from sample_idx on, as JSON).
 OUT = "channel string, kind string, sample_idx long, n long, data array<double>, metadata string"
+#: Positions of a block, in which waiting packets are one value of Spark's state; rows that are put out at once.
+BLOCK, PIECE = 1 << 14, 10_000
 
 
 @dataclass
@@ -35,11 +38,25 @@ class Sequencer:
         self.line, self.held, self.fields = line, held, fields
         self.gapless, self.stop_on_skip, self.stop_on_tag = gapless, stop_on_skip, stop_on_tag
         self.out: list[tuple] = []
+        #: Positions of held as a heap; some may have gone.
+        self.order = list(held)
+        heapq.heapify(self.order)
+
+    def _first(self) -> int | None:
+        """The least position that waits."""
+        while self.order and self.order[0] not in self.held:
+            heapq.heappop(self.order)
+        return self.order[0] if self.order else None
+
+    def _hold(self, pos: int, packet: tuple) -> None:
+        if pos not in self.held:
+            self.held[pos] = packet
+            heapq.heappush(self.order, pos)
 
     def take(self, pos: int, packet: tuple) -> None:
         """A packet waits, unless its place has gone by or is taken already."""
         if not self.line.stopped and (self.line.pos is None or pos >= self.line.pos):
-            self.held.setdefault(pos, packet)
+            self._hold(pos, packet)
 
     def drain(self) -> None:
         """Pass on what is due."""
@@ -51,7 +68,7 @@ class Sequencer:
     def give_up(self, ts: int) -> None:
         """Event time has passed ts: nothing comes any more before a packet of that time."""
         while self.held and not self.line.stopped:
-            first = min(self.held)
+            first = self._first()
             if self.held[first][0] > ts and first != self.line.pos:
                 break
             self._pass(first)
@@ -77,14 +94,14 @@ class Sequencer:
         self.out.append(("data", at, len(data), data, None))
         line.pos, line.idx = pos + len(data), at + len(data)
         # a packet that the one passed on overlaps begins where that one ends
-        for late in [p for p in self.held if p < line.pos]:
+        while (late := self._first()) is not None and late < line.pos:
             ts, rest, tag, metadata = self.held.pop(late)
             if len(rest) > line.pos - late:
-                self.held.setdefault(line.pos, (ts, rest[line.pos - late :], None, metadata))
+                self._hold(line.pos, (ts, rest[line.pos - late :], None, metadata))
 
 
 class LiveSink(StatefulProcessor):
-    """A Sequencer a channel, its state in Spark's: where it stands, the reorder buffer by position, the metadata's fields by name, one timer."""
+    """A Sequencer a channel, its state in Spark's: where it stands, the reorder buffer by blocks of positions, the metadata's fields by name, one timer."""
 
     def __init__(self, gapless: bool = True, stop_on_skip: bool = False, stop_on_tag: bool = False):
         self.rules = (gapless, stop_on_skip, stop_on_tag)
@@ -92,22 +109,30 @@ class LiveSink(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.line = handle.getValueState("line", "pos long, idx long, stopped boolean")
-        self.held = handle.getMapState("held", "pos long", "ts long, data array<double>, tag long, metadata string")
+        self.held = handle.getMapState("blocks", "block long", "pos array<bigint>, ts array<bigint>, data array<array<double>>, tag array<bigint>, metadata array<string>")
         self.fields = handle.getMapState("fields", "name string", "value string")
 
     def _load(self) -> Sequencer:
         line = Line(*self.line.get()) if self.line.exists() else Line()
-        held = {k[0]: (ts, list(data), tag, json.loads(md) if md else None) for k, (ts, data, tag, md) in self.held.iterator()}
-        self.before = (set(held), {k[0]: v[0] for k, v in self.fields.iterator()})
+        held, blocks = {}, {}
+        for k, packed in self.held.iterator():
+            blocks[k[0]] = set(packed[0])
+            held |= {int(pos): (int(ts), list(data), None if tag is None else int(tag), json.loads(md) if md else None) for pos, ts, data, tag, md in zip(*packed, strict=True)}
+        self.before = (blocks, {k[0]: v[0] for k, v in self.fields.iterator()})
         return Sequencer(line, held, {k: json.loads(v) for k, v in self.before[1].items()}, *self.rules)
 
     def _store(self, s: Sequencer) -> None:
         had, fields = self.before
-        for pos in had - set(s.held):
-            self.held.removeKey((pos,))
-        for pos in set(s.held) - had:
-            ts, data, tag, md = s.held[pos]
-            self.held.updateValue((pos,), (ts, data, tag, json.dumps(md) if md else None))
+        blocks: dict[int, list[int]] = {}
+        for pos in s.held:
+            blocks.setdefault(pos // BLOCK, []).append(pos)
+        for block in had.keys() - blocks.keys():
+            self.held.removeKey((block,))
+        for block, here in blocks.items():
+            # a packet that waits stays as it is, so equal positions are an equal block
+            if had.get(block) != set(here):
+                ts, data, tag, md = zip(*[s.held[p] for p in here], strict=True)
+                self.held.updateValue((block,), (here, list(ts), list(data), list(tag), [json.dumps(m) if m else None for m in md]))
         for name, value in s.fields.items():
             if fields.get(name) != json.dumps(value):
                 self.fields.updateValue((name,), (json.dumps(value),))
@@ -115,13 +140,13 @@ class LiveSink(StatefulProcessor):
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
         if s.held:
-            self.handle.registerTimer(s.held[min(s.held)][0])
+            self.handle.registerTimer(s.held[s._first()][0])
 
     def _rows(self, key, s: Sequencer) -> Iterator:
         import pandas as pd
 
-        if s.out:
-            yield pd.DataFrame([(key[0], *r) for r in s.out], columns=["channel", "kind", "sample_idx", "n", "data", "metadata"]).astype({"n": "Int64"})
+        for k in range(0, len(s.out), PIECE):
+            yield pd.DataFrame([(key[0], *r) for r in s.out[k : k + PIECE]], columns=["channel", "kind", "sample_idx", "n", "data", "metadata"]).astype({"n": "Int64"})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:  # noqa: N802, N803
         s, passed = self._load(), timerValues.getCurrentWatermarkInMs()

@@ -1,6 +1,7 @@
 """The live sink: its rules on packets of many samples, and a stream that stops and goes on from its checkpoint."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,3 +85,19 @@ def test_restart(spark, tmp_path, cut):
             extended.run_live(spark, path, out, checkpoint)
         outs.append(sorted((tuple(r) for r in spark.read.parquet(out).collect()), key=str))
     assert outs[0] == outs[1] and len(outs[0]) > 100
+
+
+def test_a_long_hole_costs_no_scan_a_packet():
+    """200,000 packets wait for the first one, and go on in one pass (before: each looked through all that waited)."""
+    s = Sequencer(Line(0, 0), {}, {}, True, False, False)
+    began = time.monotonic()
+    for k in range(200_000, 0, -1):
+        s.take(k, (k, [float(k)], None, None))
+    assert not s.out
+    s.take(0, (0, [0.0], None, None))
+    s.drain()
+    assert [r[1] for r in s.out] == list(range(200_001))
+    for k in range(300_000, 400_000, 2):
+        s.take(k, (k, [float(k)], None, None))
+    s.give_up(10**9)
+    assert len([r for r in s.out if r[0] == "zeros"]) == 50_000 and time.monotonic() - began < 20
