@@ -21,6 +21,11 @@ def legendre(t: Column, terms: int) -> list[Column]:
     return out[:terms]
 
 
+def _along() -> Column:
+    """Where a point lies in -1..1."""
+    return F.when(F.col("n") == 1, -1.0).otherwise(-1 + 2 * F.col("k") / (F.col("n") - 1))
+
+
 def _solved(terms: int):
     """Coefficients of each row's normal equations: sums g of products (upper half, by rows) and r with the values; the least ones where they do not say all."""
     upper = np.triu_indices(terms)
@@ -39,15 +44,16 @@ def _solved(terms: int):
 
 
 def _fit(points: DataFrame, terms: int, weight: str) -> DataFrame:
-    """points with fit. Rejected points weigh nothing."""
+    """points with fit. Rejected points weigh nothing. The polynomials are made anew after the join, as they are many times a point's own size."""
     kind = dict(points.dtypes)["channel"]
-    p = points.withColumn("_p", F.array(*legendre(F.col("t"), terms)))
+    at_points = lambda x: x.withColumn("_t", _along()).withColumn("_p", F.array(*legendre(F.col("_t"), terms))).drop("_t")
+    p = at_points(points)
     own = F.when(F.col("gone"), 0.0).otherwise(F.col(weight))
     at = lambda i: F.get("_p", F.lit(i))
     g = [F.sum(own * at(i) * at(j)) for i in range(terms) for j in range(i, terms)]
     sums = p.groupBy("channel").agg(F.array(*g).alias("g"), F.array(*[F.sum(own * at(i) * F.col("y")) for i in range(terms)]).alias("r"))
     solved = sums.mapInPandas(_solved(terms), f"channel {kind}, c array<double>").withColumnRenamed("channel", "_of")
-    joined = p.join(solved, p["channel"].eqNullSafe(solved["_of"]))
+    joined = at_points(points.join(solved, points["channel"].eqNullSafe(solved["_of"])))
     fit = F.aggregate(F.zip_with("_p", "c", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
     return joined.withColumn("fit", fit).drop("_p", "c", "_of")
 
@@ -56,11 +62,13 @@ def _sloped(points: DataFrame, stretch: int) -> DataFrame:
     """points with slope: the central difference of fit less the value (0 for rejected points), one-sided at a channel's ends."""
     k = F.col("k")
     near = F.sequence(F.greatest(div(k - 1, stretch), F.lit(0).cast("long")), F.least(div(k + 1, stretch), div(F.col("n") - 1, stretch)))
-    dealt = points.withColumn("_r", F.col("fit") - F.when(F.col("gone"), 0.0).otherwise(F.col("y"))).withColumn("_s", F.explode(near))
+    dealt = points.withColumn("_s", F.explode(near))
     w = Window.partitionBy("channel", "_s").orderBy("k")
-    before, after = F.lag("_r").over(w), F.lead("_r").over(w)
-    slope = F.when(F.col("n") == 1, 0.0).when(k == 0, after - F.col("_r")).when(k == F.col("n") - 1, F.col("_r") - before).otherwise((after - before) / 2)
-    return dealt.withColumn("slope", slope).where(F.col("_s") == div(k, stretch)).drop("_r", "_s")
+    # of columns as they are, so that no residual is sent along beside what it is made of
+    left = lambda of: of("fit") - F.when(of("gone"), 0.0).otherwise(of("y"))
+    before, own, after = left(lambda c: F.lag(c).over(w)), left(F.col), left(lambda c: F.lead(c).over(w))
+    slope = F.when(F.col("n") == 1, 0.0).when(k == 0, after - own).when(k == F.col("n") - 1, own - before).otherwise((after - before) / 2)
+    return dealt.withColumn("slope", slope).where(F.col("_s") == div(k, stretch)).drop("_s")
 
 
 def polynomials(points: DataFrame, path: str, rounds: int = 10, terms: int = 7, sigmas: float = 2.0, weight: str | None = None, stretch: int = STRETCH) -> DataFrame:
@@ -74,17 +82,16 @@ def polynomials(points: DataFrame, path: str, rounds: int = 10, terms: int = 7,
     spark = points.sparkSession
     last = F.max("k").alias("n")
     ends = points.groupBy("channel").agg(last).select(F.col("channel").alias("_c"), (F.col("n") + 1).alias("n"))
-    t = F.when(F.col("n") == 1, -1.0).otherwise(-1 + 2 * F.col("k") / (F.col("n") - 1))
     own = F.lit(1.0) if weight is None else F.col(weight).cast("double")
-    now = points.join(ends, points["channel"].eqNullSafe(ends["_c"])).select("channel", "k", F.col("y").cast("double").alias("y"), "n", t.alias("t"), own.alias("w"), F.lit(False).alias("gone"))
+    now = points.join(ends, points["channel"].eqNullSafe(ends["_c"])).select("channel", "k", F.col("y").cast("double").alias("y"), "n", own.alias("w"), F.lit(False).alias("gone"))
     now.write.parquet(f"{path}/0")
     for k in range(1, rounds + 1):
-        now = spark.read.parquet(f"{path}/{k - 1}").select("channel", "k", "y", "n", "t", "w", "gone")
+        now = spark.read.parquet(f"{path}/{k - 1}").select("channel", "k", "y", "n", "w", "gone")
         sloped = _sloped(_fit(now, terms, "w"), stretch)
         spread = sloped.groupBy("channel").agg(F.stddev_pop("slope").alias("sd")).withColumnRenamed("channel", "_c")
         both = sloped.join(spread, sloped["channel"].eqNullSafe(spread["_c"]))
         more = F.abs("slope") > F.lit(sigmas) * F.col("sd")
-        both.select("channel", "k", "y", "n", "t", "w", "fit", (more & ~F.col("gone")).alias("new"), (F.col("gone") | more).alias("gone"), F.col("gone").alias("had")).write.parquet(f"{path}/{k}")
+        both.select("channel", "k", "y", "n", "w", "fit", (more & ~F.col("gone")).alias("new"), (F.col("gone") | more).alias("gone"), F.col("gone").alias("had")).write.parquet(f"{path}/{k}")
         held = spark.read.parquet(f"{path}/{k}")
         if not held.where("new").limit(1).count():
             break
