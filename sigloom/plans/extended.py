@@ -52,10 +52,16 @@ def write_stats(spark, d):
 
 @query("bounds_bad_ends", f"with f as (select o_orderkey as i, o_orderkey * {DEN} // {NUM} // 10 as folder from orders), e as (select min(folder) as a, max(folder) as b from f) select min(i) as first_sample, max(i) as last_sample, cast(2 as bigint) as bad_folders from f, e where folder > a and folder < b")
 def bounds_bad_ends(spark, d):
-    """SRC-09, SRT-03: orders in folders of ten seconds, all files of the first and the last folder spoilt: the bounds of the rest, and how many folders are bad."""
+    """SRC-09, SRT-03: orders in folders of ten seconds, all files of the first and the last folder spoilt: the bounds of the rest, and how many folders are bad.
+
+    The first and the last are appends of their own, so that no folder between shares a directory with them.
+    """
     s = Store(spark, scratch(spark))
     s.create("ord", "f64", (NUM, DEN), 10, 2000)
-    s.append(ord_(spark, d).withColumnRenamed("x", "re"), "ord")
+    o, at = ord_(spark, d).withColumnRenamed("x", "re"), div(F.col("sample_idx") * DEN, NUM * 10)
+    low, high = o.agg(F.min(at), F.max(at)).first()
+    for part in (at == low, (at > low) & (at < high), (at > low) & (at == high)):
+        s.append(o.where(part), "ord")
     held = s._folders("ord")
     for folder in (held[0], held[-1]):
         at = spark._jvm.org.apache.hadoop.fs.Path(folder)

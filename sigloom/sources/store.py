@@ -1,4 +1,8 @@
-"""The sample store: time-partitioned Parquet of chunk rows, one row a continuous block within a file's time."""
+"""The sample store: time-partitioned Parquet of chunk rows, one row a continuous block within a file's time.
+
+A directory is named by the first folder time in it. It is one folder's, or, where an append spans more than DIRECTORIES folders, that of several
+in a row: what an append costs in directories and files does not grow with the time it spans. Rows know their own folder by their file's time.
+"""
 
 from __future__ import annotations
 
@@ -17,6 +21,8 @@ PROPERTIES = ("channel", "dtype", "rate_num", "rate_den", "subdir_s", "file_ms",
 
 #: The column of a subchannel; a channel without subchannels has one column, data.
 SUBCHANNEL = "s{}"
+#: About as many directories an append makes at most; folders share one beyond that.
+DIRECTORIES = 128
 #: Largest values of the types that Spark has no unsigned form of.
 UNSIGNED = {"u8": 2**8 - 1, "u16": 2**16 - 1, "u32": 2**32 - 1, "u64": 2**64 - 1}
 
@@ -46,8 +52,18 @@ def validate(dtype: str, rate_num: int, rate_den: int, subdir_s: int, file_ms: i
         raise ValueError("subchannels or compression out of range")
 
 
+def _folder(p, sample: int) -> int:
+    """The time of the folder that holds a sample, by its channel's properties."""
+    return sample * p["rate_den"] // p["rate_num"] // p["subdir_s"] * p["subdir_s"]
+
+
+def _pack(folders: int) -> int:
+    """How many folders share a directory: a power of two, 1 for up to DIRECTORIES folders."""
+    return 1 << (-(-folders // DIRECTORIES) - 1).bit_length()
+
+
 class Store:
-    """One root: chunks partitioned by channel and folder time, properties of channels beside them."""
+    """One root: chunks partitioned by channel and folder times, properties of channels beside them."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -134,7 +150,7 @@ class Store:
     def append(self, samples: DataFrame, channel: str, compression: str = "snappy") -> int:
         """SNK-02..08, PRJ-01: samples (sample_idx, re[, im][, subchannel from 0]) after all that is held; the next index.
 
-        Cut at file times into chunk rows and committed by Spark, pages with checksums. Indexes must be distinct and not negative, whole
+        Cut at file times into chunk rows and committed by Spark, pages with checksums; rows of a directory are in order within each task's file. Indexes must be distinct and not negative, whole
         for every subchannel, and values must fit the storage type; otherwise the write fails.
         """
         p = self._own(channel)
@@ -160,13 +176,16 @@ class Store:
         w = Window.partitionBy("file_ms").orderBy("sample_idx")
         twice = F.when(F.lag("sample_idx").over(w) == F.col("sample_idx"), F.raise_error("indexes are distinct")).otherwise(F.col("sample_idx") - F.row_number().over(w))
         rows = placed.withColumn("i", twice.cast("long")).groupBy("file_ms", "i").agg(F.min("sample_idx").alias("block_start"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("sample_idx", "v"))).alias("r"))
-        folder = div(F.col("file_ms"), 1000 * p["subdir_s"]) * p["subdir_s"]
+        first, end = _folder(p, low), _folder(p, high)
+        # of folders that share a directory the first is a multiple of their number, but at the append's start: directories stay apart and in order
+        pack = _pack((end - first) // p["subdir_s"] + 1) * p["subdir_s"]
+        place = F.greatest(div(F.col("file_ms"), 1000 * pack) * pack, F.lit(first).cast("long"))
         # a subchannel is a column of its own, so that one is read without the others
         part = lambda k: F.transform("r", lambda x: x["v"][k]).alias(SUBCHANNEL.format(k))
         data = [part(k) for k in range(width)] if width > 1 else [F.transform("r", lambda x: x["v"]).alias("data")]
         own = F.struct(*[F.lit(p[x]).alias(x) for x in PROPERTIES])
-        out = rows.select(F.lit(channel).alias("channel"), folder.alias("subdir"), "file_ms", "block_start", "n", *data, own.alias("properties"))
-        out.write.mode("append").partitionBy("channel", "subdir").option("compression", compression).option("parquet.page.write-checksum.enabled", "true").parquet(f"{self.root}/chunks")
+        out = rows.select(place.alias("subdir"), "file_ms", "block_start", "n", *data, own.alias("properties")).sortWithinPartitions("subdir", "file_ms", "block_start")
+        out.write.mode("append").partitionBy("subdir").option("compression", compression).option("parquet.page.write-checksum.enabled", "true").parquet(self._channel_path(channel))
         return high + 1
 
     def write(self, values: DataFrame, channel: str, next_sample: int | None = None, **options) -> int:
@@ -203,15 +222,17 @@ class Store:
         return self.append(placed.drop("k", "pos", "md_idx", "md_value"), channel, **options)
 
     def chunks(self, channel: str, first: int | None = None, last: int | None = None) -> DataFrame:
-        """SRC-03: chunk rows of a range. Bounds on folder and file times go with it, so partitions and row groups are pruned."""
+        """SRC-03: chunk rows of a range, each with its folder's time. Bounds on directories and file times go with it, so partitions and row groups are pruned."""
         p = self._own(channel)
         out = self.spark.read.option("basePath", f"{self.root}/chunks").parquet(self._channel_path(channel))
         if first is not None and last is not None:
             at = lambda i: i * p["rate_den"] * 1000 // p["rate_num"]
             lo, hi = at(first) // p["file_ms"] * p["file_ms"], at(last)
-            lo_dir, hi_dir = lo // (1000 * p["subdir_s"]) * p["subdir_s"], hi // (1000 * p["subdir_s"]) * p["subdir_s"]
+            # samples go forward only, so a directory holds no folder after the next one's first: of those before the range only the last may reach into it
+            lo_dir, hi_dir = _folder(p, first), _folder(p, last)
+            lo_dir = max((t for t in self._times(channel) if t < lo_dir), default=lo_dir)
             out = out.where(F.col("subdir").between(lo_dir, hi_dir) & F.col("file_ms").between(lo, hi)).where((F.col("block_start") <= last) & (F.col("block_start") + F.col("n") > first))
-        return out
+        return out.withColumn("subdir", div(F.col("file_ms"), 1000 * p["subdir_s"]) * p["subdir_s"])
 
     def read(self, channel: str, first: int, last: int, subchannel: int | None = None) -> DataFrame:
         """Samples (sample_idx, v) of an inclusive range, cut from the chunks at both ends; PRJ-01: of one subchannel, or v an array of all."""
@@ -249,7 +270,7 @@ class Store:
     def bounds(self, channel: str, skip_bad: bool = True) -> tuple[int, int] | None:
         """SRC-09, SRT-03: the first and the last index held; None without any.
 
-        Folders of a channel hold times apart, so they are probed from either end, twice as many at each step, until one gives an index: those
+        Directories of a channel hold times apart, so they are probed from either end, twice as many at each step, until one gives an index: those
         between are not read. Files that cannot be read, or have gone since, are passed over (bad_files names them); without skip_bad they raise.
         """
         if not self._exists(self._channel_path(channel)):
@@ -259,11 +280,14 @@ class Store:
         return None if first is None else (first, self._probe(folders[::-1], F.max(F.col("block_start") + F.col("n") - 1), skip_bad))
 
     def _folders(self, channel: str) -> list[str]:
-        """A channel's folders by time: their names only."""
+        """A channel's directories by time: their names only."""
+        times = self._times(channel)
+        return [times[t] for t in sorted(times)]
+
+    def _times(self, channel: str) -> dict[int, str]:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(self._channel_path(channel))
         found = [x.getPath() for x in p.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(p) if x.isDirectory()]
-        times = {f.getName().removeprefix("subdir="): f.toString() for f in found if f.getName().startswith("subdir=")}
-        return [times[t] for t in sorted(times, key=int)]
+        return {int(f.getName().removeprefix("subdir=")): f.toString() for f in found if f.getName().startswith("subdir=")}
 
     def _indexes(self, folders: list[str], skip_bad: bool) -> DataFrame:
         skip = "true" if skip_bad else "false"
