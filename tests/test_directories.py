@@ -62,3 +62,19 @@ def test_blocks_and_bounds(store):
         before = i
     assert sorted([r.block_start, r.n] for r in store.blocks("c").collect()) == want
     assert store.bounds("c") == (25, 15999)
+
+
+def test_roundtrip_of_many_folders(spark, tmp_path, monkeypatch):
+    from sigloom.plans import catalogue
+
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select("o_orderkey", "o_totalprice").toPandas()
+    size = int(orders["o_orderkey"].max()) + 1
+    copies = spark.createDataFrame(orders).crossJoin(spark.range(40).withColumnRenamed("id", "r"))
+    copies.select((F.col("o_orderkey") + F.col("r") * size).alias("o_orderkey"), "o_totalprice").write.parquet(str(tmp_path / "orders.parquet"))
+    monkeypatch.setattr(catalogue, "scratch", lambda _: str(tmp_path / "s"))
+    got = sorted(tuple(r) for r in catalogue.queries()["store_roundtrip"](spark, str(tmp_path)).collect())
+    assert got == [(i, x) for i, x in sorted(zip(orders["o_orderkey"].tolist(), orders["o_totalprice"].tolist(), strict=True)) if 25 <= i <= 1210]
+    held = Store(spark, str(tmp_path / "s"))
+    # all copies are stored, over some 450 folders
+    assert held.written("ord")["total_samples"] == 40 * len(orders)
+    assert len(held._folders("ord")) <= stores.DIRECTORIES + 8
